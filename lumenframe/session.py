@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,10 +20,11 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "lumenframe.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(path)
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="lumenframe-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file while the application runs
+    path = os.path.join(folder, "lumenframe.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
