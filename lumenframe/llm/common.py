@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -164,3 +165,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that are no longer referenced, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -108,29 +108,39 @@ def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     return Profiles.of(counts)
 
 
+def _scores(texts: list[str | None], profiles: Profiles, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and cosine of each text."""
+    found = [trigram_counts(t or "") for t in texts]
+    codes = np.unique(np.concatenate([c for c, _ in found]))
+    bundles = np.zeros((len(found), letters.shape[1]), dtype=np.float32)
+    for at in range(0, len(codes), 4096):
+        block = codes[at : at + 4096]
+        weights = np.zeros((len(found), len(block)), dtype=np.float32)
+        for k, (mine, counts) in enumerate(found):
+            low, high = np.searchsorted(mine, [block[0], block[-1] + 1])
+            weights[k, np.searchsorted(block, mine[low:high])] = counts[low:high]
+        bundles += weights @ trigram_vectors(block, letters)
+    norms = np.linalg.norm(bundles, axis=1)
+    if not profiles.languages:
+        return [UNKNOWN] * len(found), np.zeros(len(found))
+    cosine = (bundles @ profiles.centred.T) / np.maximum(norms, 1e-9)[:, None]
+    lettered = norms > 0
+    lang = [profiles.languages[b] if u else UNKNOWN for b, u in zip(cosine.argmax(axis=1), lettered, strict=True)]
+    return lang, np.where(lettered, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64)
+
+
 def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, letters: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, rows=128):
-            found = [trigram_counts(t or "") for t in part.column(1).to_pylist()]
-            codes = np.unique(np.concatenate([c for c, _ in found]))
-            bundles = np.zeros((len(found), letters.shape[1]), dtype=np.float32)
-            for at in range(0, len(codes), 4096):
-                block = codes[at : at + 4096]
-                weights = np.zeros((len(found), len(block)), dtype=np.float32)
-                for k, (mine, counts) in enumerate(found):
-                    low, high = np.searchsorted(mine, [block[0], block[-1] + 1])
-                    weights[k, np.searchsorted(block, mine[low:high])] = counts[low:high]
-                bundles += weights @ trigram_vectors(block, letters)
-            norms = np.linalg.norm(bundles, axis=1)
-            usable = (norms > 0) & bool(profiles.languages)
-            if profiles.languages:
-                cosine = (bundles @ profiles.centred.T) / np.maximum(norms, 1e-9)[:, None]
-                best = cosine.argmax(axis=1)
-                lang = [profiles.languages[b] if u else UNKNOWN for b, u in zip(best, usable, strict=True)]
-                score = np.where(usable, np.clip(cosine.max(axis=1), 0, 1), 0.0)
-            else:
-                lang, score = [UNKNOWN] * len(found), np.zeros(len(found))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], names=["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = _scores(part.column(1).to_pylist(), profiles, letters)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+
+def _filter(batches: Iterator[pa.RecordBatch], profiles: Profiles, letters: np.ndarray, column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, rows=128, column=column):
+            lang, _ = _scores(part.column(column).to_pylist(), profiles, letters)
+            yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -145,3 +155,10 @@ def language_id(docs: DataFrame) -> DataFrame:
     """Learn from two thirds of the labelled rows, by crc32 of the id, and predict all rows."""
     fold = crc_mod("doc_id", 3) == 1
     return identify(docs, fit_profiles(docs.where(~fold)), held_out=fold)
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents, with all columns, for which a language is recognised; learned as in language_id, decided in one pass."""
+    profiles = fit_profiles(docs.where(crc_mod("doc_id", 3) != 1))
+    letters = letter_vectors(profiles.centred.shape[1] if profiles.languages else DIMENSIONS)
+    return docs.mapInArrow(lambda b: _filter(b, profiles, letters, "text"), docs.schema)

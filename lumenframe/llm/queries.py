@@ -6,21 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import bpe, exact_dedup, language_id, packing, quality, token_counts
+from lumenframe.llm import bpe, exact_dedup, language_id, line_dedup, media, minhash, packing, quality, substring_dedup, token_counts
 from lumenframe.llm.common import read_documents
 from lumenframe.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(read_documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_documents(spark, sf_dir)).drop("k1", "k2")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.load_media(media.store_media(read_documents(spark, sf_dir)), with_media=False)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(read_documents(spark, sf_dir)).drop("text_key")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir))
 
@@ -38,7 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_token_counts, op4_quality_classifier, op7_packing, op8_bpe, op9_exact_dedup, op10_language_id)
+    found = (
+        op1_line_dedup, op2_token_counts, op3_minhash_near_dedup, op4_quality_classifier, op5_media_columns,
+        op6_substring_dedup, op7_packing, op8_bpe, op9_exact_dedup, op10_language_id,
+    )
 
     def shipped(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
