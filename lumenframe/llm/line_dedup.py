@@ -91,6 +91,11 @@ def characters(text: str, edits: int) -> str:
     return f"concat(filter(split({text}, ''), c -> c <> ''), array_repeat('', {edits}))"
 
 
+def _once(df: DataFrame, *columns: str) -> DataFrame:
+    """select whose results are computed once a row: a generator keeps them from being copied into later expressions."""
+    return df.select(F.inline(F.array(F.struct(*(F.expr(c) for c in columns)))))
+
+
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line): lines between line feeds, trimmed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -108,10 +113,11 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialize(lines.join(ids, "id", "left_semi"), "line-texts")
     both = candidates.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where("length(x) > length(y) OR (length(x) = length(y) AND a < b)").withColumn("p", F.expr(_common("x", "y", "length(y)")))
-    both = both.selectExpr("a", "b", "substring(x, p + 1) AS x", "substring(y, p + 1) AS y").selectExpr("*", "reverse(x) AS rx", "reverse(y) AS ry")
-    both = both.withColumn("q", F.expr(_common("rx", "ry", "length(y)")))
-    both = both.selectExpr("a", "b", *(f"{characters(f'substring({c}, 1, length({c}) - q)', edits)} AS {c}" for c in "xy"))
+    both = both.where("length(x) > length(y) OR (length(x) = length(y) AND a < b)")
+    both = _once(both, "a", "b", "x", "y", f"{_common('x', 'y', 'length(y)')} AS p")
+    both = _once(both, "a", "b", "substring(x, p + 1) AS x", "substring(y, p + 1) AS y", "reverse(substring(x, p + 1)) AS rx", "reverse(substring(y, p + 1)) AS ry")
+    both = _once(both, "a", "b", "x", "y", f"{_common('rx', 'ry', 'length(y)')} AS q")
+    both = _once(both, "a", "b", *(f"{characters(f'substring({c}, 1, length({c}) - q)', edits)} AS {c}" for c in "xy"))
     return both.select("a", "b", F.expr(banded_distance("x", "y", edits)).cast("int").alias("distance")).where(F.col("distance") <= edits)
 
 
