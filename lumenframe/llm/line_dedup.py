@@ -99,7 +99,7 @@ def _once(df: DataFrame, *columns: str) -> DataFrame:
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line): lines between line feeds, trimmed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", "[\t\r]", " ")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim(F.translate("line", "\t\r", "  ")))
 
 
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -124,22 +124,23 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: doc_id, line_no, line_id, class_id, class_size, n_links, kept."""
     lines = line_rows(docs, id_col, text_col)
-    long = lines.where(F.length("line") >= min_chars)
-    distinct = materialize(long.select("line").distinct().select(F.xxhash64("line").alias("id"), "line"), "lines")
+    long = F.length("line") >= min_chars
+    distinct = materialize(lines.where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line"), "lines")
+    placed = materialize(lines.select("doc_id", "line_no", F.when(long, F.xxhash64("line")).alias("id")), "line-places")
     links = materialize(similar_lines(distinct, edits), "line-links")
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     component = connected_components(links).withColumnRenamed("node", "id")
-    placed = long.select("doc_id", "line_no", F.xxhash64("line").alias("id"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")
-    nodes = placed.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
+    with_id = placed.where("id IS NOT NULL")
+    nodes = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
     nodes = nodes.select("id", "n", "low", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = nodes.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("low").alias("low"))
     nodes = nodes.select("id", "class_id", "n_links").join(classes, "class_id")
-    with_class = placed.join(nodes, "id").select(
+    with_class = with_id.join(nodes, "id").select(
         "doc_id", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept")
     )
     nothing = F.lit(None).cast("long")
-    rest = lines.where(F.length("line") < min_chars).select(
+    rest = placed.where("id IS NULL").select(
         "doc_id", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept")
     )
     return with_class.unionByName(rest)
