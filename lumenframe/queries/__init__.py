@@ -1,15 +1,37 @@
-"""Registered queries of the library's own operators, and their DuckDB equivalents."""
+"""Registered queries of the library's own operators over the supplied tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.queries import data, functions, graphs, models
+from lumenframe.session import ship
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (data, functions, graphs, models)
 
+FLAGSHIP: Query = data.st_corr
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {}
+    for part in _PARTS:
+        found |= part.queries()
+
+    def shipped(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(f) for name, f in found.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    found: dict[str, str] = {}
+    for part in _PARTS:
+        found |= part.oracle_sql()
+    return found

@@ -28,3 +28,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; one is set only where none is."""
+    sc = spark.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        sc.setCheckpointDir(f"/tmp/checkpoints/{sc.applicationId}")
