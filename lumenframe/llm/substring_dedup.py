@@ -1,11 +1,11 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; a chunk ends with a word after which two bits of the hash are zero (every
-fourth word on average), so that boundaries depend on the last 16 bytes only and fall alike wherever a passage stands,
-whatever was inserted before it. Chunks are deduplicated by digest. A first pass counts digests with map-side
-aggregation; only digests seen more than once are joined back to their chunks, which adaptive execution may split
-where a passage is very common. Neighbouring repeated chunks of a document form spans; spans of at least MIN_WORDS
-words are repeats. The first place of a chunk, by doc_id and position, is kept.
+A gear hash rolls over the bytes of a text; a chunk ends with a word whose hash is the least among it and the two words
+on either side (every fifth word on average, three words at least), so that boundaries depend on some 40 bytes around
+them and fall alike wherever a passage stands, whatever was inserted before it. Chunks are deduplicated by digest. A
+first pass counts digests with map-side aggregation; only digests seen more than once are joined back to their chunks,
+which adaptive execution may split where a passage is very common. Neighbouring repeated chunks of a document form
+spans; spans of at least MIN_WORDS words are repeats. The first place of a chunk, by doc_id and position, is kept.
 
 MIN_WORDS lies below the length of the passages sought, since the incomplete chunks at both ends of a passage are not
 part of a span. Defined cases: null texts count as empty; documents without words have no chunks; null ids come after
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import BYTE_CODES, SpanHasher, materialize, slices, word_spans
 
 MIN_WORDS = 20
-#: Bits of the gear hash that must be zero at a boundary; bit k depends on the last k + 1 bytes.
-BOUNDARY = np.uint32(0b11 << 14)
+#: Words on either side whose hashes a boundary's hash must not exceed.
+REACH = 2
 GEAR = (BYTE_CODES >> np.uint64(32)).astype(np.uint32)
 _PAD = b"\n" * 16
 
@@ -48,7 +48,12 @@ def chunk_texts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     if not len(start):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     doc = np.searchsorted(begin, start, side="right") - 1
-    ends = (gear_hashes(data)[stop - 1] & BOUNDARY) == 0
+    rolled = (gear_hashes(data)[stop - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
+    ends = np.ones(len(start), dtype=bool)
+    for k in range(1, REACH + 1):
+        beside = doc[k:] == doc[:-k]
+        ends[k:] &= ~beside | (rolled[k:] < rolled[:-k])
+        ends[:-k] &= ~beside | (rolled[:-k] <= rolled[k:])
     ends[:-1] |= doc[:-1] != doc[1:]
     ends[-1] = True
     last = np.flatnonzero(ends)
