@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.session import ensure_checkpoint_dir
+
 
 def require_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df, if the columns are numbers or booleans; else a TypeError."""
@@ -52,8 +54,10 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "__row") -> Dat
     """df with its 0-based row number in a total order, without bringing rows together.
 
     A sort ranges the rows over partitions; a row's number is its place there plus the sizes of the partitions before.
+    The placed rows are checkpointed, since ranges are drawn anew whenever a sort runs.
     """
-    placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint().withColumn("__part", F.shiftright("__id", 33))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))  # a row per partition
     at = F.col("__base") + F.col("__id").bitwiseAND((1 << 33) - 1)

@@ -271,7 +271,8 @@ def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     from lumenframe.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return df.checkpoint()
+    # new names for the columns: joins with frames that the rows came from stay unambiguous
+    return df.checkpoint().select(*(F.col(c).alias(c) for c in df.columns))
 
 
 @register("graph", "connected_components")

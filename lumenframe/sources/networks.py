@@ -65,29 +65,29 @@ def read_sections(spark: SparkSession, path: str) -> Network:
 
 def pack(values: Column) -> Column:
     """A struct as base64 of its JSON."""
-    return F.base64(F.to_json(values))
+    return F.translate(F.base64(F.to_json(values)), "\r\n", "")
 
 
 def unpack(text: str) -> dict:
     return json.loads(base64.b64decode(text))
 
 
-_NODE = F.struct("label", "layer", "layer_id", "layer_sub_id", "node_order", "visible", "type")
-_EDGE = F.struct("src_layer", "dst_layer", "layer_id", "edge_order")
+_NODE = ("label", "layer", "layer_id", "layer_sub_id", "node_order", "visible", "type")
+_EDGE = ("src_layer", "dst_layer", "layer_id", "edge_order")
 
 
 def to_gml(network: Network) -> DataFrame:
     """Lines (n, value) of a GML file; n orders them."""
-    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  node [\n    id %d\n    label "%s"\n    params "%s"\n  ]', "node_order", "id", pack(_NODE)).alias("value"))
+    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  node [\n    id %d\n    label "%s"\n    params "%s"\n  ]', "node_order", "id", pack(F.struct(*_NODE))).alias("value"))
     at = network.nodes.select("id", "node_order")
     e = network.edges.join(at.select(F.col("id").alias("src"), F.col("node_order").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("node_order").alias("b")), "dst")
-    edges = e.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  edge [\n    source %d\n    target %d\n    weight %s\n    params "%s"\n  ]', "a", "b", F.col("weight").cast("string"), pack(_EDGE)).alias("value"))
+    edges = e.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  edge [\n    source %d\n    target %d\n    weight %s\n    params "%s"\n  ]', "a", "b", F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
     return _framed(network, nodes, edges, f'graph [\n  directed 1\n  name "{network.name}"', "]")
 
 
 def to_graphml(network: Network) -> DataFrame:
-    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('    <node id="%s"><data key="params">%s</data></node>', "id", pack(_NODE)).alias("value"))
-    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('    <edge source="%s" target="%s"><data key="weight">%s</data><data key="params">%s</data></edge>', "src", "dst", F.col("weight").cast("string"), pack(_EDGE)).alias("value"))
+    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('    <node id="%s"><data key="params">%s</data></node>', "id", pack(F.struct(*_NODE))).alias("value"))
+    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('    <edge source="%s" target="%s"><data key="weight">%s</data><data key="params">%s</data></edge>', "src", "dst", F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
     head = (
         '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
         '  <key id="params" for="all" attr.name="params" attr.type="string"/>\n  <key id="weight" for="edge" attr.name="weight" attr.type="double"/>\n'
@@ -97,8 +97,8 @@ def to_graphml(network: Network) -> DataFrame:
 
 
 def to_dot(network: Network) -> DataFrame:
-    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  "%s" [params="%s"];', "id", pack(_NODE)).alias("value"))
-    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  "%s" -> "%s" [weight="%s", params="%s"];', "src", "dst", F.col("weight").cast("string"), pack(_EDGE)).alias("value"))
+    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  "%s" [params="%s"];', "id", pack(F.struct(*_NODE))).alias("value"))
+    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  "%s" -> "%s" [weight="%s", params="%s"];', "src", "dst", F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
     return _framed(network, nodes, edges, f'digraph "{network.name}" {{', "}")
 
 
