@@ -42,11 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: work that two branches use is done once and lineage is cut."""
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write df to the shared folder and read it back: work that two branches use is done once and lineage is cut.
+
+    level is that of the compression, which spans the rows of a page.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

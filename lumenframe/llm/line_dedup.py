@@ -3,7 +3,7 @@
 Lines are cut into EDITS + 1 segments of nearly equal length. If two lines are within EDITS edits, one of the segments
 of the shorter occurs in the longer, at a place that the lengths and the number of edits left on either side confine
 to a few offsets. Segments are indexed under (length, number, content); each line probes the index for its own and the
-next shorter lengths. Matches whose numbers of a few common letters differ by more than the edits allow are passed over
+next shorter lengths. Matches whose numbers of letters differ by more than the edits allow are passed over
 in the join. Candidates are stripped of what they share at both ends and verified with a banded bit-parallel edit
 distance: a column of the band is one integer of bits, renewed with a few bit operations per character.
 
@@ -87,25 +87,27 @@ def banded_distance(a: str, b: str, edits: int) -> str:
     )
 
 
-#: Letters whose numbers are compared before a pair becomes a candidate, 12 bits each.
-COUNTED = "enris"
+#: Letters whose numbers are compared before a pair becomes a candidate; the k-th shares 4 bits with the (k + 13)-th.
+COUNTED = "etnaoirshdlucmpfgwybvkxqjz"
+CLASSES = 13
 
 
 def letter_counts(line: Column) -> Column:
-    """Numbers of the COUNTED letters in one integer, each modulo 4096."""
+    """Numbers of letters by class in one integer, each modulo 16."""
+    count = lambda letter: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
     out = F.lit(0).cast("long")
-    for k, letter in enumerate(COUNTED):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(4095), 12 * k))
+    for k in range(CLASSES):
+        both = count(COUNTED[k]) + count(COUNTED[k + CLASSES])
+        out = out.bitwiseOR(F.shiftleft(both.bitwiseAND(15).cast("long"), 4 * k))
     return out
 
 
 def near_counts(x: Column, y: Column, edits: int) -> Column:
     """False for lines that are more than `edits` apart: an edit changes two of the numbers by one at most."""
     total = F.lit(0).cast("long")
-    for k in range(len(COUNTED)):
-        gap = (F.shiftright(x, 12 * k).bitwiseAND(4095) - F.shiftright(y, 12 * k).bitwiseAND(4095)).bitwiseAND(4095)
-        total = total + F.least(gap, 4096 - gap)
+    for k in range(CLASSES):
+        gap = (F.shiftright(x, 4 * k) - F.shiftright(y, 4 * k)).bitwiseAND(15)
+        total = total + F.least(gap, 16 - gap)
     return total <= 2 * edits
 
 
@@ -126,15 +128,15 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b, distance) for each pair of distinct lines (id, line) within `edits` edits; a has no fewer characters."""
-    sized = lines.withColumns({"n": F.length("line"), "counts": letter_counts(F.col("line"))})
+    """(a, b, distance) for each pair of distinct lines (id, line, counts: their letter_counts) within `edits` edits; a has no fewer characters."""
+    sized = lines.withColumn("n", F.length("line"))
     index = sized.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.explode(F.array(*(_key(F.col("line"), F.col("n"), i, 0, edits) for i in range(edits + 1)))).alias("key"))
     probes = sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(F.array(*(_key(F.col("line"), F.col("n") - gap, i, shift, edits) for gap, i, shift in probe_offsets(edits)))).alias("key"))
     # equal lengths probe each other: one direction is enough, and more than one segment may match
     candidates = materialize(probes.join(index, (probes["key"] == index["key"]) & (probes["a"] != index["b"]) & near_counts(probes["x"], index["y"], edits)).select("a", "b").distinct(), "line-pairs")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialize(lines.join(ids, "id", "left_semi"), "line-texts")
+    texts = materialize(lines.select("id", "line").join(ids, "id", "left_semi"), "line-texts")
     both = candidates.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     both = both.where("length(x) > length(y) OR (length(x) = length(y) AND a < b)")
     both = _once(both, "a", "b", "x", "y", f"{_common('x', 'y', 'length(y)')} AS p")
@@ -148,7 +150,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     """One row per line: doc_id, line_no, line_id, class_id, class_size, n_links, kept."""
     lines = line_rows(docs, id_col, text_col)
     long = F.length("line") >= min_chars
-    distinct = materialize(lines.where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line"), "lines")
+    distinct = materialize(lines.where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line", letter_counts(F.col("line")).alias("counts")), "lines")
     placed = materialize(lines.select("doc_id", "line_no", F.when(long, F.xxhash64("line")).alias("id")), "line-places")
     links = materialize(similar_lines(distinct, edits), "line-links")
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))

@@ -108,7 +108,7 @@ def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=9)
     for batch in batches:
         for part in slices(batch):
             packed = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
@@ -116,7 +116,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze, expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    expand = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -128,7 +128,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner = {x["k"]: x["owner"] for x in seen or ()}
                 mine = b"".join(piece for k, (_, piece) in enumerate(found) if k not in owner)
                 held = {d: piece for k, (d, piece) in enumerate(found) if owner.get(k)}
-                rows.append((n, hashlib.sha256(media).hexdigest(), [len(p) for _, p in found], [d for d, _ in found], sorted(owner), squeeze.compress(mine), [{"digest": d, "bytes": squeeze.compress(p)} for d, p in held.items()]))
+                rows.append((n, hashlib.sha256(media).hexdigest(), [len(p) for _, p in found], [d for d, _ in found], sorted(owner), mine, [{"digest": d, "bytes": p} for d, p in held.items()]))
             kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             if rows:
@@ -136,16 +136,15 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _load(batches: Iterator[pa.RecordBatch], with_media: bool) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part, rows = batch.slice(at, 256), []
             for lengths, digests, shared_at, own, got, sha in zip(*(part.column(c).to_pylist() for c in ("lengths", "digests", "shared_at", "own", "got", "media_sha256")), strict=True):
-                mine, found, start = expand.decompress(own), {x["k"]: x["bytes"] for x in got or ()}, 0
+                mine, found, start = own, {x["k"]: x["bytes"] for x in got or ()}, 0
                 shared, pieces = set(shared_at), []
                 for k, size in enumerate(lengths):
                     if k in shared:
-                        piece = expand.decompress(found[k])
+                        piece = found[k]
                     else:
                         piece, start = mine[start : start + size], start + size
                     if hashlib.blake2b(piece, digest_size=16).digest() != digests[k]:
@@ -175,7 +174,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("low")).where("n > 1").select("digest", "low")
     seen = listed.join(shared, "digest").groupBy("k1", "k2").agg(F.collect_set(F.struct("k", (place == F.col("low")).alias("owner"))).alias("seen"))
     packed = rows.mapInArrow(_compress, "k1 long, k2 int, doc_id long, packed binary")
-    store = materialize(packed.join(seen, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "packed", "seen").mapInArrow(_store, STORED), "media-store")
+    store = materialize(packed.join(seen, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "packed", "seen").mapInArrow(_store, STORED), "media-store", level=9)
     del listed, shared, seen, packed
     release(spark)
     return store

@@ -7,10 +7,12 @@ documents share exactly the points of their common weight. Each point also falls
 earliest point. Two slots agree with probability sum(min) / sum(max): the weighted Jaccard similarity, without bias.
 Points are drawn in order of time, and a process stops once it is later than all slots of its document.
 
-Signatures are cut into bands. Equal bags are one node from the start. In each band bucket the members are first
-compared with one pivot; pairs that are then still in different components are compared in full, so that no pair that
-shares a bucket is left undecided, while a large group of copies costs a comparison per member. Every link is decided
-by the exact multiset overlap of the two texts.
+Signatures are cut into bands. Equal bags are one node from the start. Small band buckets are compared in full. Members
+of crowded ones, which hold many versions of one text below the threshold, go to finer buckets: the rarest shingles of
+their bags, as many as two bags at the threshold can't both be without. There, small buckets are compared in full again;
+in large ones the members are first compared with pivots, and only pairs still in different components in full, so that
+no pair is left undecided while a large class costs a comparison per member. Every link is decided by the exact multiset
+overlap of the two texts.
 
 Defined cases: words are runs of characters other than ASCII white space, lower-cased. A text of one to four words is
 one shingle. Null, empty and blank texts have the empty bag and are one class. A class is named by its smallest
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import SpanHasher, connected_components, materialize, mix64, slices, word_spans
@@ -40,9 +42,13 @@ BANDS, BAND_SLOTS = 25, 5
 #: A pair whose signatures agree on fewer slots than this share is over seven deviations from the threshold.
 SCREEN = 0.55
 #: Buckets up to this size are compared in full at once.
-SMALL = 8
+SMALL = 16
 #: Rounds for larger buckets after the first; in the last one, what is left is compared in full.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 4
+#: Pivots of a bucket in such a round, from different components.
+PIVOTS = 8
+#: Tokens of a bag by which a pair is seen to have met in an earlier bucket.
+HEAD = 32
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -183,6 +189,57 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near, pa.float64()).filter(keep)], names=["a", "b", "similarity"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, token, n): each occurrence of a shingle is a token of its own, so that bags are sets of n tokens."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            of, hashes, counts = shingle_bags([expand.decompress(x).decode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()])
+            which = np.repeat(np.arange(len(of)), counts)
+            turn = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+            with np.errstate(over="ignore"):
+                token = mix64(hashes[which] + turn.astype(np.uint64) * _STEP)
+            size = np.bincount(of[which], minlength=part.num_rows)[of[which]]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[which])), pa.array(token.view(np.int64)), pa.array(size)], names=["row", "token", "n"])
+
+
+def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, rep, n, left, before): the rarest tokens of each bag, as many as two bags at the threshold can't both be without.
+
+    Two bags of which one has n tokens share ceil(threshold * n) of them at least, so that of the n - that + 1 rarest
+    tokens of either, in one order for all bags, one is common. Tokens of a single bag count but find no partner. `left` counts
+    the bag's tokens from this one on: after the first common token, no more than these can be common. `before` has the
+    first tokens in front of this one: a pair that shares one of them meets in that token's bucket.
+    """
+    tokens = materialize(texts.select("row", "packed").mapInArrow(_tokens, "row long, token long, n long"), "bag-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tokens.join(often, "token")
+    in_bag = Window.partitionBy("row")
+    ranked = shared.withColumns({"k": F.row_number().over(in_bag.orderBy("df", "token")), "m": F.count("*").over(in_bag)})
+    ranked = ranked.withColumns({"rank": F.col("k") + F.col("n") - F.col("m"), "head": F.collect_list(F.when(F.col("k") <= HEAD, F.col("token"))).over(in_bag.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(
+        F.col("token").alias("bucket"), F.col("row").alias("rep"), "n", (F.col("n") - F.col("rank") + 1).alias("left"), F.slice("head", F.lit(1), F.least(F.col("k") - 1, F.lit(HEAD))).alias("before")
+    )
+
+
+def _may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether this may be the first common token of two bags, and their overlap still what the threshold asks for."""
+    return (F.least(a["left"], b["left"]) >= (a["n"] + b["n"]) * (threshold / (1 + threshold)) - 1e-6) & ~F.arrays_overlap(a["before"], b["before"])
+
+
+def _unbounded() -> tuple[Column, ...]:
+    """For members of band buckets, which nothing but the bucket bounds."""
+    return F.lit(1).alias("n"), F.lit(1).alias("left"), F.array().cast("array<bigint>").alias("before")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Members with the size and the pivot of each bucket that has more than one; members are structs (rep, n, left, before)."""
+    rows = rows.select("bucket", "rep", F.struct("rep", "n", "left", "before").alias("member"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("member").alias("pivot")).where("size > 1")
+    return rows.join(sizes, "bucket")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs of rows that reach the threshold, written to the shared folder."""
     prints = texts.select("row", "prints")
@@ -223,31 +280,51 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
     bags = signed.groupBy("bag").agg(F.min("row").alias("rep"), first.alias("low"), F.count("*").alias("n"))
-    in_bands = signed.select("row", "bands").join(bags.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
-    sizes = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    members = materialize(in_bands.join(sizes, "bucket"), "buckets")
+    in_bands = signed.select("row", "bands").join(bags.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"), *_unbounded())
+    members = materialize(_sized(in_bands), "buckets")
     texts = materialize(signed.select("row", "prints", "packed").join(members.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "bucket-texts")
 
+    def pairs(a: Column, b: Column) -> list[Column]:
+        return [F.least(a["rep"], b["rep"]).alias("a"), F.greatest(a["rep"], b["rep"]).alias("b")]
+
     def across(rows: DataFrame) -> DataFrame:
-        """Pairs of one bucket that lie in different components."""
-        b = rows.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        return rows.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca")).join(b, "bucket").where("a < b AND ca <> cb").select("a", "b")
-
-    small = across(members.where(F.col("size") <= SMALL).withColumn("component", F.col("rep")))
-    large = members.where(F.col("size") > SMALL)
-    by_pivot = large.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    links = [_links(small.unionByName(by_pivot).distinct(), texts, threshold)]
+        """Pairs of one bucket that lie in different components and may reach the threshold."""
+        x = rows.select("bucket", F.col("member").alias("x"), F.col("component").alias("cx"))
+        y = rows.select(F.col("bucket").alias("bucket_y"), F.col("member").alias("y"), F.col("component").alias("cy"))
+        x_, y_ = F.col("x"), F.col("y")
+        both = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (x_["rep"] < y_["rep"]) & (F.col("cx") != F.col("cy")) & _may_reach(x_, y_, threshold))
+        return both.select(*pairs(x_, y_))
+
+    def by_pivot(rows: DataFrame) -> DataFrame:
+        m, p = F.col("member"), F.col("pivot")
+        return rows.where((m["rep"] != p["rep"]) & _may_reach(m, p, threshold)).select(*pairs(m, p))
+
+    def alone(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("component", F.col("rep"))
+
+    crowded = members.where(F.col("size") > SMALL).select(F.col("rep").alias("row")).distinct()
+    rare = materialize(_sized(_prefixes(texts.join(crowded, "row", "left_semi"), threshold)), "prefix-buckets")
+    bands = members.where(F.col("size") <= SMALL).select("bucket", "rep", F.struct("rep", *_unbounded()).alias("member"))
+    small = across(alone(bands)).unionByName(across(alone(rare.where(F.col("size") <= SMALL))))
+    large = rare.where(F.col("size") > SMALL)
+    links = [_links(small.unionByName(by_pivot(large)).distinct(), texts, threshold)]
+    placed = large.drop("pivot")
     for turn in range(1, PIVOT_ROUNDS + 1):
-        placed = _components(links, large)
-        ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)), "rep", "component")).alias("p"))
-        unsettled = materialize(placed.join(ends.where("lo <> hi").select("bucket", "p"), "bucket"), "unsettled")
+        placed = _components(links, placed.drop("component"))
+        kinds = placed.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "member")).alias("m"))
+        chosen = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + k)), F.col("m.member").alias("member"), "component")).alias(f"p{k}") for k in range(PIVOTS)]
+        open_ones = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), *chosen).where("kinds > 1")
+        pivots = F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.member").alias("member"), F.col(f"p{k}.component").alias("component")) for k in range(PIVOTS))))
+        unsettled = materialize(placed.join(open_ones.select("bucket", pivots.alias("pivots")), "bucket"), "unsettled")
         if unsettled.isEmpty():
             break
         if turn < PIVOT_ROUNDS:
-            pairs = unsettled.where("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+            met = unsettled.withColumn("p", F.explode("pivots")).where("component <> p.component").select("bucket", "rep", "member", F.col("p.member").alias("pivot"))
+            links.append(_links(by_pivot(met).distinct(), texts, threshold))
+            # pivots have met all others of their bucket
+            placed = unsettled.where(~F.array_contains(F.transform("pivots", lambda p: p["member"]["rep"]), F.col("rep"))).drop("pivots")
         else:
-            pairs = across(unsettled)
-        links.append(_links(pairs.distinct(), texts, threshold))
+            links.append(_links(across(unsettled).distinct(), texts, threshold))
     component = _components(links, bags.select("rep", "bag", "low", "n"))
     classes = component.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("low").alias("low"))
     of_bag = component.select("bag", "component").join(classes, "component").select("bag", "class_size", "low")
