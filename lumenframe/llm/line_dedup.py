@@ -124,7 +124,9 @@ def _once(df: DataFrame, *columns: str) -> DataFrame:
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line): lines between line feeds, trimmed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim(F.translate("line", "\t\r", "  ")))
+    for blank in "\t\r":  # searches of bytes, where translate() looks up each character
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
