@@ -136,7 +136,7 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     probes = sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(F.array(*(_key(F.col("line"), F.col("n") - gap, i, shift, edits) for gap, i, shift in probe_offsets(edits)))).alias("key"))
     # equal lengths probe each other: one direction is enough, and more than one segment may match
     candidates = materialize(probes.join(index, (probes["key"] == index["key"]) & (probes["a"] != index["b"]) & near_counts(probes["x"], index["y"], edits)).select("a", "b").distinct(), "line-pairs")
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialize(lines.select("id", "line").join(ids, "id", "left_semi"), "line-texts")
     both = candidates.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
