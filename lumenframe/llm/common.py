@@ -120,6 +120,14 @@ class SpanHasher:
             return mix64(spans + (stop - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+def run_digests(codes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n codes from each place in `first` on, by prefix sums as in SpanHasher."""
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(codes * _powers(_BASE, len(codes))[:-1], out=prefix[1:])
+        return mix64((prefix[first + n] - prefix[first]) * _powers(_INVERSE, len(codes))[first])
+
+
 #: ASCII white space: space, and 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -1,28 +1,31 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication by windows of words at content-defined places.
 
 A gear hash rolls over the bytes of a text; a chunk ends with a word whose hash is the least among it and the two words
 on either side (every fifth word on average, three words at least), so that boundaries depend on some 40 bytes around
-them and fall alike wherever a passage stands, whatever was inserted before it. Chunks are deduplicated by digest. A
-first pass counts digests with map-side aggregation; only digests seen more than once are joined back to their chunks,
-which adaptive execution may split where a passage is very common. Neighbouring repeated chunks of a document form
-spans; spans of at least MIN_WORDS words are repeats. The first place of a chunk, by doc_id and position, is kept.
-
-MIN_WORDS lies below the length of the passages sought, since the incomplete chunks at both ends of a passage are not
-part of a span. Defined cases: null texts count as empty; documents without words have no chunks; null ids come after
-all others; rows that repeat both id and text are one document and share its spans; other columns are ignored (or
-passed through by drop_repeats); offsets are bytes of the text in UTF-8.
+them and fall alike wherever a passage stands, whatever was inserted before it. A window is the MIN_WORDS words from
+the start of a chunk on, or the last MIN_WORDS words of a document; windows are deduplicated by the digest of their
+words. A first pass counts digests with map-side aggregation; only digests seen more than once are joined back to their
+windows, which adaptive execution may split where a passage is very common. The first place of a window, by doc_id and
+position, is kept. Windows that touch or overlap form a span where their first places do so at the same distance: every
+span that is not kept stands word for word in document first_doc. Spans with different first places may overlap.
+
+A repeated passage is found if it holds a window; the words before its first boundary, and those after its last window
+(fewer than a chunk), are not part of a span. Defined cases: null texts count as empty; digests ignore the white
+space between words, though boundaries beside it may move; documents of fewer than MIN_WORDS words have no windows; null ids come after all others; rows that repeat
+both id and text are one document and share its spans; other columns are ignored (or passed through by drop_repeats);
+offsets are bytes of the text in UTF-8.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BYTE_CODES, SpanHasher, materialize, slices, word_spans
+from lumenframe.llm.common import BYTE_CODES, SpanHasher, materialize, run_digests, slices, word_spans
 
 MIN_WORDS = 20
 #: Words on either side whose hashes a boundary's hash must not exceed.
@@ -39,14 +42,14 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_texts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """(text number, digest, first byte, end byte, first word, words) of every chunk, in order."""
+def window_texts(texts: list[str | None], words: int) -> tuple[np.ndarray, ...]:
+    """(text number, digest, first byte, end byte, first word) of every window, in order."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(_PAD + _PAD.join(raw) + _PAD, dtype=np.uint8)
     begin = len(_PAD) + np.concatenate(([0], np.cumsum([len(r) + len(_PAD) for r in raw])))[: len(raw)]
     start, stop = word_spans(data)
-    if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    if len(start) < words:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     doc = np.searchsorted(begin, start, side="right") - 1
     rolled = (gear_hashes(data)[stop - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
     ends = np.ones(len(start), dtype=bool)
@@ -54,63 +57,70 @@ def chunk_texts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         beside = doc[k:] == doc[:-k]
         ends[k:] &= ~beside | (rolled[k:] < rolled[:-k])
         ends[:-k] &= ~beside | (rolled[:-k] <= rolled[k:])
-    ends[:-1] |= doc[:-1] != doc[1:]
-    ends[-1] = True
-    last = np.flatnonzero(ends)
-    first = np.concatenate(([0], last[:-1] + 1))
+    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
+    opens = fresh.copy()
+    opens[1:] |= ends[:-1]
+    last = np.concatenate((fresh[1:], [True]))
+    opens[: len(opens) - words + 1] |= last[words - 1 :]
+    first = np.flatnonzero(opens[: len(opens) - words + 1])
+    first = first[doc[first] == doc[first + words - 1]]
+    digest = run_digests(SpanHasher(data)(start, stop), first, words)
     of = doc[first]
-    word_of = np.searchsorted(doc, of)
-    digest = SpanHasher(data)(start[first], stop[last])
-    return of, digest.view(np.int64), start[first] - begin[of], stop[last] - begin[of], first - word_of, last - first + 1
+    return of, digest.view(np.int64), start[first] - begin[of], stop[first + words - 1] - begin[of], first - np.searchsorted(doc, of)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, rows=4096, size=6 << 20):
-            _, digest, *_ = chunk_texts(part.column(0).to_pylist())
-            values, n = np.unique(digest, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["digest", "n"])
+def _digests(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, rows=4096, size=6 << 20):
+                _, digest, *_ = window_texts(part.column(0).to_pylist(), words)
+                values, n = np.unique(digest, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["digest", "n"])
 
+    return run
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, rows=4096, size=6 << 20):
-            of, digest, start, stop, word, words = chunk_texts(part.column(2).to_pylist())
-            pick = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest), part.column(0).take(pick), part.column(1).take(pick), pa.array((start << 32) | stop), pa.array((word << 32) | words)],
-                names=["digest", "doc_id", "text_key", "bytes", "words"],
-            )
+
+def _windows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, rows=4096, size=6 << 20):
+                of, digest, start, stop, word = window_texts(part.column(2).to_pylist(), words)
+                pick = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digest), part.column(0).take(pick), part.column(1).take(pick), pa.array((start << 32) | stop), pa.array(word)],
+                    names=["digest", "doc_id", "text_key", "bytes", "word"],
+                )
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span: doc_id, text_key, start, stop, n_words, first_doc, kept.
 
-    start and stop are byte offsets; kept spans are the first places of their chunks, all others are repeats of a
+    start and stop are byte offsets; kept spans are the first places of their windows, all others are repeats of a
     passage of document first_doc. text_key tells apart different texts of one id.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = base.select("text").mapInArrow(_digests, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    counts = base.select("text").mapInArrow(_digests(min_words), "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     shared = materialize(counts.where("n > 1").select("digest"), "shared-digests")
-    rows = base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_chunks, "digest long, doc_id long, text_key long, bytes long, words long")
-    found = materialize(rows.join(shared, "digest", "left_semi"), "shared-chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "bytes")
+    rows = base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_windows(min_words), "digest long, doc_id long, text_key long, bytes long, word long")
+    found = materialize(rows.join(shared, "digest", "left_semi"), "shared-windows")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "bytes", "word")
     firsts = found.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("digest", "low")
-    by_place = Window.partitionBy("doc_id", "text_key").orderBy("word")
+    # windows of one document whose first places lie at one distance in one other text
+    along = ["doc_id", "text_key", "first_doc", "first_key", "shift", "kept"]
+    by_place = Window.partitionBy(*along).orderBy("word")
     marked = (
         found.join(firsts, "digest")
         .select(
-            "doc_id", "text_key", F.col("low.doc_id").alias("first_doc"), (place == F.col("low")).alias("kept"),
-            F.shiftright("bytes", 32).alias("start"), F.col("bytes").bitwiseAND(0xFFFFFFFF).alias("stop"),
-            F.shiftright("words", 32).alias("word"), F.col("words").bitwiseAND(0xFFFFFFFF).alias("n"),
+            "doc_id", "text_key", F.col("low.doc_id").alias("first_doc"), F.col("low.text_key").alias("first_key"), (F.col("word") - F.col("low.word")).alias("shift"),
+            (place == F.col("low")).alias("kept"), F.shiftright("bytes", 32).alias("start"), F.col("bytes").bitwiseAND(0xFFFFFFFF).alias("stop"), "word",
         ).distinct()
-        .withColumn("fresh", F.coalesce((F.lag(F.col("word") + F.col("n")).over(by_place) != F.col("word")) | (F.lag("kept").over(by_place) != F.col("kept")), F.lit(True)))
+        .withColumn("fresh", F.coalesce(F.lag("word").over(by_place) + min_words < F.col("word"), F.lit(True)))
         .withColumn("span", F.sum(F.col("fresh").cast("int")).over(by_place))
     )
-    spans = marked.groupBy("doc_id", "text_key", "span").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n_words"), F.min_by("first_doc", "word").alias("first_doc"), F.first("kept").alias("kept")
-    )
-    return spans.where(F.col("n_words") >= min_words).drop("span")
+    spans = marked.groupBy(*along, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") - F.min("word") + min_words).alias("n_words"))
+    return spans.select("doc_id", "text_key", "start", "stop", "n_words", "first_doc", "kept")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -118,7 +128,13 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Needs columns doc_id and text. n_chars, where it is present, follows the new text.
     """
-    cuts = repeated_spans(docs, min_words).where("not kept").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
+    # spans with different first places may overlap: one cut is the union of those that do
+    before = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop")
+    cuts = repeated_spans(docs, min_words).where("not kept").select("doc_id", "text_key", "start", "stop")
+    cuts = cuts.withColumn("reached", F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    cuts = cuts.withColumn("cut", F.sum(F.coalesce(F.col("start") > F.col("reached"), F.lit(True)).cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = cuts.groupBy("doc_id", "text_key", "cut").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    cuts = cuts.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__cuts")
     joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["__key"]), "left")
     raw = F.encode(docs["text"], "UTF-8")

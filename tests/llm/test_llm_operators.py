@@ -426,3 +426,30 @@ def test_repeated_passages(make):
             assert whole not in out[r["doc_id"]]["text"] and out[r["doc_id"]]["n_chars"] == len(out[r["doc_id"]]["text"])
     assert substring_dedup.repeated_spans(make(ODD)).where("not kept AND doc_id < 12").count() == 0
     assert substring_dedup.drop_repeats(make(texts).limit(0)).count() == 0
+
+
+def test_repeated_passages_are_whole(make):
+    rng = random.Random(12)
+    few = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    texts = [" ".join(rng.choice(few) for _ in range(100)) for _ in range(300)]  # nearly all runs of 3 words repeat, none of 20
+    assert substring_dedup.repeated_spans(make(texts)).count() == 0
+    split = [t.split() for t in texts]
+    # passages side by side that come from two documents, a copy with other white space, and copies of a copy
+    split.append(split[0][10:50] + split[1][30:70])
+    split += [split[2], split[3][:60] + split[300][20:70], split[300]]
+    texts = [" ".join(w[:50]) + ("\n\n" if k == 301 else " ") + " ".join(w[50:]) for k, w in enumerate(split)]
+    found = substring_dedup.repeated_spans(make(texts)).collect()
+    covered = {k: set() for k in range(300, 304)}
+    for r in found:
+        run = texts[r["doc_id"]].encode()[r["start"] : r["stop"]].decode().split()
+        assert len(run) == r["n_words"] >= substring_dedup.MIN_WORDS
+        if not r["kept"]:
+            assert r["first_doc"] < r["doc_id"] and f" {' '.join(run)} " in f" {' '.join(split[r['first_doc']])} "
+            before = len(texts[r["doc_id"]].encode()[: r["start"]].decode().split())
+            covered[r["doc_id"]] |= set(range(before, before + len(run)))
+    assert covered[301] == set(range(100)) and covered[303] == set(range(80))
+    assert len(covered[300]) > 60 and len(covered[302]) > 85
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(make(texts)).collect()}
+    assert all(out[k] == texts[k] for k in range(300)) and out[301] == out[303] == ""
+    for k in (300, 302):
+        assert out[k].split() == [w for j, w in enumerate(split[k]) if j not in covered[k]]
