@@ -3,15 +3,20 @@
 Lines are cut into EDITS + 1 segments of nearly equal length. If two lines are within EDITS edits, one of the segments
 of the shorter occurs in the longer, at a place that the lengths and the number of edits left on either side confine
 to a few offsets. Segments are indexed under (length, number, content); each line probes the index for its own and the
-next shorter lengths. Matches whose numbers of letters differ by more than the edits allow are passed over
-in the join. Candidates are stripped of what they share at both ends and verified with a banded bit-parallel edit
+next shorter lengths. A line of EDITS characters or fewer has empty segments; it is indexed
+under its characters instead, since a longer line within EDITS edits of it keeps one of them. Matches whose numbers of
+letters differ by more than the edits allow are passed over in the join. Candidates are stripped of what they share at both ends and verified with a banded bit-parallel edit
 distance: a column of the band is one integer of bits, renewed with a few bit operations per character.
 
-Lines that are equal are one node from the start. Links make classes (connected components); the first line of a class
-by doc_id and line number is kept.
+Lines that are equal are one node from the start. Lines of EDITS characters or fewer are all within EDITS edits of each
+other: these links are counted and not listed. Links make classes (connected components); the first line of a class by
+doc_id and line number is kept.
 
-Defined cases: null texts count as empty; lines are trimmed of blanks; lines of fewer than MIN_CHARS characters are
-left alone (kept, without a class), since segments of very short lines match by chance; null ids come after all
+Two edits make another word of a short line, so drop_repeated_lines cuts a line of fewer than NEAR_CHARS characters only
+where it equals an earlier line; longer ones go by class.
+
+Defined cases: null texts count as empty; lines are trimmed of blanks; empty lines are left alone (kept, without a
+class); null ids come after all
 others; rows that repeat an id are one document; other columns are ignored (or passed through by drop_repeated_lines).
 """
 
@@ -23,7 +28,10 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import connected_components, materialize
 
 EDITS = 2
-MIN_CHARS = 20
+#: Lines with fewer characters have no class: empty ones.
+MIN_CHARS = 1
+#: Lines with fewer characters are cut from texts as equal copies only.
+NEAR_CHARS = 20
 #: Candidate lines whose ids are sent to the tasks (8 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -129,11 +137,32 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
+def _index_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys that a line is found under: its segments, or the characters of a line that has fewer characters than segments."""
+    segments = F.array(*(_key(line, n, i, 0, edits) for i in range(edits + 1)))
+    return F.when(n > edits, segments).otherwise(_character_keys(line, n))
+
+
+def _probe_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys under which a line looks for those of its own and the next shorter lengths."""
+    keys = lambda known: F.array(*(F.when(known(gap), _key(line, n - gap, i, shift, edits)) if known else _key(line, n - gap, i, shift, edits) for gap, i, shift in probe_offsets(edits)))
+    tiny = F.concat(*(F.when((n > edits) & (n - m <= edits), _character_keys(line, F.lit(m))).otherwise(F.array().cast("array<bigint>")) for m in range(1, edits + 1)))
+    short = F.concat(F.filter(keys(lambda gap: n - gap > edits), lambda k: k.isNotNull()), tiny)
+    return F.when(n > 2 * edits, keys(None)).otherwise(short)
+
+
+def _character_keys(line: Column, n: Column) -> Column:
+    return F.transform(F.array_distinct(F.filter(F.split(line, ""), lambda c: c != "")), lambda c: F.xxhash64(n, F.lit(-1), c))
+
+
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b, distance) for each pair of distinct lines (id, line, counts: their letter_counts) within `edits` edits; a has no fewer characters."""
+    """(a, b, distance) for each pair of distinct lines (id, line, counts: their letter_counts) within `edits` edits; a has no fewer characters.
+
+    Pairs in which neither line has more than `edits` characters are all within `edits` edits and not listed.
+    """
     sized = lines.withColumn("n", F.length("line"))
-    index = sized.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.explode(F.array(*(_key(F.col("line"), F.col("n"), i, 0, edits) for i in range(edits + 1)))).alias("key"))
-    probes = sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(F.array(*(_key(F.col("line"), F.col("n") - gap, i, shift, edits) for gap, i, shift in probe_offsets(edits)))).alias("key"))
+    index = sized.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    probes = sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     # equal lengths probe each other: one direction is enough, and more than one segment may match
     candidates = materialize(probes.join(index, (probes["key"] == index["key"]) & (probes["a"] != index["b"]) & near_counts(probes["x"], index["y"], edits)).select("a", "b").distinct(), "line-pairs")
     ids = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
@@ -148,34 +177,45 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return both.select("a", "b", F.expr(banded_distance("x", "y", edits)).cast("int").alias("distance")).where(F.col("distance") <= edits)
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line: doc_id, line_no, line_id, class_id, class_size, n_links, kept."""
+def _placed_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """line_classes, and with each line whether it is cut: not kept, or of few characters and equal to an earlier one."""
     lines = line_rows(docs, id_col, text_col)
     long = F.length("line") >= min_chars
     distinct = materialize(lines.where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line", letter_counts(F.col("line")).alias("counts")), "lines")
-    placed = materialize(lines.select("doc_id", "line_no", F.when(long, F.xxhash64("line")).alias("id")), "line-places")
+    placed = materialize(lines.select("doc_id", "line_no", F.when(long, F.xxhash64("line")).alias("id"), (F.length("line") < NEAR_CHARS).alias("short")), "line-places")
     links = materialize(similar_lines(distinct, edits), "line-links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    component = connected_components(links).withColumnRenamed("node", "id")
+    # lines of `edits` characters or fewer are one class: each is tied to the least of them, and counts all others as links
+    tiny = materialize(distinct.where(F.length("line") <= edits).select("id"), "tiny-lines")
+    least = tiny.agg(F.min("id").alias("b"), F.count("*").alias("n_tiny"))
+    ties = tiny.select(F.col("id").alias("a")).crossJoin(F.broadcast(least))
+    ends = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionByName(ties.select(F.col("a").alias("id"), (F.col("n_tiny") - 1).alias("n")))
+    ends = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
+    component = connected_components(links.select("a", "b").unionByName(ties.select("a", "b"))).withColumnRenamed("node", "id")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")
     with_id = placed.where("id IS NOT NULL")
     nodes = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
-    nodes = nodes.select("id", "n", "low", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = nodes.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("low").alias("low"))
-    nodes = nodes.select("id", "class_id", "n_links").join(classes, "class_id")
+    nodes = nodes.select("id", "n", F.col("low").alias("own"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = nodes.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("own").alias("low"))
+    nodes = nodes.select("id", "own", "class_id", "n_links").join(classes, "class_id")
     with_class = with_id.join(nodes, "id").select(
-        "doc_id", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept")
-    )
+        "doc_id", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept"),
+        (place != F.when(F.col("short"), F.col("own")).otherwise(F.col("low"))).alias("cut"),
+    )
     nothing = F.lit(None).cast("long")
     rest = placed.where("id IS NULL").select(
-        "doc_id", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept")
+        "doc_id", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("cut")
     )
     return with_class.unionByName(rest)
 
 
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line: doc_id, line_no, line_id, class_id, class_size, n_links, kept."""
+    return _placed_lines(docs, edits, min_chars, id_col, text_col).drop("cut")
+
+
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeat an earlier one. Columns and rows stay; n_chars, where present, follows."""
-    gone = line_classes(docs, edits, min_chars).where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = _placed_lines(docs, edits, min_chars, "doc_id", "text").where("cut").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]), "left")
     kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda line, k: ~F.array_contains("__gone", k)), "\n")
     out = joined.withColumn("text", F.when(F.col("__gone").isNull(), docs["text"]).otherwise(kept))

@@ -248,6 +248,32 @@ def test_line_classes(make):
     assert line_dedup.line_classes(make(docs).limit(0)).count() == 0
 
 
+def test_short_lines(make):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdé") for _ in range(rng.randint(0, 7))) for _ in range(300)] + ["x" * 19, "x" * 20, "x" * 21, "quite alone"]
+    docs = ["\n".join(lines[k : k + 8]) for k in range(0, len(lines), 8)]
+    at = {(k, j): line for k, d in enumerate(docs) for j, line in enumerate(d.split("\n"))}
+    distinct = sorted(set(at.values()) - {""})
+    links = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2]
+    root, degree, sizes = union_find(links, distinct), Counter(n for e in links for n in e), Counter()
+    for line in at.values():
+        sizes[root.get(line)] += 1
+    found = {(r["doc_id"], r["line_no"]): r for r in line_dedup.line_classes(make(docs)).collect()}
+    assert set(found) == set(at)
+    for place, line in at.items():
+        r = found[place]
+        if line:
+            assert (r["n_links"], r["class_size"]) == (degree[line], sizes[root[line]])
+        else:
+            assert r["class_id"] is None and r["kept"]
+    assert len({r["class_id"] for r in found.values()} - {None}) == len(set(root.values()))
+    # of short lines, equal ones are cut from texts
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(make(docs)).collect()}
+    first = {line: place for place, line in sorted(at.items(), reverse=True)}
+    stays = lambda place, line: not line or (first[line] == place if len(line) < line_dedup.NEAR_CHARS else found[place]["kept"])
+    assert cut == {k: "\n".join(x for j, x in enumerate(d.split("\n")) if stays((k, j), x)) for k, d in enumerate(docs)}
+
+
 # ---------------------------------------------------------------- 3: near-duplicates
 
 
