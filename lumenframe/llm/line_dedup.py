@@ -17,7 +17,8 @@ where it equals an earlier line; longer ones go by class.
 
 Defined cases: null texts count as empty; lines are trimmed of blanks; empty lines are left alone (kept, without a
 class); null ids come after all
-others; rows that repeat an id are one document; other columns are ignored (or passed through by drop_repeated_lines).
+others; rows that repeat an id with another text are documents of their own, those that repeat both id and text are one
+document; other columns are ignored (or passed through by drop_repeated_lines).
 """
 
 from __future__ import annotations
@@ -130,11 +131,11 @@ def _once(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): lines between line feeds, trimmed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """(doc_id, text_key, line_no, line): lines between line feeds, trimmed; text_key tells apart different texts of one id."""
+    text = whole = F.coalesce(F.col(text_col), F.lit(""))
     for blank in "\t\r":  # searches of bytes, where translate() looks up each character
         text = F.replace(text, F.lit(blank), F.lit(" "))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
 def _index_keys(line: Column, n: Column, edits: int) -> Column:
@@ -178,11 +179,11 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def _placed_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """line_classes, and with each line whether it is cut: not kept, or of few characters and equal to an earlier one."""
+    """line_classes, and with each line its text_key and whether it is cut: not kept, or of few characters and equal to an earlier one."""
     lines = line_rows(docs, id_col, text_col)
     long = F.length("line") >= min_chars
     distinct = materialize(lines.where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line", letter_counts(F.col("line")).alias("counts")), "lines")
-    placed = materialize(lines.select("doc_id", "line_no", F.when(long, F.xxhash64("line")).alias("id"), (F.length("line") < NEAR_CHARS).alias("short")), "line-places")
+    placed = materialize(lines.select("doc_id", "text_key", "line_no", F.when(long, F.xxhash64("line")).alias("id"), (F.length("line") < NEAR_CHARS).alias("short")), "line-places")
     links = materialize(similar_lines(distinct, edits), "line-links")
     # lines of `edits` characters or fewer are one class: each is tied to the least of them, and counts all others as links
     tiny = materialize(distinct.where(F.length("line") <= edits).select("id"), "tiny-lines")
@@ -191,32 +192,32 @@ def _placed_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str, text
     ends = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionByName(ties.select(F.col("a").alias("id"), (F.col("n_tiny") - 1).alias("n")))
     ends = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
     component = connected_components(links.select("a", "b").unionByName(ties.select("a", "b"))).withColumnRenamed("node", "id")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line_no")
     with_id = placed.where("id IS NOT NULL")
     nodes = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
     nodes = nodes.select("id", "n", F.col("low").alias("own"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = nodes.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("own").alias("low"))
     nodes = nodes.select("id", "own", "class_id", "n_links").join(classes, "class_id")
     with_class = with_id.join(nodes, "id").select(
-        "doc_id", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept"),
+        "doc_id", "text_key", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept"),
         (place != F.when(F.col("short"), F.col("own")).otherwise(F.col("low"))).alias("cut"),
     )
     nothing = F.lit(None).cast("long")
     rest = placed.where("id IS NULL").select(
-        "doc_id", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("cut")
+        "doc_id", "text_key", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("cut")
     )
     return with_class.unionByName(rest)
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: doc_id, line_no, line_id, class_id, class_size, n_links, kept."""
-    return _placed_lines(docs, edits, min_chars, id_col, text_col).drop("cut")
+    return _placed_lines(docs, edits, min_chars, id_col, text_col).drop("text_key", "cut")
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeat an earlier one. Columns and rows stay; n_chars, where present, follows."""
-    gone = _placed_lines(docs, edits, min_chars, "doc_id", "text").where("cut").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]), "left")
+    gone = _placed_lines(docs, edits, min_chars, "doc_id", "text").where("cut").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__key"]), "left")
     kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda line, k: ~F.array_contains("__gone", k)), "\n")
     out = joined.withColumn("text", F.when(F.col("__gone").isNull(), docs["text"]).otherwise(kept))
     if "n_chars" in docs.columns:

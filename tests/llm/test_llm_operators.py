@@ -274,6 +274,20 @@ def test_short_lines(make):
     assert cut == {k: "\n".join(x for j, x in enumerate(d.split("\n")) if stays((k, j), x)) for k, d in enumerate(docs)}
 
 
+def test_lines_of_rows_without_ids_of_their_own(make):
+    again = "a line that stands in four of these documents"
+    texts = [f"{again}\nand one line only of the first", f"only the second has this one\n{again}"] * 2
+    texts = [t if k < 2 else t.replace("only", "nothing but") for k, t in enumerate(texts)]
+    out = [r["text"] for r in line_dedup.drop_repeated_lines(make(texts, ids=[None, None, 5, 5])).collect()]
+    own = {line for t in texts for line in t.split("\n")} - {again}
+    left = [line for t in out for line in t.split("\n")]
+    assert len(out) == 4 and left.count(again) == 1 and set(left) - {again} == own
+    same = [f"{again}\nthe first of two at one place", f"{again}\nthe other text, of the same length"]
+    for ids in ([None, None], [3, 3]):
+        left = [line for r in line_dedup.drop_repeated_lines(make(same, ids=ids)).collect() for line in r["text"].split("\n")]
+        assert left.count(again) == 1 and len(left) == 3
+
+
 # ---------------------------------------------------------------- 3: near-duplicates
 
 
