@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
+import re
 import uuid
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (re-exported for notebooks)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,33 +24,59 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    It is set here only where the cluster names none, as in local tests.
+    It is set here only where none is named and all runs on one machine, as in tests.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"/tmp/checkpoints/lumenframe-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
     return named
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
+    """A fresh path in the shared folder, deleted when the application ends if not before."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    fs, found = _hadoop(spark, path)
+    fs.deleteOnExit(found)
     return path
 
 
+#: Spark removes the shuffle files of a write once it has ended, instead of when its plan is collected as garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write df to the shared folder and read it back: work that two branches use is done once and lineage is cut.
 
-    level is that of the compression, which spans the rows of a page.
+    level is that of the compression, which spans the rows of a page. Give the result to discard() when it has been used.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders that materialize wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            fs, found = _hadoop(df.sparkSession, path)
+            fs.delete(found, True)
 
 
 # ---------------------------------------------------------------- columns
@@ -65,6 +91,18 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until it is no column of df: helper columns must not meet those of a caller."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch, rows: int = 512, size: int = 8 << 20, column: str = "text"):
     """Cut an Arrow batch so that a slice holds at most `rows` rows and, single rows aside, `size` bytes of text."""
     lengths = batch.column(column)
@@ -120,12 +158,16 @@ class SpanHasher:
             return mix64(spans + (stop - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-def run_digests(codes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of the n codes from each place in `first` on, by prefix sums as in SpanHasher."""
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(codes * _powers(_BASE, len(codes))[:-1], out=prefix[1:])
-        return mix64((prefix[first + n] - prefix[first]) * _powers(_INVERSE, len(codes))[first])
+#: Longer words are hashed one by one: sums modulo 2**64 tell some long strings of two letters not apart.
+_LONG_WORD = 128
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words."""
+    out = SpanHasher(data)(start, stop)
+    for k in np.flatnonzero(stop - start > _LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 #: ASCII white space: space, and 9 to 13.
@@ -152,7 +194,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     step, so a lost executor costs one step. The hub of a large star is the key of a grouped minimum with partial
     aggregation and of a join that adaptive execution may split, never of a collected list.
     """
-    spark = edges.sparkSession
     e = edges.select("a", "b").where("a <> b")
     e = materialize(e.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "edges")
     last = None
@@ -166,19 +207,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = (
             large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        e = materialize(small, "edges")
+        used, e = e, materialize(small, "edges")
+        discard(used)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
+        if state == last or not state[0]:
             break
         last = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    out = materialize(
+        e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components"
     )
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of frames that are no longer referenced, before the next large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    discard(e)
+    return out

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BYTE_CODES, materialize, release, slices
+from lumenframe.llm.common import BYTE_CODES, discard, materialize, slices
 
 ALIGN = 64
 LEAST, LARGEST = 256, 8192
@@ -166,17 +166,18 @@ def _load(batches: Iterator[pa.RecordBatch], with_media: bool) -> Iterator[pa.Re
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chunk store of the documents' payloads as a table in the shared folder (columns: STORED)."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     listed = materialize(rows.select("k1", "k2", "text").mapInArrow(_list_chunks, "k1 long, k2 int, k int, digest binary"), "chunk-lists")
     place = F.struct("k1", "k2", "k")
     shared = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("low")).where("n > 1").select("digest", "low")
+    shared = materialize(shared, "shared-chunks")
     seen = listed.join(shared, "digest").groupBy("k1", "k2").agg(F.collect_set(F.struct("k", (place == F.col("low")).alias("owner"))).alias("seen"))
+    seen = materialize(seen, "chunks-seen")
+    discard(listed, shared)
     packed = rows.mapInArrow(_compress, "k1 long, k2 int, doc_id long, packed binary")
     store = materialize(packed.join(seen, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "packed", "seen").mapInArrow(_store, STORED), "media-store", level=9)
-    del listed, shared, seen, packed
-    release(spark)
+    discard(seen)
     return store
 
 

@@ -1,23 +1,29 @@
 """Substring deduplication by windows of words at content-defined places.
 
-A gear hash rolls over the bytes of a text; a chunk ends with a word whose hash is the least among it and the two words
-on either side (every fifth word on average, three words at least), so that boundaries depend on some 40 bytes around
-them and fall alike wherever a passage stands, whatever was inserted before it. A window is the MIN_WORDS words from
-the start of a chunk on, or the last MIN_WORDS words of a document; windows are deduplicated by the digest of their
-words. A first pass counts digests with map-side aggregation; only digests seen more than once are joined back to their
-windows, which adaptive execution may split where a passage is very common. The first place of a window, by doc_id and
-position, is kept. Windows that touch or overlap form a span where their first places do so at the same distance: every
-span that is not kept stands word for word in document first_doc. Spans with different first places may overlap.
+Words are runs of bytes other than ASCII white space; a run of more than LARGEST bytes, as in scripts without blanks, is
+taken in pieces that end between characters where a gear hash over the last 16 bytes says so (LEAST to LARGEST bytes).
+The same hash rolls over the words; a chunk ends with a word whose hash is the least among it and the two words on
+either side (every fifth word on average, three words at least), or after MIN_WORDS words without such a place, so that
+boundaries depend on some 40 bytes around them and fall alike wherever a passage stands, whatever was inserted before
+it. A window is the MIN_WORDS words from the start of a chunk on, or the last MIN_WORDS words of a document; windows are
+deduplicated by a 128-bit digest of their words. A first pass counts half digests with map-side aggregation; only those
+seen more than once are joined back to their windows, which adaptive execution may split where a passage is very common,
+and told apart by the whole digest. The first place of a window, by doc_id and position, is kept. Windows that touch or
+overlap form a span where their first places do so at the same distance: every span that is not kept stands word for
+word in document first_doc. Spans with different first places may overlap.
 
 A repeated passage is found if it holds a window; the words before its first boundary, and those after its last window
-(fewer than a chunk), are not part of a span. Defined cases: null texts count as empty; digests ignore the white
-space between words, though boundaries beside it may move; documents of fewer than MIN_WORDS words have no windows; null ids come after all others; rows that repeat
-both id and text are one document and share its spans; other columns are ignored (or passed through by drop_repeats);
-offsets are bytes of the text in UTF-8.
+(fewer than a chunk), are not part of a span. Defined cases: null texts count as empty; the number and kind of blanks
+between words is of no account; documents of fewer than MIN_WORDS words have no windows; texts of any length are read
+whole, one at a time where they are long; null ids come after all others; rows that repeat both id and text are one
+document and share its spans; rows that repeat an id with another text are documents of their own; other columns are
+ignored (or passed through by drop_repeats, whatever their names); offsets are bytes of the text in UTF-8; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BYTE_CODES, SpanHasher, materialize, run_digests, slices, word_spans
+from lumenframe.llm.common import BYTE_CODES, SPACE, discard, materialize, slices, unused, word_spans
 
 MIN_WORDS = 20
 #: Words on either side whose hashes a boundary's hash must not exceed.
 REACH = 2
+#: Sizes in bytes of the pieces of a run without blanks; a run of at most LARGEST bytes is one word.
+LEAST, LARGEST = 8, 48
 GEAR = (BYTE_CODES >> np.uint64(32)).astype(np.uint32)
-_PAD = b"\n" * 16
+_GAP = b"\n" * 16
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -42,39 +51,87 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _pieces(data: np.ndarray, rolled: np.ndarray, start: int, stop: int) -> list[int]:
+    """Ends of the pieces of a run of bytes: between characters, after a byte whose gear hash begins with four zeros."""
+    begins = (data[start:stop] & 0xC0) != 0x80
+    ends, last = [], start
+
+    def forced(until: int) -> None:
+        nonlocal last
+        while until - last > LARGEST:
+            at = last + LARGEST
+            while at > last + LEAST and not begins[at - start]:
+                at -= 1
+            ends.append(at)
+            last = at
+
+    for at in np.flatnonzero(begins[1:] & (rolled[start : stop - 1] >> np.uint32(28) == 0)) + start + 1:
+        forced(at)
+        if at - last >= LEAST:
+            ends.append(int(at))
+            last = int(at)
+    forced(stop)
+    return [*ends, stop] if last < stop else ends
+
+
 def window_texts(texts: list[str | None], words: int) -> tuple[np.ndarray, ...]:
-    """(text number, digest, first byte, end byte, first word) of every window, in order."""
+    """(text number, digests, first byte, end byte, first word) of every window, in order; digests are rows of two integers."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(_PAD + _PAD.join(raw) + _PAD, dtype=np.uint8)
-    begin = len(_PAD) + np.concatenate(([0], np.cumsum([len(r) + len(_PAD) for r in raw])))[: len(raw)]
+    data = np.frombuffer(_GAP + _GAP.join(raw) + _GAP, dtype=np.uint8)
+    begin = len(_GAP) + np.concatenate(([0], np.cumsum([len(r) + len(_GAP) for r in raw])))[: len(raw)]
     start, stop = word_spans(data)
-    if len(start) < words:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    size = stop - start
     doc = np.searchsorted(begin, start, side="right") - 1
-    rolled = (gear_hashes(data)[stop - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
+    # the words with one blank in between, and a gap in front of each text that no hash spans
+    blank = SPACE[data]
+    held = ~blank
+    held[1:] |= held[:-1]
+    held[(begin[:, None] - np.arange(1, len(_GAP) + 1)).ravel()] = True
+    at = np.cumsum(held, dtype=np.int64)[start] - 1
+    plain = np.where(blank, np.uint8(32), data)[held]
+    rolled = gear_hashes(plain)
+    if len(long := np.flatnonzero(size > LARGEST)):
+        ends = [_pieces(plain, rolled, int(at[k]), int(at[k] + size[k])) for k in long]
+        many = np.ones(len(size), dtype=np.int64)
+        many[long] = [len(e) for e in ends]
+        of = np.repeat(np.arange(len(size)), many)
+        high = (at + size)[of]
+        high[np.isin(of, long)] = np.concatenate(ends)
+        low = np.where(np.concatenate(([True], of[1:] != of[:-1])), at[of], np.concatenate(([0], high[:-1])))
+        start, stop, doc, at, size = start[of] + low - at[of], start[of] + high - at[of], doc[of], low, high - low
+    if len(start) < words:
+        none = np.zeros(0, np.int64)
+        return none, np.zeros((0, 2), np.int64), none, none, none
+    marks = (rolled[at + size - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
     ends = np.ones(len(start), dtype=bool)
     for k in range(1, REACH + 1):
         beside = doc[k:] == doc[:-k]
-        ends[k:] &= ~beside | (rolled[k:] < rolled[:-k])
-        ends[:-k] &= ~beside | (rolled[:-k] <= rolled[k:])
+        ends[k:] &= ~beside | (marks[k:] < marks[:-k])
+        ends[:-k] &= ~beside | (marks[:-k] <= marks[k:])
     fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
     opens = fresh.copy()
     opens[1:] |= ends[:-1]
+    chunk = np.flatnonzero(opens)
+    more = (np.diff(np.concatenate((chunk, [len(doc)]))) - 1) // words
+    turn = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+    opens[np.repeat(chunk, more) + turn * words] = True
     last = np.concatenate((fresh[1:], [True]))
     opens[: len(opens) - words + 1] |= last[words - 1 :]
     first = np.flatnonzero(opens[: len(opens) - words + 1])
     first = first[doc[first] == doc[first + words - 1]]
-    digest = run_digests(SpanHasher(data)(start, stop), first, words)
+    final = first + words - 1
+    view = memoryview(plain)
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), (at + size)[final].tolist(), strict=True))
     of = doc[first]
-    return of, digest.view(np.int64), start[first] - begin[of], stop[first + words - 1] - begin[of], first - np.searchsorted(doc, of)
+    return of, np.frombuffer(digests, dtype="<i8").reshape(-1, 2), start[first] - begin[of], stop[final] - begin[of], first - np.searchsorted(doc, of)
 
 
 def _digests(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, rows=4096, size=6 << 20):
-                _, digest, *_ = window_texts(part.column(0).to_pylist(), words)
-                values, n = np.unique(digest, return_counts=True)
+                _, digests, *_ = window_texts(part.column(0).to_pylist(), words)
+                values, n = np.unique(digests[:, 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["digest", "n"])
 
     return run
@@ -83,12 +140,12 @@ def _digests(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _windows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, rows=4096, size=6 << 20):
-                of, digest, start, stop, word = window_texts(part.column(2).to_pylist(), words)
+            for part in slices(batch, rows=4096, size=6 << 20, column="text"):
+                of, digests, start, stop, word = window_texts(part.column(2).to_pylist(), words)
                 pick = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest), part.column(0).take(pick), part.column(1).take(pick), pa.array((start << 32) | stop), pa.array(word)],
-                    names=["digest", "doc_id", "text_key", "bytes", "word"],
+                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), part.column(0).take(pick), part.column(1).take(pick), pa.array((start << 32) | stop), pa.array(word)],
+                    names=["digest", "digest2", "doc_id", "text_key", "bytes", "word"],
                 )
 
     return run
@@ -103,15 +160,16 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = base.select("text").mapInArrow(_digests(min_words), "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     shared = materialize(counts.where("n > 1").select("digest"), "shared-digests")
-    rows = base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_windows(min_words), "digest long, doc_id long, text_key long, bytes long, word long")
+    rows = base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_windows(min_words), "digest long, digest2 long, doc_id long, text_key long, bytes long, word long")
     found = materialize(rows.join(shared, "digest", "left_semi"), "shared-windows")
+    discard(shared)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "bytes", "word")
-    firsts = found.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("digest", "low")
+    firsts = found.groupBy("digest", "digest2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("digest", "digest2", "low")
     # windows of one document whose first places lie at one distance in one other text
     along = ["doc_id", "text_key", "first_doc", "first_key", "shift", "kept"]
     by_place = Window.partitionBy(*along).orderBy("word")
     marked = (
-        found.join(firsts, "digest")
+        found.join(firsts, ["digest", "digest2"])
         .select(
             "doc_id", "text_key", F.col("low.doc_id").alias("first_doc"), F.col("low.text_key").alias("first_key"), (F.col("word") - F.col("low.word")).alias("shift"),
             (place == F.col("low")).alias("kept"), F.shiftright("bytes", 32).alias("start"), F.col("bytes").bitwiseAND(0xFFFFFFFF).alias("stop"), "word",
@@ -120,32 +178,37 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         .withColumn("span", F.sum(F.col("fresh").cast("int")).over(by_place))
     )
     spans = marked.groupBy(*along, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") - F.min("word") + min_words).alias("n_words"))
-    return spans.select("doc_id", "text_key", "start", "stop", "n_words", "first_doc", "kept")
+    spans = materialize(spans.select("doc_id", "text_key", "start", "stop", "n_words", "first_doc", "kept"), "spans")
+    discard(found)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated spans cut out of `text`; a cut leaves one line break. Columns and rows stay.
+    """docs with the repeated spans cut out of `text`; a cut leaves one line break, what is kept stays as it is.
 
-    Needs columns doc_id and text. n_chars, where it is present, follows the new text.
+    Columns and rows stay. Needs columns doc_id and text. n_chars, where it is present, follows the new text.
     """
+    id_, key, cut = unused(docs, "id", "key", "cuts")
     # spans with different first places may overlap: one cut is the union of those that do
     before = Window.partitionBy("doc_id", "text_key").orderBy("start", "stop")
-    cuts = repeated_spans(docs, min_words).where("not kept").select("doc_id", "text_key", "start", "stop")
+    spans = repeated_spans(docs, min_words)
+    cuts = spans.where("not kept").select("doc_id", "text_key", "start", "stop")
     cuts = cuts.withColumn("reached", F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     cuts = cuts.withColumn("cut", F.sum(F.coalesce(F.col("start") > F.col("reached"), F.lit(True)).cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = cuts.groupBy("doc_id", "text_key", "cut").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    cuts = cuts.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__cuts")
-    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["__key"]), "left")
+    cuts = cuts.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cut))
+    cuts = materialize(cuts, "cuts")
+    discard(spans)
+    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(cuts[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts[key]), "left")
     raw = F.encode(docs["text"], "UTF-8")
     # what stands before each cut, and after the last one
     kept = F.expr(
-        "transform(sequence(0, size(__cuts)), i -> struct(CASE WHEN i = 0 THEN 0 ELSE get(__cuts, i - 1).stop END AS lo,"
-        " CASE WHEN i = size(__cuts) THEN octet_length(text) ELSE get(__cuts, i).start END AS hi))"
+        f"transform(sequence(0, size(`{cut}`)), i -> struct(CASE WHEN i = 0 THEN 0 ELSE get(`{cut}`, i - 1).stop END AS lo,"
+        f" CASE WHEN i = size(`{cut}`) THEN octet_length(text) ELSE get(`{cut}`, i).start END AS hi))"
     )
     pieces = F.transform(kept, lambda p: F.decode(F.substring(raw, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")), "UTF-8"))
-    text = F.when(F.col("__cuts").isNull(), docs["text"]).otherwise(F.array_join(F.filter(F.transform(pieces, F.trim), lambda s: s != ""), "\n"))
+    text = F.when(F.col(cut).isNull(), docs["text"]).otherwise(F.array_join(F.filter(pieces, lambda p: F.trim(p, F.lit(_BLANKS)) != ""), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
