@@ -8,17 +8,22 @@ under its characters instead, since a longer line within EDITS edits of it keeps
 letters differ by more than the edits allow are passed over in the join. Candidates are stripped of what they share at both ends and verified with a banded bit-parallel edit
 distance: a column of the band is one integer of bits, renewed with a few bit operations per character.
 
+A key with more than CROWD indexed lines is crowded. Its lines are dealt to blocks, and pairs are counted and joined inside
+a row of two blocks: such a row gives each line its number of links and the least line that it is connected to there,
+so that rows grow with lines times blocks and no row stands for a pair. A pair is counted under the least key that it
+shares, and only where all of these are crowded; otherwise the join has it.
+
 Lines that are equal are one node from the start. Lines of EDITS characters or fewer are all within EDITS edits of each
 other: these links are counted and not listed. Links make classes (connected components); the first line of a class by
-doc_id and line number is kept.
+doc_id and line number is kept. A line's id is a 64-bit hash, and unique: lines that share one are given others.
 
 Two edits make another word of a short line, so drop_repeated_lines cuts a line of fewer than NEAR_CHARS characters only
 where it equals an earlier line; longer ones go by class.
 
 Defined cases: null texts count as empty; lines are trimmed of blanks; empty lines are left alone (kept, without a
-class); null ids come after all
-others; rows that repeat an id with another text are documents of their own, those that repeat both id and text are one
-document; other columns are ignored (or passed through by drop_repeated_lines).
+class); lines and texts of any length are compared whole; null ids come after all others; rows that repeat an id with
+another text are documents of their own, those that repeat both id and text are one document; other columns are ignored
+(or passed through by drop_repeated_lines, whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +31,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import connected_components, materialize
+from lumenframe.llm.common import connected_components, discard, materialize, unused
 
 EDITS = 2
 #: Lines with fewer characters have no class: empty ones.
 MIN_CHARS = 1
 #: Lines with fewer characters are cut from texts as equal copies only.
 NEAR_CHARS = 20
+#: Indexed lines under one key beyond which pairs are counted in blocks, and lines of a block.
+CROWD, BLOCK = 128, 128
+#: Hashes that meet by chance and are known to the driver at once: 10 ** 12 lines have some 27000 such pairs.
+MET = 100_000
 #: Candidate lines whose ids are sent to the tasks (8 bytes each); beyond, the join is by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -69,6 +78,11 @@ def _common(a: str, b: str, n: str) -> str:
     return f"aggregate({steps}, 0, (p, k) -> CASE WHEN p + k <= {n} AND substring({a}, p + 1, k) = substring({b}, p + 1, k) THEN p + k ELSE p END)"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for body with a name for value, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def banded_distance(a: str, b: str, edits: int) -> str:
     """SQL for the edit distance of columns a and b (from `characters`, a not the shorter), exact up to `edits`.
 
@@ -78,7 +92,7 @@ def banded_distance(a: str, b: str, edits: int) -> str:
     width = 2 * edits + 1
     mask = (1 << width) - 1
     equal = " + ".join(f"CASE WHEN get({a}, j - {edits + 1} + {k}) = c THEN {1 << k} ELSE 0 END" for k in range(width))
-    let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
+    let = _let
     at = f"least({2 * edits}, size({a}) - j + {edits})"  # bit of the row that the score follows
     renewed = (
         "named_struct('vp', (t.hn | ~(shiftright(t.d0, 1) | t.hp)) & {m}L, 'vn', shiftright(t.d0, 1) & t.hp & {m}L,"
@@ -96,35 +110,51 @@ def banded_distance(a: str, b: str, edits: int) -> str:
     )
 
 
-#: Letters whose numbers are compared before a pair becomes a candidate; the k-th shares 4 bits with the (k + 13)-th.
-COUNTED = "etnaoirshdlucmpfgwybvkxqjz"
-CLASSES = 13
+#: Letters whose numbers are compared before a pair becomes a candidate.
+COUNTED = "etnaoirshdluc"
 
 
 def letter_counts(line: Column) -> Column:
-    """Numbers of letters by class in one integer, each modulo 16."""
+    """Numbers of the counted letters in one integer, each modulo 16."""
     count = lambda letter: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
     out = F.lit(0).cast("long")
-    for k in range(CLASSES):
-        both = count(COUNTED[k]) + count(COUNTED[k + CLASSES])
-        out = out.bitwiseOR(F.shiftleft(both.bitwiseAND(15).cast("long"), 4 * k))
+    for k, letter in enumerate(COUNTED):
+        out = out.bitwiseOR(F.shiftleft(count(letter).bitwiseAND(15).cast("long"), 4 * k))
     return out
 
 
 def near_counts(x: Column, y: Column, edits: int) -> Column:
     """False for lines that are more than `edits` apart: an edit changes two of the numbers by one at most."""
     total = F.lit(0).cast("long")
-    for k in range(CLASSES):
+    for k in range(len(COUNTED)):
         gap = (F.shiftright(x, 4 * k) - F.shiftright(y, 4 * k)).bitwiseAND(15)
         total = total + F.least(gap, 16 - gap)
     return total <= 2 * edits
 
 
+def near_counts_sql(x: str, y: str, edits: int) -> str:
+    """near_counts for SQL expressions inside a lambda."""
+    gap = "((shiftright({x}, {k}) - shiftright({y}, {k})) & 15)"
+    parts = (f"least({g}, 16 - {g})" for k in range(len(COUNTED)) for g in [gap.format(x=x, y=y, k=4 * k)])
+    return f"({' + '.join(parts)}) <= {2 * edits}"
+
+
 def characters(text: str, edits: int) -> str:
     """SQL for the characters of a text and `edits` marks behind them, so that the band's lower edge starts in range."""
     return f"concat(filter(split({text}, ''), c -> c <> ''), array_repeat('', {edits}))"
 
 
+def line_distance(x: str, y: str, edits: int) -> str:
+    """SQL for the edit distance of two texts, exact up to `edits`, less what they share at both ends; x is not the shorter."""
+    inner = banded_distance("cx", "cy", edits)
+    for name, text in (("cy", "my"), ("cx", "mx")):
+        inner = _let(characters(f"substring({text}, 1, length({text}) - q)", edits), name, inner)
+    inner = _let(_common("reverse(mx)", "reverse(my)", "length(my)"), "q", inner)
+    for name, text in (("my", y), ("mx", x)):
+        inner = _let(f"substring({text}, p + 1)", name, inner)
+    return _let(_common(x, y, f"length({y})"), "p", inner)
+
+
 def _once(df: DataFrame, *columns: str) -> DataFrame:
     """select whose results are computed once a row: a generator keeps them from being copied into later expressions."""
     return df.select(F.inline(F.array(F.struct(*(F.expr(c) for c in columns)))))
@@ -156,49 +186,127 @@ def _character_keys(line: Column, n: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(F.split(line, ""), lambda c: c != "")), lambda c: F.xxhash64(n, F.lit(-1), c))
 
 
-def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def _found_under(sized: DataFrame, edits: int) -> DataFrame:
+    return sized.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+
+
+def _looking_under(sized: DataFrame, edits: int) -> DataFrame:
+    return sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A side that is sent to the tasks where its rows, one number each, are few by count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def similar_lines(lines: DataFrame, edits: int = EDITS, crowded: DataFrame | None = None) -> DataFrame:
     """(a, b, distance) for each pair of distinct lines (id, line, counts: their letter_counts) within `edits` edits; a has no fewer characters.
 
-    Pairs in which neither line has more than `edits` characters are all within `edits` edits and not listed.
+    Pairs in which neither line has more than `edits` characters are all within `edits` edits and not listed, nor are
+    those that share crowded keys only.
     """
     sized = lines.withColumn("n", F.length("line"))
-    index = sized.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probes = sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    index, probes = _found_under(sized, edits), _looking_under(sized, edits)
+    if crowded is not None:
+        index = index.join(_bounded(crowded.select("key")), "key", "left_anti")
     # equal lengths probe each other: one direction is enough, and more than one segment may match
     candidates = materialize(probes.join(index, (probes["key"] == index["key"]) & (probes["a"] != index["b"]) & near_counts(probes["x"], index["y"], edits)).select("a", "b").distinct(), "line-pairs")
     ids = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialize(lines.select("id", "line").join(ids, "id", "left_semi"), "line-texts")
+    texts = materialize(lines.select("id", "line").join(_bounded(ids), "id", "left_semi"), "line-texts")
     both = candidates.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     both = both.where("length(x) > length(y) OR (length(x) = length(y) AND a < b)")
     both = _once(both, "a", "b", "x", "y", f"{_common('x', 'y', 'length(y)')} AS p")
     both = _once(both, "a", "b", "substring(x, p + 1) AS x", "substring(y, p + 1) AS y", "reverse(substring(x, p + 1)) AS rx", "reverse(substring(y, p + 1)) AS ry")
     both = _once(both, "a", "b", "x", "y", f"{_common('rx', 'ry', 'length(y)')} AS q")
     both = _once(both, "a", "b", *(f"{characters(f'substring({c}, 1, length({c}) - q)', edits)} AS {c}" for c in "xy"))
-    return both.select("a", "b", F.expr(banded_distance("x", "y", edits)).cast("int").alias("distance")).where(F.col("distance") <= edits)
+    links = materialize(both.select("a", "b", F.expr(banded_distance("x", "y", edits)).cast("int").alias("distance")).where(F.col("distance") <= edits), "line-links")
+    discard(candidates, ids, texts)
+    return links
+
+
+def crowded_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, held): keys under which more than CROWD lines are found."""
+    sized = lines.withColumn("n", F.length("line"))
+    return materialize(_found_under(sized, edits).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > CROWD), "crowded-keys")
+
+
+def crowded_links(lines: DataFrame, crowded: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(id, n, low): of the links that similar_lines leaves to crowded keys, those that a line has within two blocks, and the least line they connect it to."""
+    sized = lines.withColumn("n", F.length("line"))
+    keys = _bounded(crowded.select("key"))
+    held = materialize(_found_under(sized, edits).join(keys, "key", "left_semi").select("key", F.col("b").alias("id")), "crowded-held")
+    asking = materialize(_looking_under(sized, edits).join(keys, "key", "left_semi").select("key", F.col("a").alias("id")).distinct(), "crowded-asking")
+    own = asking.groupBy("id").agg(F.collect_set("key").alias("hot"))  # at most one for each probe of a line
+    ids = materialize(held.select("id").unionByName(asking.select("id")).distinct(), "crowded-ids")
+    facts = sized.join(_bounded(ids), "id", "left_semi").join(own, "id", "left")
+    probes = _probe_keys(F.col("line"), F.col("n"), edits)
+    hot = F.coalesce("hot", F.array().cast("array<bigint>"))
+    facts = facts.select("id", F.struct("id", "line", "n", "counts", hot.alias("hot"), F.array_except(probes, hot).alias("cold"), _index_keys(F.col("line"), F.col("n"), edits).alias("under")).alias("member"))
+    facts = materialize(facts, "crowded-lines")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        counts = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "crowded-blocks")
+        dealt = rows.join(_bounded(counts), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks"))
+        return dealt.join(facts, "id").groupBy("key", "block").agg(F.collect_list("member").alias(name)).drop("block")
+
+    both = blocks(asking, "xs").join(blocks(held, "ys"), "key")
+    linked = (
+        f"x.id <> y.id AND (x.n > y.n OR (x.n = y.n AND x.id < y.id)) AND {near_counts_sql('x.counts', 'y.counts', edits)}"
+        " AND key = array_min(array_intersect(x.hot, y.under)) AND NOT arrays_overlap(x.cold, y.under)"
+        f" AND {line_distance('x.line', 'y.line', edits)} <= {edits}"
+    )
+    both = _once(both, f"filter(transform(xs, x -> struct(x.id AS id, transform(filter(ys, y -> {linked}), y -> y.id) AS near)), r -> size(r.near) > 0) AS links")
+    # groups of lines that are connected within the two blocks
+    group = "concat(array(r.id), r.near)"
+    join = f"concat(filter(g, s -> NOT arrays_overlap(s, {group})), array(array_distinct(flatten(concat(filter(g, s -> arrays_overlap(s, {group})), array({group}))))))"
+    both = _once(both.where("size(links) > 0"), "links", f"aggregate(links, CAST(array() AS array<array<bigint>>), (g, r) -> {join}) AS parts", "flatten(transform(links, r -> r.near)) AS ends")
+    rows = both.select("links", "ends", F.explode("parts").alias("part")).select("links", "ends", F.array_min("part").alias("low"), F.explode("part").alias("id"))
+    count = "CAST(coalesce(get(filter(links, r -> r.id = id), 0).near, array()) AS array<bigint>)"
+    out = materialize(rows.select("id", F.expr(f"CAST(size({count}) + size(filter(ends, e -> e = id)) AS BIGINT)").alias("n"), "low"), "crowded-links")
+    discard(held, asking, ids, facts)
+    return out
+
+
+def _distinct_ids(distinct: DataFrame) -> Column:
+    """The id of a line, unique among these lines: those whose hashes meet are hashed again with a number."""
+    line, salt = F.col("line"), 0
+    out = F.xxhash64(line)
+    while met := [r["id"] for r in distinct.select(out.alias("id")).groupBy("id").count().where("count > 1").limit(MET + 1).collect()]:
+        if len(met) > MET:
+            raise RuntimeError("line hashes meet far more often than by chance")
+        salt += 1
+        out = F.when(out.isin(met), F.xxhash64(line, F.lit(salt))).otherwise(out)
+    return out
 
 
 def _placed_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     """line_classes, and with each line its text_key and whether it is cut: not kept, or of few characters and equal to an earlier one."""
     lines = line_rows(docs, id_col, text_col)
     long = F.length("line") >= min_chars
-    distinct = materialize(lines.where(long).select("line").distinct().select(F.xxhash64("line").alias("id"), "line", letter_counts(F.col("line")).alias("counts")), "lines")
-    placed = materialize(lines.select("doc_id", "text_key", "line_no", F.when(long, F.xxhash64("line")).alias("id"), (F.length("line") < NEAR_CHARS).alias("short")), "line-places")
-    links = materialize(similar_lines(distinct, edits), "line-links")
+    distinct = materialize(lines.where(long).select("line").distinct().select("line", letter_counts(F.col("line")).alias("counts")), "lines")
+    line_id = _distinct_ids(distinct)
+    nodes = distinct.select(line_id.alias("id"), "line", "counts")
+    placed = materialize(lines.select("doc_id", "text_key", "line_no", F.when(long, line_id).alias("id"), (F.length("line") < NEAR_CHARS).alias("short")), "line-places")
+    crowded = crowded_keys(nodes, edits)
+    links = similar_lines(nodes, edits, crowded)
+    within = crowded_links(nodes, crowded, edits)
     # lines of `edits` characters or fewer are one class: each is tied to the least of them, and counts all others as links
-    tiny = materialize(distinct.where(F.length("line") <= edits).select("id"), "tiny-lines")
+    tiny = materialize(nodes.where(F.length("line") <= edits).select("id"), "tiny-lines")
     least = tiny.agg(F.min("id").alias("b"), F.count("*").alias("n_tiny"))
-    ties = tiny.select(F.col("id").alias("a")).crossJoin(F.broadcast(least))
-    ends = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionByName(ties.select(F.col("a").alias("id"), (F.col("n_tiny") - 1).alias("n")))
+    ties = tiny.select(F.col("id").alias("a")).crossJoin(F.broadcast(least))  # with one row
+    one = F.lit(1).cast("long").alias("n")
+    ends = links.select(F.col("a").alias("id"), one).unionByName(links.select(F.col("b").alias("id"), one))
+    ends = ends.unionByName(within.select("id", "n")).unionByName(ties.select(F.col("a").alias("id"), (F.col("n_tiny") - 1).alias("n")))
     ends = ends.groupBy("id").agg(F.sum("n").alias("n_links"))
-    component = connected_components(links.select("a", "b").unionByName(ties.select("a", "b"))).withColumnRenamed("node", "id")
+    component = connected_components(links.select("a", "b").unionByName(within.select(F.col("id").alias("a"), F.col("low").alias("b"))).unionByName(ties.select("a", "b"))).withColumnRenamed("node", "id")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line_no")
     with_id = placed.where("id IS NOT NULL")
-    nodes = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
-    nodes = nodes.select("id", "n", F.col("low").alias("own"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = nodes.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("own").alias("low"))
-    nodes = nodes.select("id", "own", "class_id", "n_links").join(classes, "class_id")
-    with_class = with_id.join(nodes, "id").select(
+    known = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
+    known = materialize(known.select("id", "n", F.col("low").alias("own"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-nodes")
+    classes = known.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("own").alias("low"))
+    known = materialize(known.select("id", "own", "class_id", "n_links").join(classes, "class_id"), "line-classes")
+    discard(distinct, crowded, links, within, tiny, component)
+    with_class = with_id.join(known, "id").select(
         "doc_id", "text_key", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept"),
         (place != F.when(F.col("short"), F.col("own")).otherwise(F.col("low"))).alias("cut"),
     )
@@ -216,10 +324,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeat an earlier one. Columns and rows stay; n_chars, where present, follows."""
-    gone = _placed_lines(docs, edits, min_chars, "doc_id", "text").where("cut").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__key"]), "left")
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda line, k: ~F.array_contains("__gone", k)), "\n")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), docs["text"]).otherwise(kept))
+    id_, key, cut = unused(docs, "id", "key", "gone")
+    gone = _placed_lines(docs, edits, min_chars, "doc_id", "text").where("cut").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.collect_set("line_no").alias(cut))
+    gone = materialize(gone, "lines-gone")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[key]), "left")
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda line, k: ~F.array_contains(F.col(cut), k)), "\n")
+    out = joined.withColumn("text", F.when(F.col(cut).isNull(), docs["text"]).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
