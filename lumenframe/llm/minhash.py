@@ -7,17 +7,24 @@ documents share exactly the points of their common weight. Each point also falls
 earliest point. Two slots agree with probability sum(min) / sum(max): the weighted Jaccard similarity, without bias.
 Points are drawn in order of time, and a process stops once it is later than all slots of its document.
 
-Signatures are cut into bands. Equal bags are one node from the start. Small band buckets are compared in full. Members
-of crowded ones, which hold many versions of one text below the threshold, go to finer buckets: the rarest shingles of
-their bags, as many as two bags at the threshold can't both be without. There, small buckets are compared in full again;
-in large ones the members are first compared with pivots, and only pairs still in different components in full, so that
-no pair is left undecided while a large class costs a comparison per member. Every link is decided by the exact multiset
-overlap of the two texts.
+Signatures are cut into bands. Equal bags are one node from the start. A member of a band bucket is first compared with
+one pivot: the least member that it shares most of its buckets with. What is left to compare are the members of one
+bucket that lie in different components. In buckets of up to SMALL members these pairs are listed. In larger ones, which
+hold many versions of one text, the largest component is set apart: every other member is compared with all of that
+component, and then with the other members that are not of it. Both are done block by block inside tasks, which give
+back a spanning forest of the links found and no other pair, so that no row stands for a pair of a large bucket. Every
+link is decided by the exact multiset overlap of two texts, and at the end every two members of a bucket have been
+compared or are of one class. Comparisons in tasks do grow with the square of a bucket whose members stay below the
+threshold; rows and shuffled bytes grow with members times blocks.
+
+Two texts at the threshold share a band with a probability of 0.99995; listed pairs are also passed over where their
+signatures agree on less than SCREEN, seven deviations below the threshold.
 
 Defined cases: words are runs of characters other than ASCII white space, lower-cased. A text of one to four words is
-one shingle. Null, empty and blank texts have the empty bag and are one class. A class is named by its smallest
-doc_id; null ids sort last, and a class of null ids has the null name. Rows that repeat an id are nodes of their own.
-Other columns are ignored. An empty table gives an empty result.
+one shingle. Null, empty and blank texts have the empty bag and are one class. Texts are read whole, whatever their
+length. A class is named by its smallest doc_id; null ids sort last, and a class of null ids alone is named by a
+negative number of its own. Rows that repeat an id are nodes of their own. Other columns are ignored (or passed through
+by drop_near_duplicates, whatever their names). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +36,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import SpanHasher, connected_components, materialize, mix64, slices, word_spans
+from lumenframe.llm.common import connected_components, discard, materialize, mix64, slices, unused, word_hashes, word_spans
 
 U = np.uint64
 SHINGLE = 5
@@ -41,14 +48,10 @@ SLOTS = 128
 BANDS, BAND_SLOTS = 25, 5
 #: A pair whose signatures agree on fewer slots than this share is over seven deviations from the threshold.
 SCREEN = 0.55
-#: Buckets up to this size are compared in full at once.
+#: In buckets up to this size pairs are listed.
 SMALL = 16
-#: Rounds for larger buckets after the first; in the last one, what is left is compared in full.
-PIVOT_ROUNDS = 4
-#: Pivots of a bucket in such a round, from different components.
-PIVOTS = 8
-#: Tokens of a bag by which a pair is seen to have met in an earlier bucket.
-HEAD = 32
+#: Members of a block in larger ones, and bytes of their compressed texts.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +61,7 @@ def shingle_bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
     start, stop = word_spans(data)
-    words = SpanHasher(data)(start, stop)
+    words = word_hashes(data, start, stop)
     doc = np.searchsorted(begin, start, side="right") - 1
     per = np.bincount(doc, minlength=len(raw))
     first = np.concatenate(([0], np.cumsum(per)))[:-1]
@@ -189,55 +192,51 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near, pa.float64()).filter(keep)], names=["a", "b", "similarity"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, token, n): each occurrence of a shingle is a token of its own, so that bags are sets of n tokens."""
-    expand = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            of, hashes, counts = shingle_bags([expand.decompress(x).decode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()])
-            which = np.repeat(np.arange(len(of)), counts)
-            turn = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            with np.errstate(over="ignore"):
-                token = mix64(hashes[which] + turn.astype(np.uint64) * _STEP)
-            size = np.bincount(of[which], minlength=part.num_rows)[of[which]]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[which])), pa.array(token.view(np.int64)), pa.array(size)], names=["row", "token", "n"])
+def _find(up: dict[int, int], x: int) -> int:
+    while up.setdefault(x, x) != x:
+        up[x] = x = up[up[x]]
+    return x
 
 
-def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, rep, n, left, before): the rarest tokens of each bag, as many as two bags at the threshold can't both be without.
+def _join_blocks(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between two blocks, as a spanning forest over the components of their members.
 
-    Two bags of which one has n tokens share ceil(threshold * n) of them at least, so that of the n - that + 1 rarest
-    tokens of either, in one order for all bags, one is common. Tokens of a single bag count but find no partner. `left` counts
-    the bag's tokens from this one on: after the first common token, no more than these can be common. `before` has the
-    first tokens in front of this one: a pair that shares one of them meets in that token's bucket.
+    Rows (key, i, j, mine, rep, component, packed, bands): in block i and in block j, or in one block where i = j. Where
+    bands are given, pairs that also share a band below the key are passed over: they meet there.
     """
-    tokens = materialize(texts.select("row", "packed").mapInArrow(_tokens, "row long, token long, n long"), "bag-tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(often, "token")
-    in_bag = Window.partitionBy("row")
-    ranked = shared.withColumns({"k": F.row_number().over(in_bag.orderBy("df", "token")), "m": F.count("*").over(in_bag)})
-    ranked = ranked.withColumns({"rank": F.col("k") + F.col("n") - F.col("m"), "head": F.collect_list(F.when(F.col("k") <= HEAD, F.col("token"))).over(in_bag.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(
-        F.col("token").alias("bucket"), F.col("row").alias("rep"), "n", (F.col("n") - F.col("rank") + 1).alias("left"), F.slice("head", F.lit(1), F.least(F.col("k") - 1, F.lit(HEAD))).alias("before")
-    )
-
-
-def _may_reach(a: Column, b: Column, threshold: float) -> Column:
-    """Whether this may be the first common token of two bags, and their overlap still what the threshold asks for."""
-    return (F.least(a["left"], b["left"]) >= (a["n"] + b["n"]) * (threshold / (1 + threshold)) - 1e-6) & ~F.arrays_overlap(a["before"], b["before"])
-
-
-def _unbounded() -> tuple[Column, ...]:
-    """For members of band buckets, which nothing but the bucket bounds."""
-    return F.lit(1).alias("n"), F.lit(1).alias("left"), F.array().cast("array<bigint>").alias("before")
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """Members with the size and the pivot of each bucket that has more than one; members are structs (rep, n, left, before)."""
-    rows = rows.select("bucket", "rep", F.struct("rep", "n", "left", "before").alias("member"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("member").alias("pivot")).where("size > 1")
-    return rows.join(sizes, "bucket")
+    key, mine, rep, component, packed, bands = (table.column(c).to_pylist() for c in ("key", "mine", "rep", "component", "packed", "bands"))
+    expand = zstandard.ZstdDecompressor()
+    of, hashes, counts = shingle_bags([expand.decompress(x).decode("utf-8", "surrogatepass") for x in packed])
+    cut = np.searchsorted(of, np.arange(len(rep) + 1))
+    total = np.bincount(of, weights=counts, minlength=len(rep))
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py() and all(mine)
+    left = [k for k in range(len(rep)) if mine[k]]
+    right = np.array(left if same else [k for k in range(len(rep)) if not mine[k]], dtype=np.int64)
+    inside = np.isin(of, right)
+    order = np.argsort(hashes[inside], kind="stable")
+    pool, pool_of, pool_counts = hashes[inside][order], of[inside][order], counts[inside][order]
+    up: dict[int, int] = {}
+    out: list[tuple[int, int, float]] = []
+    around = {component[y] for y in right}
+    for x in left:
+        root = _find(up, component[x])
+        if all(_find(up, c) == root for c in around):
+            continue
+        h, c = hashes[cut[x] : cut[x + 1]], counts[cut[x] : cut[x + 1]]
+        low, high = np.searchsorted(pool, h, "left"), np.searchsorted(pool, h, "right")
+        many = high - low
+        at = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        common = np.bincount(pool_of[at], weights=np.minimum(np.repeat(c, many), pool_counts[at]), minlength=len(rep))
+        similarity = common / np.maximum(total[x] + total - common, 1)
+        for y in right[similarity[right] >= threshold]:
+            if (same and y <= x) or (a := _find(up, component[x])) == (b := _find(up, component[y])):
+                continue
+            if bands[x] and min(set(bands[x]) & set(bands[y]), default=key[0]) < key[0]:
+                continue
+            up[max(a, b)] = min(a, b)
+            out.append((min(rep[x], rep[y]), max(rep[x], rep[y]), float(similarity[y])))
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
+    return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "similarity"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -250,17 +249,47 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         "near-pairs",
     )
     text = texts.select("row", "packed")
-    both = near.join(text.select(F.col("row").alias("a"), F.col("packed").alias("x")), "a").join(text.select(F.col("row").alias("b"), F.col("packed").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold), "a long, b long, similarity double"), "links")
+    both = near.hint("merge").join(text.select(F.col("row").alias("a"), F.col("packed").alias("x")), "a").join(text.select(F.col("row").alias("b"), F.col("packed").alias("y")), "b")
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold), "a long, b long, similarity double"), "links")
+    discard(near)
+    return links
+
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows (with rep and packed) with the number of blocks of their key and the block that each is dealt to."""
+    blocks = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("packed")) / BLOCK_BYTES)).cast("int").alias("blocks"), F.count("*").alias("held"))
+    return rows.join(materialize(blocks, "blocks"), key).withColumn("block", F.pmod(F.xxhash64("rep", key), "blocks").cast("int"))
 
-def _components(links: list[DataFrame], members: DataFrame) -> DataFrame:
-    """Bucket members with their component, which is the row itself where nothing is linked."""
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    found = connected_components(edges)
-    return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+def _crowded_links(placed: DataFrame, opened: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between components in buckets of more than SMALL members: with a bucket's major component, and past it.
+
+    placed: (bucket, rep, size, component); opened: (bucket, major) of the buckets with more than one component.
+    """
+    text = texts.select(F.col("row").alias("rep"), "packed", "bands")
+    past = materialize(placed.where(F.col("size") > SMALL).join(opened, "bucket").where("component <> major"), "past-major")
+    asks = past.select("rep", "component", "major").distinct().join(text.drop("bands"), "rep")
+    asks = materialize(_dealt(asks, "major"), "asks")
+    sizes = asks.select("major", F.col("blocks").alias("asked")).distinct()
+    held = placed.select("rep", "component").distinct().join(sizes.select(F.col("major").alias("component")).distinct(), "component", "left_semi")
+    held = held.withColumn("major", F.col("component")).join(text.drop("bands"), "rep")
+    held = materialize(_dealt(held, "major").join(sizes, "major"), "majors")
+    nothing = F.array().cast("array<bigint>").alias("bands")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks_rows = asks.join(held.select("major", F.col("blocks").alias("n")).distinct(), "major").select(
+        F.lit(0).alias("kind"), F.col("major").alias("key"), F.col("block").alias("i"), span("n").alias("j"), F.lit(True).alias("mine"), "rep", "component", "packed", nothing
+    )
+    held_rows = held.select(F.lit(0).alias("kind"), F.col("major").alias("key"), span("asked").alias("i"), F.col("block").alias("j"), F.lit(False).alias("mine"), "rep", "component", "packed", nothing)
+    rest = materialize(_dealt(past.select("bucket", "rep", "component").join(text, "rep"), "bucket").where("held > 1"), "past-blocks")
+    x = F.col("x")
+    rest_rows = rest.withColumn("x", span("blocks")).select(
+        F.lit(1).alias("kind"), F.col("bucket").alias("key"), F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), (F.col("block") <= x).alias("mine"), "rep", "component", "packed", "bands"
+    )
+    rows = asks_rows.unionByName(held_rows).unionByName(rest_rows)
+    links = rows.groupBy("kind", "key", "i", "j").applyInArrow(lambda t: _join_blocks(t, threshold), "a long, b long, similarity double")
+    links = materialize(links, "crowded-links")
+    discard(past, asks, held, rest)
+    return links
 
 
 def _row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -279,64 +308,48 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         "signatures",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
-    bags = signed.groupBy("bag").agg(F.min("row").alias("rep"), first.alias("low"), F.count("*").alias("n"))
-    in_bands = signed.select("row", "bands").join(bags.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"), *_unbounded())
-    members = materialize(_sized(in_bands), "buckets")
-    texts = materialize(signed.select("row", "prints", "packed").join(members.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "bucket-texts")
-
-    def pairs(a: Column, b: Column) -> list[Column]:
-        return [F.least(a["rep"], b["rep"]).alias("a"), F.greatest(a["rep"], b["rep"]).alias("b")]
-
-    def across(rows: DataFrame) -> DataFrame:
-        """Pairs of one bucket that lie in different components and may reach the threshold."""
-        x = rows.select("bucket", F.col("member").alias("x"), F.col("component").alias("cx"))
-        y = rows.select(F.col("bucket").alias("bucket_y"), F.col("member").alias("y"), F.col("component").alias("cy"))
-        x_, y_ = F.col("x"), F.col("y")
-        both = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (x_["rep"] < y_["rep"]) & (F.col("cx") != F.col("cy")) & _may_reach(x_, y_, threshold))
-        return both.select(*pairs(x_, y_))
-
-    def by_pivot(rows: DataFrame) -> DataFrame:
-        m, p = F.col("member"), F.col("pivot")
-        return rows.where((m["rep"] != p["rep"]) & _may_reach(m, p, threshold)).select(*pairs(m, p))
-
-    def alone(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("component", F.col("rep"))
-
-    crowded = members.where(F.col("size") > SMALL).select(F.col("rep").alias("row")).distinct()
-    rare = materialize(_sized(_prefixes(texts.join(crowded, "row", "left_semi"), threshold)), "prefix-buckets")
-    bands = members.where(F.col("size") <= SMALL).select("bucket", "rep", F.struct("rep", *_unbounded()).alias("member"))
-    small = across(alone(bands)).unionByName(across(alone(rare.where(F.col("size") <= SMALL))))
-    large = rare.where(F.col("size") > SMALL)
-    links = [_links(small.unionByName(by_pivot(large)).distinct(), texts, threshold)]
-    placed = large.drop("pivot")
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        placed = _components(links, placed.drop("component"))
-        kinds = placed.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "member")).alias("m"))
-        chosen = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + k)), F.col("m.member").alias("member"), "component")).alias(f"p{k}") for k in range(PIVOTS)]
-        open_ones = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), *chosen).where("kinds > 1")
-        pivots = F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.member").alias("member"), F.col(f"p{k}.component").alias("component")) for k in range(PIVOTS))))
-        unsettled = materialize(placed.join(open_ones.select("bucket", pivots.alias("pivots")), "bucket"), "unsettled")
-        if unsettled.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            met = unsettled.withColumn("p", F.explode("pivots")).where("component <> p.component").select("bucket", "rep", "member", F.col("p.member").alias("pivot"))
-            links.append(_links(by_pivot(met).distinct(), texts, threshold))
-            # pivots have met all others of their bucket
-            placed = unsettled.where(~F.array_contains(F.transform("pivots", lambda p: p["member"]["rep"]), F.col("rep"))).drop("pivots")
-        else:
-            links.append(_links(across(unsettled).distinct(), texts, threshold))
-    component = _components(links, bags.select("rep", "bag", "low", "n"))
-    classes = component.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("low").alias("low"))
-    of_bag = component.select("bag", "component").join(classes, "component").select("bag", "class_size", "low")
-    return signed.select("doc_id", "k1", "k2", "row", "bag").join(of_bag, "bag").select(
-        "doc_id", F.col("low.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("low.row")).alias("kept"), "k1", "k2"
-    )
+    bags = materialize(signed.groupBy("bag").agg(F.min("row").alias("rep"), first.alias("low"), F.count("*").alias("n")), "bags")
+    in_bands = signed.select("row", "bands").join(bags.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
+    sizes = materialize(in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "bucket-sizes")
+    members = materialize(in_bands.join(sizes, "bucket"), "buckets")
+    # by sort and merge whatever the size, as the members are a share of all documents
+    texts = materialize(signed.select("row", "prints", "packed", "bands").join(members.select(F.col("rep").alias("row")).distinct().hint("merge"), "row", "left_semi"), "bucket-texts")
+
+    # one pivot for each member
+    met = members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
+    pivots = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
+    links = _links(pivots.select((-F.col("best.p")).alias("a"), F.col("rep").alias("b")), texts, threshold)
+    found = connected_components(links)
+    placed = members.select("bucket", "rep", "size").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialize(placed, "placed")
+
+    # buckets in which components meet
+    kinds = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    opened = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("most")).where("kinds > 1")
+    opened = materialize(opened.select("bucket", (-F.col("most.c")).alias("major")), "open-buckets")
+    small = materialize(placed.where(F.col("size") <= SMALL).join(opened, "bucket").select("bucket", "rep", "component"), "small-buckets")
+    x, y = small.alias("x"), small.alias("y")
+    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
+    listed = _links(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), texts, threshold)
+    crowded = _crowded_links(placed, opened, texts, threshold)
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(listed.select("a", "b")).unionByName(crowded.select("a", "b"))
+    settled = connected_components(edges)
+    discard(sizes, members, texts, links, found, placed, opened, small, listed, crowded)
+
+    component = bags.join(settled.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = materialize(component.groupBy("component").agg(F.sum("n").alias("class_size"), F.min("low").alias("low")), "classes")
+    of_bag = materialize(component.select("bag", "component").join(classes, "component").select("bag", "class_size", "low"), "bag-classes")
+    name = F.coalesce(F.col("low.doc_id"), -1 - F.col("low.row"))
+    out = signed.select("doc_id", "k1", "k2", "row", "bag").join(of_bag, "bag").select("doc_id", name.alias("class_id"), "class_size", (F.col("row") == F.col("low.row")).alias("kept"), "k1", "k2")
+    out = materialize(out, "near-duplicates")
+    discard(signed, bags, settled, classes, of_bag)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all its columns. Needs columns doc_id and text."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    k1, k2 = _row_keys(docs["doc_id"], docs["text"])
-    rows = docs.withColumns({"__k1": k1, "__k2": k2}).join(kept, ["__k1", "__k2"], "left_semi")
+    names = unused(docs, "k1", "k2")
+    kept = near_duplicates(docs, threshold).where("kept").select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
+    rows = docs.withColumns(dict(zip(names, _row_keys(docs["doc_id"], docs["text"]), strict=True))).join(kept, names, "left_semi")
     # rows that repeat id and text are told apart by nothing: one of them stays
-    return rows.dropDuplicates(["__k1", "__k2"]).select(docs.columns)
+    return rows.dropDuplicates(names).select([F.col(f"`{c}`") for c in docs.columns])

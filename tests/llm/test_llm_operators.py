@@ -214,10 +214,16 @@ def test_banded_distance(spark, edits):
         assert r["d"] == d if d <= edits else r["d"] > edits
 
 
-def test_line_classes(make):
+@pytest.mark.parametrize("crowd", [False, True])
+def test_line_classes(make, crowd, monkeypatch):
     rng = random.Random(7)
     lines = []
-    for _ in range(60):
+    if crowd:  # all but the rarest keys go by blocks
+        monkeypatch.setattr(line_dedup, "CROWD", 2)
+        monkeypatch.setattr(line_dedup, "BLOCK", 5)
+        base = "the one line of which there are many versions"
+        lines += [mutate(rng, base, 2).strip() for _ in range(90)]
+    for _ in range(60 if not crowd else 12):
         base = "".join(rng.choice("abcd efgh") for _ in range(rng.randint(22, 60))).strip()
         lines += [base, *(mutate(rng, base, 3).strip() for _ in range(3)), "short line", ""]
     docs = ["\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)]
@@ -248,6 +254,14 @@ def test_line_classes(make):
     assert line_dedup.line_classes(make(docs).limit(0)).count() == 0
 
 
+def test_line_ids_that_meet(spark, monkeypatch):
+    lines = spark.createDataFrame([(f"line {k}",) for k in range(50)], "line string")
+    plain = line_dedup.F.xxhash64
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.pmod(plain(*c), F.lit(200)) if len(c) == 1 else plain(*c))
+    ids = [r["id"] for r in lines.select(line_dedup._distinct_ids(lines).alias("id")).collect()]
+    assert len(set(ids)) == 50 and any(0 <= i < 200 for i in ids) and any(not 0 <= i < 200 for i in ids)
+
+
 def test_short_lines(make):
     rng = random.Random(8)
     lines = ["".join(rng.choice("abcdé") for _ in range(rng.randint(0, 7))) for _ in range(300)] + ["x" * 19, "x" * 20, "x" * 21, "quite alone"]
@@ -329,6 +343,7 @@ def test_near_duplicates(make, crowd, monkeypatch):
             texts.append(" ".join(x))
     if crowd:
         monkeypatch.setattr(minhash, "SMALL", 3)
+        monkeypatch.setattr(minhash, "BLOCK", 9)
     got = minhash.near_duplicates(make(texts)).collect()
     bags = [shingles(t) for t in texts]
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(bags[i], bags[j]) >= minhash.THRESHOLD]
@@ -343,6 +358,40 @@ def test_near_duplicates(make, crowd, monkeypatch):
     assert kept.columns == make(texts).columns
 
 
+def test_near_duplicates_around_the_threshold(make, monkeypatch):
+    """Versions that mostly are not near each other: all are compared, whatever the buckets."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(21)
+    base = words(rng, 200)
+    texts = []
+    for _ in range(60):
+        x = list(base)
+        for _ in range(rng.randint(2, 8)):
+            x[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(x))
+    bags = [shingles(t) for t in texts]
+    root = union_find([(i, j) for i in range(60) for j in range(i) if jaccard(bags[i], bags[j]) >= minhash.THRESHOLD], range(60))
+    assert 1 < len(set(root.values())) < 60
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(make(texts)).collect()}
+    missed = sum(got[i] != got[j] for i in range(60) for j in range(i) if root[i] == root[j])
+    assert missed == 0 and all(root[i] == root[j] for i in range(60) for j in range(i) if got[i] == got[j])
+
+
+def test_helper_columns_do_not_meet_those_of_the_caller(spark):
+    names = ["k1", "k2", "id", "key", "gone", "cuts", "__k1", "__id"]
+    text = "a line of many words that stands in two of these documents and has more than twenty words in all so that it is found"
+    docs = spark.createDataFrame([(k, t, *range(8)) for k, t in enumerate((text, f"another\n{text}", text))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for drop, n in ((minhash.drop_near_duplicates, 1), (line_dedup.drop_repeated_lines, 3), (substring_dedup.drop_repeats, 3)):
+        out = drop(docs)
+        assert out.columns == docs.columns and [tuple(r[c] for c in names) for r in out.collect()] == [tuple(range(8))] * n
+
+
+def test_classes_without_ids_are_told_apart(make):
+    got = minhash.near_duplicates(make(["q w e r t", "q w e r t", "z x c v b", "z x c v b"], [None] * 4)).collect()
+    assert len({r["class_id"] for r in got}) == 2 and all(r["class_size"] == 2 and r["class_id"] < 0 for r in got)
+
+
 def test_near_duplicates_of_nothing_and_repeats(make):
     assert minhash.near_duplicates(make(["x"]).limit(0)).count() == 0
     assert minhash.drop_near_duplicates(make(["same text here", "same text here"], [1, 1])).count() == 1
@@ -468,6 +517,26 @@ def test_repeated_passages(make):
     assert substring_dedup.drop_repeats(make(texts).limit(0)).count() == 0
 
 
+def test_repeated_passages_of_any_script(make):
+    rng = random.Random(14)
+    zh = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(3000))
+    cycle = "again and " * 200
+    morse = "a"
+    for _ in range(11):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    plain = [f"w{k}" for k in range(60)]
+    twins = [" ".join([*plain[:20], m, *plain[40:]]) for m in (morse, morse.translate(str.maketrans("ab", "ba")))]
+    texts = ["007 began it all. " + zh, "另一个开头" + zh + " in room 11", cycle, *twins]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(make(texts)).collect()}
+    assert out[0] == texts[0] and out[1].endswith(" in room 11") and len(out[1]) < 400
+    assert len(out[2]) < 0.2 * len(cycle)
+    assert out[3] == texts[3] and morse.translate(str.maketrans("ab", "ba"))[:200] in out[4]
+    digits = [f"x{k}" for k in range(30)]
+    texts = [" ".join(digits), "007 began 0 1 2 " + " ".join(digits) + " 11 of 20"]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(make(texts)).collect()}[1]
+    assert got.startswith("007 began 0 1 2 ") and got.endswith(" 11 of 20")
+
+
 def test_repeated_passages_are_whole(make):
     rng = random.Random(12)
     few = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
