@@ -173,10 +173,10 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("low")).where("n > 1").select("digest", "low")
     shared = materialize(shared, "shared-chunks")
     seen = listed.join(shared, "digest").groupBy("k1", "k2").agg(F.collect_set(F.struct("k", (place == F.col("low")).alias("owner"))).alias("seen"))
-    seen = materialize(seen, "chunks-seen")
+    seen = materialize(seen, "chunks-seen")  # joined by sort and merge whatever its size, as it is a share of all documents
     discard(listed, shared)
     packed = rows.mapInArrow(_compress, "k1 long, k2 int, doc_id long, packed binary")
-    store = materialize(packed.join(seen, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "packed", "seen").mapInArrow(_store, STORED), "media-store", level=9)
+    store = materialize(packed.join(seen.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", "doc_id", "packed", "seen").mapInArrow(_store, STORED), "media-store", level=9)
     discard(seen)
     return store
 
