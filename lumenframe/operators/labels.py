@@ -18,7 +18,9 @@ def convert(labels: DataFrame, lookup: DataFrame | None = None, prefix: str = "X
     else:
         first = lookup.groupBy("source").agg(F.min("target").alias("target"))
         found = bare.join(first, "source", "left").select("position", "label", "target")
-    k = F.row_number().over(Window.partitionBy("target").orderBy("position"))
+    # lost labels are not numbered: one by one, they don't meet in one partition
+    group = F.when(F.col("target").isNull(), F.col("position"))
+    k = F.row_number().over(Window.partitionBy("target", group).orderBy("position"))
     numbered = F.when(k == 1, F.col("target")).otherwise(F.concat("target", F.lit("-"), k.cast("string")))
     return found.select("position", "label", F.when(F.col("target").isNotNull(), numbered).alias("converted"), F.col("target").isNull().alias("lost"))
 

@@ -253,8 +253,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
     spark = nodes.sparkSession
     n = nodes.count()
     out = edges.groupBy("src").agg(F.count("*").alias("m"))
-    links = edges.select("src", "dst").join(out, "src").select("src", "dst", (1.0 / F.col("m")).alias("share")).cache()
-    dangling = nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti").cache()
+    links = edges.select("src", "dst").join(out, "src").select("src", "dst", (1.0 / F.col("m")).alias("share"))
+    links = _checkpoint(spark, links)
+    dangling = _checkpoint(spark, nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for k in range(rounds):
         loose = rank.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
@@ -276,35 +277,42 @@ def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 @register("graph", "connected_components")
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, component): the least id reachable when edges have no direction, by label propagation with pointer jumps."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable when edges have no direction, by label propagation with pointer jumps.
+
+    Rounds go on until no label changes; pointer jumps keep their number at the logarithm of the longest chain.
+    """
     spark = nodes.sparkSession
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct().cache()
+    both = _checkpoint(spark, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
     label = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("c"))
         step = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
         jump = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
         new = _checkpoint(spark, jump.select("id", F.least("component", "c").alias("component"), "old"))
         label = new.select("id", "component")
         if new.where("component <> old").isEmpty():
-            break
-    return label
+            return label
 
 
 @register("graph", "bfs")
-def bfs(nodes: DataFrame, edges: DataFrame, source: str, rounds: int = 100) -> DataFrame:
-    """(id, depth): fewest edges from the source, along their direction; nodes out of reach are left out."""
+def bfs(nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
+    """(id, depth): fewest edges from the source, along their direction; nodes out of reach are left out.
+
+    A step for each depth, until nothing new is found.
+    """
     spark = nodes.sparkSession
-    seen = nodes.where(F.col("id") == source).select("id", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, rounds + 1):
-        front = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+    seen = front = nodes.where(F.col("id") == source).select("id", F.lit(0).alias("depth"))
+    depth = 0
+    while True:
+        depth += 1
+        front = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         front = _checkpoint(spark, front.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if depth % 20 == 0:  # the plan stays short however deep the graph
+            seen = _checkpoint(spark, seen)
 
 
 def evaluate(network: Network, name: str, **kwargs) -> DataFrame:

@@ -8,6 +8,7 @@ import configparser
 import json
 import re
 from collections.abc import Sequence
+from html import unescape
 from pathlib import PurePosixPath
 from xml.sax.saxutils import escape
 
@@ -72,22 +73,34 @@ def unpack(text: str) -> dict:
     return json.loads(base64.b64decode(text))
 
 
+def escaped(text: Column) -> Column:
+    """Text inside quotes of a graph file: the characters that end a value or a block as XML entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;"), ("\n", "&#10;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
 _NODE = ("label", "layer", "layer_id", "layer_sub_id", "node_order", "visible", "type")
 _EDGE = ("src_layer", "dst_layer", "layer_id", "edge_order")
 
 
+def quoted(name: str) -> str:
+    """A graph's name as escaped() writes ids."""
+    return escape(name, {'"': "&quot;", "[": "&#91;", "]": "&#93;", "\n": "&#10;"})
+
+
 def to_gml(network: Network) -> DataFrame:
     """Lines (n, value) of a GML file; n orders them."""
-    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  node [\n    id %d\n    label "%s"\n    params "%s"\n  ]', "node_order", "id", pack(F.struct(*_NODE))).alias("value"))
+    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  node [\n    id %d\n    label "%s"\n    params "%s"\n  ]', "node_order", escaped(F.col("id")), pack(F.struct(*_NODE))).alias("value"))
     at = network.nodes.select("id", "node_order")
     e = network.edges.join(at.select(F.col("id").alias("src"), F.col("node_order").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("node_order").alias("b")), "dst")
     edges = e.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  edge [\n    source %d\n    target %d\n    weight %s\n    params "%s"\n  ]', "a", "b", F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
-    return _framed(network, nodes, edges, f'graph [\n  directed 1\n  name "{network.name}"', "]")
+    return _framed(network, nodes, edges, f'graph [\n  directed 1\n  name "{quoted(network.name)}"', "]")
 
 
 def to_graphml(network: Network) -> DataFrame:
-    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('    <node id="%s"><data key="params">%s</data></node>', "id", pack(F.struct(*_NODE))).alias("value"))
-    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('    <edge source="%s" target="%s"><data key="weight">%s</data><data key="params">%s</data></edge>', "src", "dst", F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
+    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('    <node id="%s"><data key="params">%s</data></node>', escaped(F.col("id")), pack(F.struct(*_NODE))).alias("value"))
+    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('    <edge source="%s" target="%s"><data key="weight">%s</data><data key="params">%s</data></edge>', escaped(F.col("src")), escaped(F.col("dst")), F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
     head = (
         '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
         '  <key id="params" for="all" attr.name="params" attr.type="string"/>\n  <key id="weight" for="edge" attr.name="weight" attr.type="double"/>\n'
@@ -97,9 +110,9 @@ def to_graphml(network: Network) -> DataFrame:
 
 
 def to_dot(network: Network) -> DataFrame:
-    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  "%s" [params="%s"];', "id", pack(F.struct(*_NODE))).alias("value"))
-    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  "%s" -> "%s" [weight="%s", params="%s"];', "src", "dst", F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
-    return _framed(network, nodes, edges, f'digraph "{network.name}" {{', "}")
+    nodes = network.nodes.select(F.col("node_order").cast("long").alias("n"), F.format_string('  "%s" [params="%s"];', escaped(F.col("id")), pack(F.struct(*_NODE))).alias("value"))
+    edges = network.edges.select((F.col("edge_order") + (1 << 40)).alias("n"), F.format_string('  "%s" -> "%s" [weight="%s", params="%s"];', escaped(F.col("src")), escaped(F.col("dst")), F.col("weight").cast("string"), pack(F.struct(*_EDGE))).alias("value"))
+    return _framed(network, nodes, edges, f'digraph "{quoted(network.name)}" {{', "}")
 
 
 def _framed(network: Network, nodes: DataFrame, edges: DataFrame, head: str, foot: str) -> DataFrame:
@@ -130,13 +143,14 @@ def _network(spark: SparkSession, name: str, nodes: Sequence[tuple[str, dict]],
 
 def read_gml(spark: SparkSession, path: str) -> Network:
     text = read_text(spark, path)
-    fields = lambda block: {k: v.strip('"') for k, v in re.findall(r'(\w+)\s+("[^"]*"|[^\s\]]+)', block)}
-    nodes = [fields(b) for b in re.findall(r"node\s*\[(.*?)\]", text, re.S)]
+    fields = lambda block: {k: unescape(v.strip('"')) for k, v in re.findall(r'(\w+)\s+("[^"]*"|[^\s\]]+)', block)}
+    block = r"\s*\[((?:[^\]\"]|\"[^\"]*\")*)\]"  # a bracket inside quotes does not end a block
+    nodes = [fields(b) for b in re.findall(r"\bnode" + block, text)]
     names = {n["id"]: n.get("label", n["id"]) for n in nodes}
-    edges = [fields(b) for b in re.findall(r"edge\s*\[(.*?)\]", text, re.S)]
+    edges = [fields(b) for b in re.findall(r"\bedge" + block, text)]
     name = re.search(r'\bname\s+"([^"]*)"', text)
     return _network(
-        spark, name[1] if name else PurePosixPath(path).stem, [(names[n["id"]], _params(n)) for n in nodes],
+        spark, unescape(name[1]) if name else PurePosixPath(path).stem, [(names[n["id"]], _params(n)) for n in nodes],
         [(names[e["source"]], names[e["target"]], float(e.get("weight", 0)), _params(e)) for e in edges],
     )
 
@@ -171,9 +185,9 @@ def read_dot(spark: SparkSession, path: str) -> Network:
         F.regexp_extract(line, r'^digraph\s+"([^"]*)"', 1).alias("name"),
     ).collect()
     params = lambda r: unpack(r["p"]) if r["p"] else {}
-    nodes = [(r["a"], params(r)) for r in rows if r["a"] and not r["b"]]
-    edges = [(r["a"], r["b"], float(r["w"] or 0), params(r)) for r in rows if r["b"]]
-    return _network(spark, next((r["name"] for r in rows if r["name"]), PurePosixPath(path).stem), nodes, edges)
+    nodes = [(unescape(r["a"]), params(r)) for r in rows if r["a"] and not r["b"]]
+    edges = [(unescape(r["a"]), unescape(r["b"]), float(r["w"] or 0), params(r)) for r in rows if r["b"]]
+    return _network(spark, next((unescape(r["name"]) for r in rows if r["name"]), PurePosixPath(path).stem), nodes, edges)
 
 
 def read_network(spark: SparkSession, path: str, kind: str | None = None) -> Network:

@@ -27,16 +27,20 @@ def filetypes(kind: str | None = None) -> dict[str, str] | str:
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict[str, object]:
-    """Values of the comment lines, read from the first lines of the file."""
+    """Values of the comment lines in front of the table, however many: more lines are read until the first other one."""
     meta: dict[str, object] = {}
-    for row in spark.read.text(path).limit(200).collect():  # a header, however long the file
-        line = row[0].strip()
-        if line and not line.startswith("#"):
-            break
-        key, eq, value = line.lstrip("# ").partition("=")
-        if eq:
-            meta[key.strip()] = _typed(key.strip(), value.strip())
-    return meta
+    n = 200
+    while True:
+        lines = [row[0].strip() for row in spark.read.text(path).limit(n).collect()]
+        for line in lines:
+            if line and not line.startswith("#"):
+                return meta
+            key, eq, value = line.lstrip("# ").partition("=")
+            if eq:
+                meta[key.strip()] = _typed(key.strip(), value.strip())
+        if len(lines) < n:
+            return meta
+        n *= 4
 
 
 def _typed(key: str, value: str) -> object:

@@ -292,3 +292,33 @@ def test_workspace(spark, tmp_path):
     assert workspace.register_views(spark, listing) == ["one", "two"]
     assert spark.sql("SELECT a FROM two").first()[0] == 2.0
     assert workspace.read_workspace_config(spark, str(tmp_path / "workspace.ini"))["workspace"]["maintainer"] == "me"
+
+
+def test_deep_graphs_are_walked_to_their_end(spark):
+    n = 150
+    nodes = spark.createDataFrame([(str(1000 + k),) for k in range(n)] + [("alone",)], "id string")
+    edges = spark.createDataFrame([(str(1000 + k), str(1001 + k)) for k in range(n - 1)], "src string, dst string")
+    found = {r["id"]: r["component"] for r in net.connected_components(nodes, edges).collect()}
+    assert found == {str(1000 + k): "1000" for k in range(n)} | {"alone": "alone"}
+    depths = {r["id"]: r["depth"] for r in net.bfs(nodes, edges.where("src >= '1110'"), "1110").collect()}
+    assert depths == {str(1110 + k): k for k in range(40)}
+
+
+@pytest.mark.parametrize("kind", ["gml", "graphml", "dot"])
+def test_odd_ids_in_graph_files(spark, tmp_path, kind):
+    names = ["a&b", "x<y", 'say "q"', "list[0]", "plain"]
+    nodes = spark.createDataFrame([(i, i, "l", 0, k, k, True, "t") for k, i in enumerate(names)], networks.NODES)
+    edges = spark.createDataFrame([(names[k], names[k + 1], "l", "l", 0, k, 0.5) for k in range(4)], networks.EDGES)
+    networks.write_network(net.Network(nodes, edges, "odd [one]"), str(tmp_path / "n"), kind)
+    back = networks.read_network(spark, str(tmp_path / "n"), kind)
+    assert [r["id"] for r in back.nodes.orderBy("node_order").collect()] == names
+    assert [(r["src"], r["dst"]) for r in back.edges.orderBy("edge_order").collect()] == [(names[k], names[k + 1]) for k in range(4)]
+
+
+def test_long_headers(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("".join(f"# k{k} = v{k}\n" for k in range(300)) + "# name = far\n,a\nr1,1.5\n")
+    assert tables.read_metadata(spark, str(path))["name"] == "far"
+    only = tmp_path / "only.csv"
+    only.write_text("# name = x\n")
+    assert tables.read_metadata(spark, str(only)) == {"name": "x"}
