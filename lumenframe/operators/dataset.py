@@ -181,6 +181,27 @@ class Dataset:
         physical = list(dict.fromkeys(self.columns.values()))
         return self.map_tables(lambda df: df.withColumns({c: TRANSFORMS[mode](F.col(c)) for c in physical}))
 
+    def apply_system(self, system, how: str = "expect", path: Sequence[str] | None = None, seed: int = 0) -> Dataset:
+        """Tables in which the units of the path's last layer replace the columns: their expectations, values or samples.
+
+        The columns of the path's first layer must be external columns. Labels, fractions and row filters stay.
+        """
+        from lumenframe.operators.system import forward
+
+        chain = tuple(path or system.mapping)
+        if len(chain) < 2:
+            raise ValueError("a path needs two layers at least")
+        source, target = system.layer(chain[0]).columns, system.layer(chain[-1]).columns
+        physical = self.get_colnames(source)
+
+        def mapped(df: DataFrame) -> DataFrame:
+            label = F.col(LABEL) if LABEL in df.columns else F.lit(None).cast("string")
+            given = df.select(label.alias(LABEL), *(F.col(f"`{p}`").cast("double").alias(c) for p, c in zip(physical, source, strict=True)))
+            out = forward(given, system, how=how, seed=seed, prefix="~", path=chain)
+            return out.select(LABEL, *(F.col(f"`~{c}`").alias(c) for c in target))
+
+        return replace(self.map_tables(mapped), columns={c: c for c in target}, column_filters={"*": ("*:*",)})
+
     def configure(self, nodes: dict[str, Sequence[str]]) -> Dataset:
         """External columns `layer:label` for the nodes of each layer that all tables have; an empty layer is an error."""
         mapping: dict[str, str] = {}

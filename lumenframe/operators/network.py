@@ -315,6 +315,97 @@ def bfs(nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
             seen = _checkpoint(spark, seen)
 
 
+@register("graph", "triangles")
+def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, triangles): triangles through each node when edges have no direction; loops and repeated edges don't count.
+
+    Each edge leads from its end of lower degree to the other, so a node starts at most about sqrt(2 edges) of them and
+    the pairs that are tried do not grow with the square of a hub's degree.
+    """
+    pair = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pair = _checkpoint(nodes.sparkSession, pair)
+    size = pair.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    sized = pair.join(size.select(F.col("id").alias("a"), F.struct("n", F.col("id")).alias("u")), "a").join(size.select(F.col("id").alias("b"), F.struct("n", F.col("id")).alias("v")), "b")
+    out = sized.select(F.least("u", "v")["id"].alias("s"), F.greatest("u", "v")["id"].alias("t"))
+    tried = out.join(out.withColumnRenamed("t", "r"), "s").where("t < r").select("s", F.col("t").alias("a"), F.col("r").alias("b"))
+    found = tried.join(pair, ["a", "b"]).select(F.explode(F.array("s", "a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("triangles"))
+
+
+@register("graph", "topological_generations")
+def topological_generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, generation): most edges on a way that ends at the node; null for nodes on a cycle or behind one.
+
+    A step for each generation, until no node is free of edges from nodes that are left.
+    """
+    spark = nodes.sparkSession
+    left, links = nodes.select("id"), edges.select("src", "dst").distinct()
+    done = left.limit(0).withColumn("generation", F.lit(0))
+    turn = 0
+    while True:
+        free = left.join(links.select(F.col("dst").alias("id")), "id", "left_anti")
+        free = _checkpoint(spark, free.withColumn("generation", F.lit(turn)))
+        if free.isEmpty():
+            return done.unionByName(left.withColumn("generation", F.lit(None).cast("int")))
+        done = done.unionByName(free)
+        left = _checkpoint(spark, left.join(free.select("id"), "id", "left_anti"))
+        links = _checkpoint(spark, links.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        turn += 1
+        if turn % 20 == 0:
+            done = _checkpoint(spark, done)
+
+
+@register("graph", "is_dag")
+def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ok): whether the graph has no directed cycle; true for no nodes."""
+    return topological_generations(nodes, edges).agg(F.coalesce(F.bool_and(F.col("generation").isNotNull()), F.lit(True)).alias("ok"))
+
+
+@register("graph", "shortest_path")
+def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(step, id) of a way with the fewest edges; of several nodes that lead on, the least id. No rows if out of reach."""
+    spark = nodes.sparkSession
+    depths = _checkpoint(spark, bfs(nodes, edges, source))
+    end = depths.where(F.col("id") == target).first()
+    way = [(end["depth"], target)] if end else []
+    for step in range(end["depth"] - 1 if end else -1, -1, -1):
+        before = depths.where(F.col("depth") == step).select(F.col("id").alias("src"))
+        way.append((step, edges.where(F.col("dst") == way[-1][1]).join(before, "src").agg(F.min("src")).first()[0]))
+    return spark.createDataFrame(way, "step int, id string")
+
+
+def graph_data(nodes: DataFrame, edges: DataFrame, weight: str = "weight", threshold: float = 0.0, normalize: bool = False, soft: bool = True, flip: bool = True) -> DataFrame:
+    """(src, dst, weight, positive): what a drawing of the network shows of its edges.
+
+    Edges weaker than the threshold go; weights may be set against the size of their mean and pass a soft step. In a
+    network of an odd number of layers all signs turn if negative ones prevail. `positive` is the sign as given; edges
+    without a weight stay without one.
+    """
+    from lumenframe.functions import curves
+
+    given = F.col(weight)
+    mean = edges.agg(F.abs(F.avg(F.coalesce(given, F.lit(0.0)))).alias("__mean"))
+    kept = edges.join(F.broadcast(mean), how="cross").where(given.isNull() | (F.abs(given) >= threshold))
+    shown = F.when(F.col("__mean") > 0, given / F.col("__mean")).otherwise(given) if normalize else given
+    made = kept.select("src", "dst", (curves.softstep(shown) if soft else shown).alias("weight"), (given > 0).alias("positive"))
+    if not flip:
+        return made
+    odd = nodes.agg((F.countDistinct("layer") % 2 == 1).alias("__odd"))
+    signs = made.agg((F.sum(F.signum("weight")) < 0).alias("__less"))
+    turn = F.when(F.col("__odd") & F.col("__less"), -1.0).otherwise(1.0)
+    return made.join(F.broadcast(odd), how="cross").join(F.broadcast(signs), how="cross").select("src", "dst", (F.col("weight") * turn).alias("weight"), "positive")
+
+
+def node_groups(network: Network) -> DataFrame:
+    """(id, group): source, target, transit or latent by layer in a directed network, else observable or latent."""
+    if not is_directed(network):
+        return network.nodes.select("id", F.when(F.coalesce("visible", F.lit(True)), "observable").otherwise("latent").alias("group"))
+    ends = network.nodes.agg(F.min("layer_id").alias("__a"), F.max("layer_id").alias("__b"))
+    first, last = F.col("layer_id") == F.col("__a"), F.col("layer_id") == F.col("__b")
+    group = F.when(first & last, "transit").when(first, "source").when(last, "target").otherwise("latent")
+    return network.nodes.join(F.broadcast(ends), how="cross").select("id", group.alias("group"))
+
+
 def evaluate(network: Network, name: str, **kwargs) -> DataFrame:
     """A registered graph algorithm."""
     from lumenframe.functions import registry

@@ -127,7 +127,12 @@ def _rank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = df.select(F.inline(pairs)).where("x IS NOT NULL").groupBy("name", "x").agg(F.count("*").alias("m"))
     at = F.array(*(F.lit(k / RANK_RANGES) for k in range(1, RANK_RANGES)))
     cuts = counts.groupBy("name").agg(F.array_distinct(F.percentile_approx("x", at, F.lit(4 * RANK_RANGES))).alias("cuts"))
-    ranged = counts.join(F.broadcast(cuts), "name").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    ranged = counts.join(F.broadcast(cuts), "name").withColumn("part", F.lit(0))
+    step = RANK_RANGES // 2
+    while step:  # binary search for the number of cuts below x
+        ranged = ranged.withColumn("part", F.when(F.get("cuts", F.col("part") + (step - 1)) < F.col("x"), F.col("part") + step).otherwise(F.col("part")))
+        step //= 2
+    ranged = ranged.drop("cuts")
     sizes = ranged.groupBy("name", "part").agg(F.sum("m").alias("size"))
     by_part, whole = Window.partitionBy("name").orderBy("part"), Window.partitionBy("name")
     bases = sizes.select("name", "part", (F.sum("size").over(by_part) - F.col("size")).alias("base"), F.sum("size").over(whole).alias("n"))

@@ -70,6 +70,15 @@ class System:
     def layer(self, name: str) -> Units:
         return self.layers[self.mapping.index(name)]
 
+    def link(self, source: str, target: str) -> np.ndarray:
+        """Weights from one layer to a neighbour, transposed if the target comes first."""
+        i, j = self.mapping.index(source), self.mapping.index(target)
+        if abs(i - j) != 1:
+            raise ValueError(f"layers {source!r} and {target!r} are not connected")
+        k = min(i, j)
+        w = self.adjacency[k] * self.weights[k]
+        return w if i < j else w.T
+
     # -- parameters as tables
 
     def units_table(self, spark: SparkSession, **values: object) -> DataFrame:
@@ -170,28 +179,32 @@ def sample_of(kind: str, x: Column, lvar: float, seed: int) -> Column:
     return F.when(x > F.rand(seed), 1.0).otherwise(0.0) if kind == "sigmoid" else x + F.randn(seed) * float(np.exp(lvar / 2))
 
 
-def forward(df: DataFrame, system: System, target: str | None = None, how: str = "expect", expect_last: bool = False, block: dict[str, float] | None = None, seed: int = 0, prefix: str = "") -> DataFrame:
+def forward(df: DataFrame, system: System, target: str | None = None, how: str = "expect", expect_last: bool = False, block: dict[str, float] | None = None, seed: int = 0, prefix: str = "", path: Sequence[str] | None = None) -> DataFrame:
     """df with columns `prefix + layer:unit` for all layers after the first, up to the target.
 
-    how: expect, values or samples of every layer; with expect_last, the last one is its expectation. block sets input
+    path: names of neighbouring layers to pass instead, forwards or backwards (by the transposed weights); a layer that
+    is passed twice keeps its last values. how: expect, values or samples of every layer; with expect_last, the last one is its expectation. block sets input
     columns to constants. Each layer is one projection over the columns of the layer before.
     """
     if how not in ("expect", "values", "samples"):
         raise ValueError(f"unknown kind of forward pass {how!r}")
-    stop = len(system.layers) - 1 if target is None else system.mapping.index(target)
-    x: list[Column] = [F.lit(float(block[c])) if block and c in block else F.col(f"`{c}`") for c in system.layers[0].columns]
+    if path is None:
+        path = system.mapping if target is None else system.mapping[: system.mapping.index(target) + 1]
+    chain = [system.layer(name) for name in path]
+    stop = len(chain) - 1
+    x: list[Column] = [F.lit(float(block[c])) if block and c in block else F.col(f"`{c}`") for c in chain[0].columns]
     if how != "expect" and stop == 0:
         return df
     for k in range(stop):
-        a, b = system.layers[k], system.layers[k + 1]
-        made = _expectation(a, b, system.adjacency[k] * system.weights[k], x)
+        a, b = chain[k], chain[k + 1]
+        made = _expectation(a, b, system.link(a.name, b.name), x)
         last = k + 1 == stop
         if how == "values" and not (last and expect_last):
             made = [values_of(b.kind, m) for m in made]
         elif how == "samples" and not (last and expect_last):
             made = [sample_of(b.kind, m, b.lvar[j], seed + 1000 * k + j) for j, m in enumerate(made)]
         names = [prefix + c for c in b.columns]
-        df = df.select("*", *(m.alias(n) for m, n in zip(made, names, strict=True)))
+        df = df.withColumns(dict(zip(names, made, strict=True)))
         x = [F.col(f"`{n}`") for n in names]
     return df
 

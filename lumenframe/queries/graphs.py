@@ -67,13 +67,13 @@ def net_layers(spark, sf_dir):
     return _graph(spark, sf_dir).layers()
 
 
-@R("SELECT type, string_agg(layer, ',' ORDER BY layer_id) AS layers FROM (VALUES ('region', 0, 'gauss'), ('nation', 1, 'sigmoid'), ('customer', 2, 'sigmoid'), ('orders', 3, 'gauss')) t(layer, layer_id, type) GROUP BY type")
+@R(f"SELECT type, string_agg(layer, ',' ORDER BY layer_id) AS layers FROM (SELECT DISTINCT layer, layer_id, CASE WHEN layer IN ('region', 'orders') THEN 'gauss' ELSE 'sigmoid' END AS type FROM {NODES}) GROUP BY type")
 def net_groups(spark, sf_dir):
     heads = _graph(spark, sf_dir).nodes.groupBy("type", "layer").agg(F.min("layer_id").alias("layer_id"))
     return net.group_members(heads, "type", "layer", "layer_id").select("type", F.array_join("members", ",").alias("layers"))
 
 
-@R("SELECT true AS ok")
+@R(f"SELECT coalesce(bool_and(layer IS NOT NULL AND layer_id IS NOT NULL AND node_order IS NOT NULL), false) AS ok FROM {NODES}")
 def net_is_layered(spark, sf_dir):
     return net.is_layered(_graph(spark, sf_dir).nodes)
 
@@ -125,7 +125,7 @@ def net_density(spark, sf_dir):
     return rounded(net.evaluate(_graph(spark, sf_dir), "density"), 12)
 
 
-@R("SELECT 0e0 AS reciprocity")
+@R(f"SELECT avg(CASE WHEN b.src IS NULL THEN 0e0 ELSE 1e0 END) AS reciprocity FROM (SELECT DISTINCT src, dst FROM {EDGES}) a LEFT JOIN (SELECT DISTINCT src, dst FROM {EDGES}) b ON a.src = b.dst AND a.dst = b.src")
 def net_reciprocity(spark, sf_dir):
     return net.evaluate(_graph(spark, sf_dir), "reciprocity")
 
@@ -172,6 +172,71 @@ def net_layout(spark, sf_dir):
     return rounded(layout.positions(nodes))
 
 
+#: Nations, with an edge from each customer's nation to the nations of the suppliers in its orders, if 1 line in 600 leads there.
+TRADE = """(SELECT src, dst FROM (SELECT c_nationkey::VARCHAR AS src, s_nationkey::VARCHAR AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) WHERE n * 600 > (SELECT count(*) FROM lineitem))"""
+
+
+def _trade(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("src"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("dst"))
+    edges = lines.join(o, "l_orderkey").join(c, "c_custkey").join(s, "l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    total = lines.agg(F.count("*").alias("total"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
+    return nodes, edges.join(F.broadcast(total), how="cross").where("n * 600 > total").select("src", "dst")
+
+
+@R(f"""WITH p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {TRADE} WHERE src <> dst),
+    t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b)
+    SELECT n_nationkey::VARCHAR AS id, (SELECT count(*) FROM t WHERE n_nationkey::VARCHAR IN (a, b, c)) AS triangles FROM nation""")
+def net_triangles(spark, sf_dir):
+    return net.triangles(*_trade(spark, sf_dir))
+
+
+@R(f"SELECT count(*) = 0 AS ok FROM {TRADE} a JOIN {TRADE} b ON a.src = b.dst AND a.dst = b.src")
+def net_is_dag(spark, sf_dir):
+    """Trade runs both ways between some nations, or within one."""
+    return net.is_dag(*_trade(spark, sf_dir))
+
+
+@R(f"SELECT id, layer_id::INT AS generation FROM {NODES}")
+def net_generations(spark, sf_dir):
+    return net.evaluate(_graph(spark, sf_dir), "topological_generations")
+
+
+@R("""WITH o AS (SELECT o_orderkey, o_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 ORDER BY o_orderkey LIMIT 1)
+    SELECT 0 AS step, 'region:0' AS id FROM o UNION ALL SELECT 1, 'nation:' || c_nationkey FROM o UNION ALL SELECT 2, 'customer:' || o_custkey FROM o UNION ALL SELECT 3, 'orders:' || o_orderkey FROM o""")
+def net_shortest_path(spark, sf_dir):
+    """From a region to its first order."""
+    n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    first = o.join(c, o.o_custkey == c.c_custkey).join(n.where("n_regionkey = 0"), c.c_nationkey == n.n_nationkey).agg(F.min("o_orderkey")).first()[0]
+    return net.evaluate(_graph(spark, sf_dir), "shortest_path", source="region:0", target=f"orders:{first}")
+
+
+L = "1e0 / (1e0 + exp(-1e1 * ({})))"
+SOFT = f"tanh(abs(w) * ({L.format('w - 5e-1')} + {L.format('w + 5e-1')} - 1e0) / abs({L.format('5e-1')} + {L.format('15e-1')} - 1e0)) / tanh(1e0)"
+
+
+@R(f"""WITH e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, (n_nationkey - 12) / 1e1 AS g FROM nation
+    UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, -c_acctbal / 1e3 FROM customer),
+    k AS (SELECT *, g / (SELECT abs(avg(g)) FROM e) AS w FROM e WHERE abs(g) >= 5e-1), s AS (SELECT *, {SOFT} AS v FROM k)
+    SELECT src, dst, round(v * (SELECT CASE WHEN sum(sign(v)) < 0 THEN -1e0 ELSE 1e0 END FROM s), 6) AS weight, g > 0 AS positive FROM s""")
+def net_graph_data(spark, sf_dir):
+    """Three layers whose links are mostly negative, so that all signs turn."""
+    g = _graph(spark, sf_dir)
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("dst"), (-F.col("c_acctbal") / 1e3).alias("w"))
+    home = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("dst"), ((F.col("n_nationkey") - 12) / 10.0).alias("w"))
+    edges = g.edges.where("dst_layer <> 'orders'").select("src", "dst").join(own.unionByName(home), "dst").withColumnRenamed("w", "weight")
+    return rounded(net.graph_data(g.nodes.where("layer <> 'orders'"), edges, threshold=0.5, normalize=True))
+
+
+@R(f"SELECT id, CASE layer WHEN 'region' THEN 'source' WHEN 'orders' THEN 'target' ELSE 'latent' END AS \"group\" FROM {NODES}")
+def net_node_groups(spark, sf_dir):
+    return net.node_groups(_graph(spark, sf_dir))
+
+
 def queries():
     return dict(R.found)
 

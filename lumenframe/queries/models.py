@@ -63,6 +63,28 @@ def sys_residuals(spark, sf_dir):
     return rounded(sysm.residuals(_rows(spark, sf_dir), SYSTEM).select("vec_id", F.col("`o:d`").alias("residual")))
 
 
+BACK = {"a": "1e-1 + 5e-1 * x - 3e-1 * y", "b": "2e-1 * x + 8e-1 * y", "c": "-1e-1 - 6e-1 * x + 4e-1 * y"}
+BACK_HIDDEN = f"(SELECT vec_id, 1e0 / (1e0 + exp(-(1e-1 + 7e-1 * d))) AS x, 1e0 / (1e0 + exp(-(-2e-1 - 9e-1 * d))) AS y FROM {BASE})"
+
+
+@R(f"SELECT vec_id, {', '.join(f'round({e}, 6) AS {c}' for c, e in BACK.items())} FROM {BACK_HIDDEN}")
+def sys_backward(spark, sf_dir):
+    """Expectations of the inputs from the output, by the transposed weights."""
+    out = sysm.forward(_rows(spark, sf_dir), SYSTEM, prefix="~", path=SYSTEM.path("o", "i"))
+    return rounded(out.select("vec_id", *(F.col(f"`~i:{c}`").alias(c) for c in "abc")))
+
+
+@R(f"SELECT vec_id, round(o, 6) AS o FROM {OUT}")
+def ds_apply_system(spark, sf_dir):
+    """A dataset whose columns are replaced by the outputs that the system expects."""
+    from lumenframe.operators.dataset import Dataset
+
+    e = F.col("embedding")
+    plain = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("label"), *(e[k].cast("double").alias(n) for k, n in enumerate("abc")))
+    made = Dataset({"embeddings": plain}, {f"i:{c}": c for c in "abc"}).apply_system(SYSTEM)
+    return rounded(made.rows().select(F.col("label").cast("long").alias("vec_id"), F.col("`o:d`").alias("o")))
+
+
 MEASURE_SQL = {
     "mean": "avg(o)", "variance": "var_pop(o)", "error": "avg((d - o) * (d - o))",
     "accuracy": "1e0 - avg((d - o) * (d - o)) / avg(d * d)", "precision": "1e0 - stddev_pop(d - o) / stddev_pop(d)",
@@ -220,7 +242,7 @@ def rel_graph_cutoff(spark, sf_dir):
     return rounded(relations.relation_graph(stats.correlation(plain, list("abcd"))), 5)
 
 
-@R(f"SELECT true AS ok FROM {BASE} LIMIT 1")
+@R(f"SELECT bool_and(abs(m.value - o.value) <= 1e-8 + 1e-5 * abs(o.value)) AS ok FROM ({MEASURES_SQL}) m JOIN ({MEASURES_SQL}) o ON m.src = o.tgt AND m.tgt = o.src")
 def rel_symmetric(spark, sf_dir):
     from lumenframe.operators import stats
 

@@ -7,6 +7,7 @@ import json
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +28,18 @@ def filetypes(kind: str | None = None) -> dict[str, str] | str:
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict[str, object]:
-    """Values of the comment lines in front of the table, however many: more lines are read until the first other one."""
+    """Values of the comment lines in front of the table, however many: more lines are read until the first other one.
+
+    Of a table that write_delimited wrote, they stand in a part beside it.
+    """
     meta: dict[str, object] = {}
+    try:
+        beside = [row[0] for row in spark.read.text(f"{path}.meta").collect()]  # a line for each key
+    except AnalysisException:  # no such part
+        beside = []
+    for line in beside:
+        key, _, value = line.lstrip("# ").partition("=")
+        meta[key.strip()] = _typed(key.strip(), value.strip())
     n = 200
     while True:
         lines = [row[0].strip() for row in spark.read.text(path).limit(n).collect()]
@@ -76,10 +87,7 @@ def read_dataset(spark: SparkSession, path: str, kind: str | None = None) -> Dat
 
 
 def write_delimited(dataset: Dataset, path: str, separator: str = ",", table: str | None = None) -> None:
-    """One table as delimited text parts with a header; metadata go to a part of their own that sorts first.
-
-    Parts are written by the tasks; readers of the folder see comment lines in front of the header of each part.
-    """
+    """One table as delimited text parts, written by the tasks, each with a header; metadata go to `path.meta`."""
     name = table or next(iter(dataset.tables))
     df = dataset.tables[name]
     spark = df.sparkSession
@@ -88,6 +96,15 @@ def write_delimited(dataset: Dataset, path: str, separator: str = ",", table: st
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
 
 
+def write_dataset(dataset: Dataset, path: str, kind: str | None = None, table: str | None = None) -> None:
+    """A dataset by the ending of its path: one table as delimited text, or all of them as a bundle."""
+    kind = kind or PurePosixPath(path).suffix.lstrip(".").lower()
+    if filetypes(kind) == "parquet":
+        write_bundle(dataset, path)
+    else:
+        write_delimited(dataset, path, SEPARATORS[kind], table)
+
+
 def write_bundle(dataset: Dataset, path: str) -> None:
     """All tables as parquet, with names, filters and metadata as one row of JSON."""
     spark = next(iter(dataset.tables.values())).sparkSession

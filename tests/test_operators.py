@@ -322,3 +322,37 @@ def test_long_headers(spark, tmp_path):
     only = tmp_path / "only.csv"
     only.write_text("# name = x\n")
     assert tables.read_metadata(spark, str(only)) == {"name": "x"}
+
+
+def test_graph_algorithms_on_odd_graphs(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
+    links = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("a", "b")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    assert {r["id"]: r["triangles"] for r in net.triangles(nodes, edges).collect()} == {"a": 1, "b": 1, "c": 1, "d": 0, "e": 0, "f": 0}
+    assert not net.is_dag(nodes, edges).first()["ok"]
+    assert net.is_dag(nodes, edges.limit(0)).first()["ok"]
+    ladder = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("e", "e")], "src string, dst string")
+    found = {r["id"]: r["generation"] for r in net.topological_generations(nodes, ladder).collect()}
+    assert found == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None, "f": 0}
+    assert [r["id"] for r in net.shortest_path(nodes, ladder, "a", "d").orderBy("step").collect()] == ["a", "c", "d"]
+    assert net.shortest_path(nodes, ladder, "d", "a").isEmpty()
+
+
+def test_paths_need_neighbours(spark):
+    from lumenframe.queries.models import SYSTEM
+
+    assert np.array_equal(SYSTEM.link("h", "i"), SYSTEM.link("i", "h").T)
+    with pytest.raises(ValueError):
+        SYSTEM.link("i", "o")
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "`i:a` double, `i:b` double, `i:c` double")
+    twice = sysm.forward(df, SYSTEM, path=("i", "h", "i", "h"), prefix="~").first()
+    again = sysm.forward(sysm.forward(df, SYSTEM, path=("i", "h", "i"), prefix="").select("i:a", "i:b", "i:c"), SYSTEM, target="h", prefix="~").first()
+    assert twice["~h:x"] == pytest.approx(again["~h:x"])
+
+
+def test_metadata_comes_back(spark, tmp_path):
+    made = Dataset({"t": spark.createDataFrame([("r", 1.5)], "label string, a double")}, meta={"about": "x = y"})
+    tables.write_dataset(made, str(tmp_path / "t.csv"))
+    assert tables.read_dataset(spark, str(tmp_path / "t.csv")).meta == {"name": "t", "about": "x = y"}
+    with pytest.raises(ValueError):
+        tables.write_dataset(made, str(tmp_path / "t.xyz"))
