@@ -139,8 +139,12 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, letters: np.
 def _filter(batches: Iterator[pa.RecordBatch], profiles: Profiles, letters: np.ndarray, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, rows=128, column=column):
-            lang, _ = _scores(part.column(column).to_pylist(), profiles, letters)
-            yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            texts = part.column(column).to_pylist()
+            if profiles.languages:
+                keep = [x != UNKNOWN for x in _scores(texts, profiles, letters)[0]]
+            else:
+                keep = [len(trigram_counts(x or "")[0]) > 0 for x in texts]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -158,7 +162,11 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents, with all columns, for which a language is recognised; learned as in language_id, decided in one pass."""
+    """The documents, with all columns, for which a language is recognised; learned as in language_id, decided in one pass.
+
+    Null texts and texts without a letter go. Where no row is labelled, nothing can be told of a text with letters: it
+    stays. Ties go to the first language by name; repeated rows are decided alike; an empty table stays empty.
+    """
     profiles = fit_profiles(docs.where(crc_mod("doc_id", 3) != 1))
     letters = letter_vectors(profiles.centred.shape[1] if profiles.languages else DIMENSIONS)
     return docs.mapInArrow(lambda b: _filter(b, profiles, letters, "text"), docs.schema)

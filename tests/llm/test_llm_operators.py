@@ -434,6 +434,12 @@ def test_flat_trees_match_a_plain_walk():
     assert ((m.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_lettered_texts_stay_without_labels(make):
+    docs = make(["abc def", None, "", "123 !", "\u00e9t\u00e9"])
+    assert sorted(r["text"] for r in language_id.keep_known(docs).collect()) == ["abc def", "\u00e9t\u00e9"]
+    assert language_id.keep_known(docs.limit(0)).count() == 0
+
+
 def test_language_id(make, sf_dir, spark):
     got = language_id.language_id(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").toPandas()
