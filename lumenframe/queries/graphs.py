@@ -91,12 +91,13 @@ def net_full_binding(spark, sf_dir):
     return net.full_binding(_graph(spark, sf_dir).nodes.where("layer_id < 2")).select("src", "dst")
 
 
-@R("SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation WHERE n_regionkey < 3")
+@R("""SELECT 'region:' || r_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation JOIN region ON r_regionkey = n_regionkey + 2
+    UNION ALL SELECT 'customer:' || c_custkey, 'orders:' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey + 1""")
 def net_valid_edges(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    nodes = g.nodes.where("layer_id = 1 OR (layer_id = 0 AND layer_sub_id < 3)")
-    wanted = table(spark, sf_dir, "nation").select(F.lit(0).alias("layer_id"), F.col("n_regionkey").cast("string").alias("src_label"), F.col("n_nationkey").cast("string").alias("dst_label"))
-    return net.valid_edges(wanted, nodes).select("src", "dst")
+    """Pairs of labels, some of which name no node."""
+    n = table(spark, sf_dir, "nation").select(F.lit(0).alias("layer_id"), (F.col("n_regionkey") + 2).cast("string").alias("src_label"), F.col("n_nationkey").cast("string").alias("dst_label"))
+    o = table(spark, sf_dir, "orders").select(F.lit(2).alias("layer_id"), (F.col("o_custkey") + 1).cast("string").alias("src_label"), F.col("o_orderkey").cast("string").alias("dst_label"))
+    return net.valid_edges(n.unionByName(o), _graph(spark, sf_dir).nodes).select("src", "dst")
 
 
 @R("SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
