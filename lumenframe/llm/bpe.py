@@ -7,8 +7,12 @@ stand side by side if no merge would have joined a part at the right edge of the
 the second before both parts had been taken up into larger ones. Back-pointers from the end of the word then give the
 ids. Words are looked up first; the program runs on new words only.
 
+Decoding looks up the spelling of each id and joins spellings with a space, as the library does for a vocabulary
+without a decoder; the digests of decoded texts come from the ids that were emitted, not from the words.
+
 Defined cases: null text counts as empty and has no ids; special tokens spelt out in a text become their ids, as in
-the library; null and repeated doc_ids keep a row each; other columns are ignored; an empty table gives no rows.
+the library; null and repeated doc_ids keep a row each; other columns are ignored; an empty table gives no rows. In
+decoding, null ids are an empty text, and ids outside the vocabulary are left out, as the library does.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,33 +150,33 @@ class ChunkEncoder:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.limit = limit
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-
-    def _word(self, word: str) -> tuple[bytes, str]:
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        spelling = self.table.spelling | {i: t for t, i in self.specials.items()}
+        self.spelt = np.full(max(spelling) + 1, None, dtype=object)
+        for i, t in spelling.items():
+            self.spelt[i] = t
+
+    def _word(self, word: str) -> bytes:
         if (found := self.words.get(word)) is None:
-            ids = self.table.encode_word(word)
-            found = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.table.spelling[i] for i in ids))
-            self.words[word] = found
+            found = self.words[word] = b"".join(i.to_bytes(4, "little") for i in self.table.encode_word(word))
         return found
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> bytes:
         made = []
         for part in self.special.split(chunk):
             if part in self.specials:
-                made.append((self.specials[part].to_bytes(4, "little"), part))
+                made.append(self.specials[part].to_bytes(4, "little"))
             elif part:
                 if part.isascii() and part.isprintable():
                     made += map(self._word, ASCII_WORDS.findall(part.lower()))
                     continue
                 normal = self.library.normalizer.normalize_str(part)
                 made += [self._word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) if w]
-        if len(made) == 1:
-            return made[0]
-        return b"".join(x for x, _ in made), " ".join(x for _, x in made)
+        return b"".join(made)
 
-    def encode(self, text: str) -> tuple[bytes, Iterator[str]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded pieces, which a space joins."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         chunks = [c for c in CHUNK.split(text) if c]
         known = self.known
         if len(known) > self.limit:
@@ -180,8 +185,13 @@ class ChunkEncoder:
             self.words.clear()
         for c in set(chunks).difference(known):
             known[c] = self._chunk(c)
-        found = [known[c] for c in chunks]
-        return b"".join([x for x, _ in found]), (x for _, x in found if x)
+        return b"".join([known[c] for c in chunks])
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids as little-endian unsigned 32-bit integers."""
+        at = np.frombuffer(ids, "<u4")
+        found = self.spelt[at[at < len(self.spelt)]].tolist()
+        return " ".join([t for t in found if t is not None])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -194,13 +204,13 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path).encode
+    vocabulary = encoder(path)
     for batch in batches:
         for part in slices(batch):
             rows = []
             for text in part.column(1).to_pylist():
-                ids, pieces = encode(text or "")
-                decoded = " ".join(pieces)
+                ids = vocabulary.encode(text or "")
+                decoded = vocabulary.decode(ids)
                 rows.append((len(ids) // 4, ids, decoded) if with_ids else (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -209,11 +219,26 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Ite
             )
 
 
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    decode = encoder(path).decode
+    for batch in batches:
+        for part in slices(batch, column="ids"):
+            texts = [decode(ids or b"") for ids in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers."""
     return _run(docs, tokenizer, id_col, text_col, True, "ids binary, decoded string")
 
 
+def bpe_decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) of ids as little-endian unsigned 32-bit integers."""
+    path = tokenizer or vocabulary_path("word_bpe_49k.json")
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(lambda b: _decode(b, path), "doc_id long, text string")
+
+
 def bpe_digests(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), without shipping ids out of the tasks."""
     return _run(docs, tokenizer, id_col, text_col, False, "ids_sha256 string, decoded_sha256 string")

@@ -171,6 +171,21 @@ def test_bpe(make):
         assert digests[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert digests[k]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest() and digests[k]["n_tokens"] == len(ids)
     assert bpe.bpe_digests(make(texts).limit(0)).count() == 0
+    back = {r["doc_id"]: r["text"] for r in bpe.bpe_decode(bpe.bpe_encode(make(texts))).collect()}
+    assert back == {k: r["decoded"] for k, r in got.items()}
+
+
+def test_bpe_decode_of_any_ids(spark):
+    t = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    size = t.get_vocab_size()
+    made = [[rng.randrange(size) for _ in range(50)] for _ in range(20)] + [[], [size + 7, 3, 1 << 31], [0, size - 1, size - 2]]
+    rows = [(k, np.array(ids, "<u4").tobytes()) for k, ids in enumerate(made)] + [(None, None), (3, np.array([5], "<u4").tobytes())]
+    df = spark.createDataFrame([(k, ids, "x") for k, ids in rows], "doc_id long, ids binary, text string")
+    got = [(r["doc_id"], r["text"]) for r in bpe.bpe_decode(df).collect()]
+    want = [(k, t.decode(ids, skip_special_tokens=False)) for k, ids in enumerate(made)] + [(None, ""), (3, t.decode([5], skip_special_tokens=False))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert bpe.bpe_decode(df.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- 1: lines
