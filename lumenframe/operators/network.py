@@ -257,14 +257,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
     links = _checkpoint(spark, links)
     dangling = _checkpoint(spark, nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti"))
     rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    held = None
     for k in range(rounds):
         loose = rank.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         got = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = nodes.select("id").join(got, "id", "left").join(F.broadcast(loose), how="cross").select(
             "id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")
         )
-        if k % 5 == 4:
-            rank = _checkpoint(spark, rank)
+        if k + 1 == rounds:
+            break
+        # a round reads the ranks twice, so each is kept once; every fifth cuts the lineage
+        last, rank = held, _checkpoint(spark, rank) if k % 5 == 4 else rank.persist()
+        held = None if k % 5 == 4 else rank
+        if last is not None:
+            rank.count()
+            last.unpersist()
     return rank
 
 

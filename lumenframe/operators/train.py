@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import registry
@@ -35,8 +35,31 @@ class Schedule:
     seed: int = 0
     noise: tuple[str | None, float] = (None, 0.0)
     options: dict[str, float] = field(default_factory=dict)
-    #: Objective that is looked at after each round; the best parameters are kept.
+    #: Objective that is looked at after each round; with keep_best, the best parameters are kept.
     objective: str | None = "error"
+    keep_best: bool = True
+    #: Updates that a minibatch is used for before another is drawn.
+    interval: int = 1
+
+    @classmethod
+    def from_settings(cls, settings: dict[str, object], **given) -> Schedule:
+        """A schedule from the settings of a system file; settings that have no field here become options."""
+        named = {SETTINGS[k]: v for k, v in settings.items() if k in SETTINGS}
+        if named.get("algorithm") in ("cd", "cdk"):
+            named |= {"algorithm": "contrastive", "objective": None}
+        rest = {OPTIONS.get(k, k): float(v) for k, v in settings.items() if k not in SETTINGS and isinstance(v, (bool, int, float))}
+        return cls(**(named | {"options": rest} | given))
+
+
+#: Names of settings in system files.
+SETTINGS = {
+    "algorithm": "algorithm", "updates": "updates", "update_rate": "rate", "minibatch_size": "minibatch", "minibatch_update_interval": "interval",
+    "tracker_obj_function": "objective", "tracker_obj_keep_optimum": "keep_best",
+}
+OPTIONS = {
+    "update_factor_weights": "weights_factor", "update_factor_hbias": "hbias_factor", "update_factor_vbias": "vbias_factor",
+    "update_cd_sampling_steps": "steps", "update_cd_sampling_iterations": "iterations",
+}
 
 
 # ---------------------------------------------------------------- numpy steps of one task
@@ -120,7 +143,7 @@ class Contrastive:
     """Contrastive divergence of a two-layer system (visible, hidden); a gauss visible layer also fits variances.
 
     options: steps, iterations, penalty (pull of hidden means to `expect`), annealing (`temperature`, `power`: falling
-    noise), adaptive (rate from the slope of the weights' variance over `history` updates).
+    noise on weights and biases), weights_factor, vbias_factor and hbias_factor (of their moves and noise), adaptive (rate from the slope of the weights' variance over `history` updates).
     """
 
     def __init__(self, schedule: Schedule, rng: np.random.Generator):
@@ -165,13 +188,15 @@ class Contrastive:
             part = lambda d, e: (0.5 * (d - v.bias) ** 2 - d * (e @ w.T)).mean(axis=0)
             dl = (part(x, hx) - part(vm, hm)) / var * self.o.get("lvar_factor", 0.01)
             db, dw = db / var, dw / var[:, None]
-        bias = h.bias + self.rate * dh
-        if "penalty" in self.o:
-            bias = bias + max(self.rate, self.o["penalty"]) * (self.o.get("expect", 0.5) - hx.mean(axis=0))
         if t := self.o.get("temperature"):
             heat = t * (1 - self.done / self.updates) ** self.o.get("power", 1.0)
             if heat >= self.o.get("least_temperature", 0.01):
-                dw = dw + self.first**2 / self.rate * heat * self.rng.normal(size=w.shape) / self.rate
+                size = self.first**2 / self.rate * heat / self.rate
+                dw, db, dh = (d + size * self.rng.normal(size=d.shape) for d in (dw, db, dh))
+        dw, db, dh = (self.o.get(f"{n}_factor", 1.0) * d for n, d in (("weights", dw), ("vbias", db), ("hbias", dh)))
+        bias = h.bias + self.rate * dh
+        if "penalty" in self.o:
+            bias = bias + max(self.rate, self.o["penalty"]) * (self.o.get("expect", 0.5) - hx.mean(axis=0))
         self.done += 1
         layers = (replace(v, bias=v.bias + self.rate * db, lvar=np.clip(v.lvar + self.rate * dl, -8, 8)), replace(h, bias=bias))
         return replace(system, layers=layers, weights=(w + self.rate * dw * system.adjacency[0],))
@@ -229,16 +254,21 @@ def _round(batches: Iterator[pa.RecordBatch], system: System, n_inputs: int, sch
     if not len(pool):
         return
     trainer = registry.get("trainer", schedule.algorithm)(schedule, rng)
-    for _ in range(steps):
-        part = pool if len(pool) <= schedule.minibatch else pool[rng.integers(len(pool), size=schedule.minibatch)]
+    for k in range(steps):
+        if k % schedule.interval == 0:
+            part = pool if len(pool) <= schedule.minibatch else pool[rng.integers(len(pool), size=schedule.minibatch)]
         system = trainer.step(system, _corrupt(part[:, :n_inputs], schedule.noise, rng), part[:, n_inputs:])
     flat = flatten(system)
     weight = max(seen, len(pool))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * weight), pa.array(np.full(len(flat), float(weight)))], names=["k", "value", "weight"])
 
 
-def fit(df: DataFrame, system: System, schedule: Schedule = Schedule(), watch: Callable[[int, System], None] | None = None) -> System:
-    """The trained system. df has the columns of the first layer and, for gradient trainers, of the last one."""
+def fit(df: DataFrame, system: System, schedule: Schedule = Schedule(), watch: Callable[[int, System], bool | None] | None = None, history: list[tuple[int, float]] | None = None) -> System:
+    """The trained system. df has the columns of the first layer and, for gradient trainers, of the last one.
+
+    `watch` sees the parameters after each round and ends the training by returning True; `history` takes the updates
+    done and the objective after each round.
+    """
     pair = schedule.algorithm == "contrastive"
     inputs = system.layers[0].columns
     names = inputs if pair else [*inputs, *system.layers[-1].columns]
@@ -257,24 +287,36 @@ def fit(df: DataFrame, system: System, schedule: Schedule = Schedule(), watch: C
         for r in found:
             flat[r["k"]] = r["v"]
         system = unflatten(system, flat)
-        if watch:
-            watch(turn, system)
+        stop = watch(turn, system) if watch else False
         if optimum:
             value = measure(df, system, schedule.objective).first()["value"]
+            if history is not None:
+                history.append((schedule.updates * (turn + 1) // rounds, value))
             if value is not None and (best_value is None or (value < best_value) == (optimum == "min")):
                 best, best_value = system, value
+        if stop:
+            break
     rows.unpersist()
-    return best if optimum and best_value is not None else system
+    return best if optimum and schedule.keep_best and best_value is not None else system
 
 
 def bprop_step(df: DataFrame, system: System, rate: float = 0.1) -> DataFrame:
     """(parameter, value) of a system without hidden layers after one update over all rows, as one aggregate."""
+    return _one_step(df, system, lambda slope: rate * slope)
+
+
+def rprop_step(df: DataFrame, system: System, start: float = 0.001, grow: float = 1.2) -> DataFrame:
+    """As bprop_step, by the first resilient update: a first step has the sign that it is compared with, so it grows."""
+    return _one_step(df, system, lambda slope: start * grow * F.signum(slope))
+
+
+def _one_step(df: DataFrame, system: System, move: Callable[[Column], Column]) -> DataFrame:
     a, b = system.layers
     scaled = forward(df, system, prefix="~")
     error = {t: F.col(f"`~{t}`") - F.col(f"`{t}`") for t in b.columns}
-    cells = [F.struct(F.lit(f"bias {t}").alias("parameter"), (float(b.bias[j]) - rate * F.avg(error[t])).alias("value")) for j, t in enumerate(b.columns)]
+    cells = [F.struct(F.lit(f"bias {t}").alias("parameter"), (float(b.bias[j]) - move(F.avg(error[t]))).alias("value")) for j, t in enumerate(b.columns)]
     cells += [
-        F.struct(F.lit(f"weight {s} {t}").alias("parameter"), (float(system.weights[0][i, j]) - rate * F.sum(F.col(f"`{s}`") * error[t]) / (F.count("*") * len(a.columns))).alias("value"))
+        F.struct(F.lit(f"weight {s} {t}").alias("parameter"), (float(system.weights[0][i, j]) - move(F.sum(F.col(f"`{s}`") * error[t]) / (F.count("*") * len(a.columns)))).alias("value"))
         for i, s in enumerate(a.columns) for j, t in enumerate(b.columns)
     ]
     return scaled.agg(F.array(*cells).alias("m")).select(F.inline("m"))

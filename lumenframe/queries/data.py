@@ -168,6 +168,23 @@ def st_kcorr(spark, sf_dir):
     return stats.k_correlation(_lines(spark, sf_dir), MEASURES, 2)
 
 
+#: First component of two columns in closed form: l is the larger eigenvalue, (u, v) its direction.
+FIRST = """(SELECT a, b, c, l, (l - c) / sqrt((l - c) * (l - c) + b * b) AS u, b / sqrt((l - c) * (l - c) + b * b) AS v
+    FROM (SELECT *, (a + c) / 2e0 + sqrt((a - c) * (a - c) / 4e0 + b * b) AS l FROM (
+    SELECT var_samp(l_discount) AS a, covar_samp(l_discount, l_tax) AS b, var_samp(l_tax) AS c FROM lineitem)))"""
+PAIR = ["l_discount", "l_tax"]
+
+
+@R(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(u * l_discount + v * l_tax, 6) AS pc1 FROM lineitem, {FIRST}")
+def st_pca_first(spark, sf_dir):
+    return rounded(stats.pca_sample(_lines(spark, sf_dir).select(*LINE_KEY, *PAIR), PAIR, 1), 6)
+
+
+@R(" UNION ALL ".join(f"SELECT 'l_{s}' AS src, 'l_{t}' AS tgt, round(l * {e}, 6) AS value FROM {FIRST}" for s, t, e in (("discount", "discount", "u * u"), ("discount", "tax", "u * v"), ("tax", "discount", "u * v"), ("tax", "tax", "v * v"))))
+def st_kcov_first(spark, sf_dir):
+    return rounded(stats.k_covariance(_lines(spark, sf_dir), PAIR, 1), 6)
+
+
 @R()
 def st_pca(spark, sf_dir):
     return stats.pca_sample(_lines(spark, sf_dir).select(*LINE_KEY, *MEASURES), MEASURES, 2)

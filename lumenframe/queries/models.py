@@ -15,6 +15,7 @@ from lumenframe.operators import system as sysm
 from lumenframe.operators.system import System, Units
 from lumenframe.operators.train import Schedule
 from lumenframe.queries.common import Registry, rounded, table
+from lumenframe.queries.graphs import _graph as graph_of_tables
 from lumenframe.streaming import score
 
 R = Registry()
@@ -158,15 +159,20 @@ def sys_link_attrs(spark, sf_dir):
     return rounded(sysm.link_attributes(_geography(spark, sf_dir)).select("src", "dst", "sign", "normal", "intensity"))
 
 
-@R("SELECT 'i' AS layer, 3::BIGINT AS n UNION ALL SELECT 'h', 2 UNION ALL SELECT 'o', 1")
+def _territory(spark, sf_dir) -> System:
+    """Regions and nations, two fixed small tables, as a system."""
+    g = graph_of_tables(spark, sf_dir)
+    return sysm.from_network(net.Network(g.nodes.where("layer_id < 2"), g.edges.where("layer_id < 1"), "territory"))
+
+
+@R("SELECT 'region' AS layer, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
 def sys_units(spark, sf_dir):
-    return SYSTEM.units_table(spark).groupBy("layer").agg(F.count("*").alias("n"))
+    return _territory(spark, sf_dir).units_table(spark).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@R("SELECT 28::BIGINT AS links, 12::BIGINT AS units")
+@R("SELECT (SELECT count(*) FROM nation) AS links, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS units")
 def sys_from_network(spark, sf_dir):
-    """Four inputs, hidden layers of four and two units, two outputs, bound in full."""
-    s = sysm.from_network(net.multilayer(spark, shape=(4, 2)))
+    s = _territory(spark, sf_dir)
     return spark.createDataFrame([(sum(int(a.sum()) for a in s.adjacency), sum(len(u.labels) for u in s.layers))], "links long, units long")
 
 
@@ -178,9 +184,13 @@ def rel_correlation(spark, sf_dir):
     return rounded(relations.correlation(_rows(spark, sf_dir), SYSTEM))
 
 
-@R("SELECT 'i:a' AS src, 'o:d' AS tgt, round(35e-2 + 27e-2, 6) AS value UNION ALL SELECT 'i:b', 'o:d', round(14e-2 - 72e-2, 6) UNION ALL SELECT 'i:c', 'o:d', round(-42e-2 - 36e-2, 6)")
+@R("""SELECT 'r:' || n_regionkey AS src, m.mktsegment AS tgt, round(sum((n_nationkey - 12) / 1e1 * m.weight), 4) AS value FROM nation
+    JOIN (SELECT c_nationkey, c_mktsegment AS mktsegment, avg(c_acctbal) / 1e3 AS weight FROM customer GROUP BY ALL) m ON c_nationkey = n_nationkey GROUP BY ALL""")
 def rel_weightsum(spark, sf_dir):
-    return rounded(relations.weight_sum_product(SYSTEM.links_table(spark)))
+    """Regions to market segments over nations, whose links to segments weigh mean balances."""
+    balance = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg((F.avg("c_acctbal") / 1e3).alias("weight"))
+    links = balance.select(F.lit(1).alias("src_layer_id"), F.concat(F.lit("n:"), "c_nationkey").alias("src"), F.col("c_mktsegment").alias("dst"), "weight")
+    return rounded(relations.weight_sum_product(_geography(spark, sf_dir).drop("adjacency").unionByName(links)), 4)
 
 
 def _held(s: str) -> str:
@@ -261,6 +271,14 @@ def train_bprop_step(spark, sf_dir):
     return rounded(train.bprop_step(_rows(spark, sf_dir), SHALLOW))
 
 
+@R(
+    f"""SELECT 'bias o:d' AS parameter, round(5e-2 - 12e-4 * sign(avg(e)), 6) AS value FROM (SELECT *, 5e-2 + 3e-1 * a - 2e-1 * b + 1e-1 * c - d AS e FROM {BASE})"""
+    + "".join(f" UNION ALL SELECT 'weight i:{s} o:d', round({w} - 12e-4 * sign(sum({s} * e)), 6) FROM (SELECT *, 5e-2 + 3e-1 * a - 2e-1 * b + 1e-1 * c - d AS e FROM {BASE})" for s, w in (("a", "3e-1"), ("b", "-2e-1"), ("c", "1e-1")))
+)
+def train_rprop_step(spark, sf_dir):
+    return rounded(train.rprop_step(_rows(spark, sf_dir), SHALLOW))
+
+
 def _trained(algorithm: str, system: System, **options):
     def query(spark, sf_dir):
         rows = _rows(spark, sf_dir)

@@ -13,7 +13,7 @@ from lumenframe.sources.networks import read_text
 
 
 def read_system_config(spark: SparkSession, path: str) -> dict[str, object]:
-    """name, type and schedules: schedule name to system type to settings."""
+    """name, type and schedules: schedule name to system type to settings (see train.Schedule.from_settings)."""
     config = configparser.ConfigParser(interpolation=None, strict=False)
     config.optionxform = str
     config.read_string(read_text(spark, path))
@@ -23,11 +23,19 @@ def read_system_config(spark: SparkSession, path: str) -> dict[str, object]:
         if section.startswith("schedule "):
             blocks = {}
             for key, value in config[section].items():
-                blocks[key.removeprefix("system ").strip()] = ast.literal_eval(value) if value.strip().startswith("{") else value
+                blocks[key.removeprefix("system ").strip()] = _settings(value)
             schedules[section.split(" ", 1)[1].strip()] = blocks
     return out | {"schedules": schedules}
 
 
+def _settings(text: str) -> dict[str, object]:
+    """Settings as a dictionary or as `name = value` with commas between; values are literals."""
+    if text.strip().startswith("{"):
+        return ast.literal_eval(text.strip())
+    call = ast.parse(f"_({text.strip()})", mode="eval").body
+    return {k.arg: ast.literal_eval(k.value) for k in call.keywords}
+
+
 def write_system(spark: SparkSession, system: System, path: str) -> None:
     """Units and links as parquet tables."""
     system.units_table(spark).write.mode("overwrite").parquet(f"{path}/units")

@@ -356,3 +356,55 @@ def test_metadata_comes_back(spark, tmp_path):
     assert tables.read_dataset(spark, str(tmp_path / "t.csv")).meta == {"name": "t", "about": "x = y"}
     with pytest.raises(ValueError):
         tables.write_dataset(made, str(tmp_path / "t.xyz"))
+
+
+# ---------------------------------------------------------------- schedules and steps
+
+
+def test_schedules_of_system_files(spark, tmp_path):
+    from lumenframe.operators.train import Schedule
+    from lumenframe.sources.systems import read_system_config
+
+    path = tmp_path / "deep.ini"
+    path.write_text(
+        "[system]\ntype = rbm.RBM\n\n[schedule default]\nsystem rbm.RBM:\n  algorithm = 'cd',\n  updates = 40,\n  update_rate = .2,\n"
+        "  update_factor_vbias = .5,\n  minibatch_size = 30,\n  minibatch_update_interval = 4,\n  gen_module = '',\nsystem ann.ANN: {'updates': 7}\n"
+    )
+    found = read_system_config(spark, str(path))["schedules"]["default"]
+    made = Schedule.from_settings(found["rbm.RBM"], rounds=2)
+    assert (made.algorithm, made.updates, made.rate, made.minibatch, made.interval, made.rounds, made.objective) == ("contrastive", 40, 0.2, 30, 4, 2, None)
+    assert made.options == {"vbias_factor": 0.5}
+    assert Schedule.from_settings(found["ann.ANN"]).updates == 7
+
+
+def test_contrastive_factors_and_heat():
+    from lumenframe.operators.train import Contrastive, Schedule, rbm
+
+    x = np.random.default_rng(0).integers(0, 2, (50, 3)).astype(float)
+    start = rbm(["visible:a", "visible:b", "visible:c"], 2, "sigmoid")
+
+    def step(**options):
+        return Contrastive(Schedule(options=options, updates=10), np.random.default_rng(1)).step(start, x, x[:, :0])
+
+    def moves(made):
+        return made.layers[0].bias - start.layers[0].bias, made.layers[1].bias - start.layers[1].bias, made.weights[0] - start.weights[0]
+
+    plain, half, still, hot = moves(step()), moves(step(vbias_factor=0.5)), moves(step(weights_factor=0.0, hbias_factor=0.0)), moves(step(temperature=1.0))
+    assert np.allclose(half[0], plain[0] / 2) and np.allclose(half[1], plain[1]) and np.allclose(half[2], plain[2])
+    assert np.allclose(still[0], plain[0]) and not still[1].any() and not still[2].any()
+    for k in range(3):
+        assert not np.allclose(hot[k], plain[k])
+
+
+def test_history_interval_and_stop(spark):
+    from lumenframe.operators import train
+    from lumenframe.operators.system import System, Units
+
+    system = System((Units("i", ("a",), "gauss", True, np.zeros(1), np.zeros(1)), Units("o", ("b",), "gauss", True, np.zeros(1), np.zeros(1))), (np.zeros((1, 1)),), (np.ones((1, 1)),))
+    rows = spark.createDataFrame([(k / 50, k / 25) for k in range(50)], "`i:a` double, `o:b` double").coalesce(1)
+    seen, history = [], []
+    train.fit(rows, system, train.Schedule(updates=30, rounds=6, minibatch=5, interval=3), watch=lambda turn, s: seen.append(turn) or turn == 2, history=history)
+    assert seen == [0, 1, 2] and [u for u, _ in history] == [5, 10, 15] and history[-1][1] < history[0][1]
+    once = {r["parameter"]: r["value"] for r in train.rprop_step(rows, system).collect()}
+    moved = train.fit(rows, system, train.Schedule(updates=1, rounds=1, minibatch=50, algorithm="rprop", keep_best=False))
+    assert np.isclose(once["bias o:b"], moved.layers[1].bias[0]) and np.isclose(once["weight i:a o:b"], moved.weights[0][0, 0])
