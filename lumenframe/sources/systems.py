@@ -28,10 +28,12 @@ def read_system_config(spark: SparkSession, path: str) -> dict[str, object]:
     return out | {"schedules": schedules}
 
 
-def _settings(text: str) -> dict[str, object]:
-    """Settings as a dictionary or as `name = value` with commas between; values are literals."""
+def _settings(text: str) -> dict[str, object] | str:
+    """Settings as a dictionary or as `name = value` with commas between; values are literals. Other text stays."""
     if text.strip().startswith("{"):
         return ast.literal_eval(text.strip())
+    if "=" not in text:
+        return text
     call = ast.parse(f"_({text.strip()})", mode="eval").body
     return {k.arg: ast.literal_eval(k.value) for k in call.keywords}
 
