@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,8 @@ from lumenframe.llm.common import U64, SpanHasher, discard, materialize, mix64,
 UNKNOWN = "und"
 #: Bits of the map of frequent phrases, a power of two: 4 MiB, at any size of the corpus.
 BITS = 1 << 25
+#: Bytes of text whose sequences are counted at once.
+SLICE = 4 << 20
 #: Shares of a language's candidates that are ranked on their own before the last ranking.
 SHARES = 64
 _BLANK, _CUT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -75,7 +76,7 @@ class Words:
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each key its number among the different keys; for each number its first place and its count."""
-    code, _ = pd.factorize(keys)
+    code = pa.array(keys).dictionary_encode().indices.to_numpy()
     count = np.bincount(code)
     first = np.empty(len(count), dtype=np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
@@ -133,7 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch], level: int, most: int, maps: list[
     for batch in batches:
         for lang in batch.column(0).unique().to_pylist():
             own = batch.filter(pa.compute.equal(batch.column(0), lang))
-            for part in slices(own, rows=1 << 20, size=12 << 20):
+            for part in slices(own, rows=1 << 20, size=SLICE):
                 yield from _sequences(lang, part.column(1).to_pylist(), level, most, maps)
 
 
