@@ -11,8 +11,8 @@ size (`BITS`), whose false hits only make rows that the count removes. No candid
 
 Defined cases: null texts are empty; a null language is `und`, together with rows that say so; repeated rows count as
 often as they stand; ties of score and count are ranked by the phrase in UTF-8 byte order; a table without a candidate
-gives no rows; other columns are ignored. Long texts are read in blocks (`common.slices`, a text of its own if need be);
-a word may have any length.
+gives no rows; other columns are ignored. Texts are counted in slices of about `SLICE` bytes, a longer text in one
+of its own; a word may have any length.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, SpanHasher, discard, materialize, mix64, slices
+from lumenframe.llm.common import U64, SpanHasher, discard, materialize, mix64
 
 UNKNOWN = "und"
 #: Bits of the map of frequent phrases, a power of two: 4 MiB, at any size of the corpus.
 BITS = 1 << 25
 #: Bytes of text whose sequences are counted at once.
-SLICE = 4 << 20
+SLICE = 6 << 20
 #: Shares of a language's candidates that are ranked on their own before the last ranking.
 SHARES = 64
 _BLANK, _CUT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -43,11 +44,12 @@ COUNTS = "lang string, words int, phrase string, n long"
 
 
 class Words:
-    """The words of some texts in one buffer, each followed by one space."""
+    """The words of some texts in one buffer, each followed by one space. A null text has no words."""
 
-    def __init__(self, texts: list[str | None]):
-        raw = "\n".join(t or "" for t in texts).encode("utf-8", "replace") + b"\n"
-        data = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
+    def __init__(self, texts: pa.StringArray):
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        data = np.insert(_LOWER[raw], offsets[1:] - offsets[0], 10)  # a line end after each text
         cut = _CUT[data]
         inside = ~(cut | _BLANK[data])
         edges = np.diff(inside.view(np.int8), prepend=0)
@@ -68,10 +70,12 @@ class Words:
     def phrases(self, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and bytes of the phrases of so many words that begin at these words."""
         start, stop = self.offsets[first], self.offsets[first + words] - 1
-        size = stop - start
-        offsets = np.concatenate(([0], np.cumsum(size)))
-        at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
-        return offsets, self.buffer[at]
+        offsets = np.concatenate(([0], np.cumsum(stop - start)))
+        out = np.empty(offsets[-1], dtype=np.uint8)
+        for k in range(0, len(first), 1 << 15):  # a few at a time: places take eight times the room of bytes
+            ends = offsets[k : k + (1 << 15) + 1]
+            out[ends[0] : ends[-1]] = self.buffer[np.arange(ends[0], ends[-1]) + np.repeat(start[k : k + (1 << 15)] - ends[:-1], np.diff(ends))]
+        return offsets, out
 
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def _rows(lang: str, words: int, offsets: np.ndarray, data: np.ndarray, count: n
     return pa.RecordBatch.from_arrays([same, pa.array(np.full(len(count), words, np.int32)), phrase, pa.array(count.astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
 
-def _sequences(lang: str, texts: list[str | None], level: int, most: int, maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _sequences(lang: str, texts: pa.StringArray, level: int, most: int, maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Counts of the sequences of a level: of one word, of two, or of three and more."""
     w = Words(texts)
     if not len(w.code):
@@ -132,10 +136,15 @@ def _sequences(lang: str, texts: list[str | None], level: int, most: int, maps:
 
 def _count(batches: Iterator[pa.RecordBatch], level: int, most: int, maps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang in batch.column(0).unique().to_pylist():
-            own = batch.filter(pa.compute.equal(batch.column(0), lang))
-            for part in slices(own, rows=1 << 20, size=SLICE):
-                yield from _sequences(lang, part.column(1).to_pylist(), level, most, maps)
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            part = batch.slice(at, stop - at)
+            for lang in part.column(0).unique().to_pylist():
+                yield from _sequences(lang, part.column(1).filter(pc.equal(part.column(0), lang)), level, most, maps)
+            pa.default_memory_pool().release_unused()
+            at = stop
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +152,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros(BITS // 64, dtype=np.uint64)
     for batch in batches:
         for lang in batch.column(0).unique().to_pylist():
-            phrases = batch.filter(pa.compute.equal(batch.column(0), lang)).column(1).cast(pa.large_string()).to_pylist()
+            phrases = batch.filter(pc.equal(batch.column(0), lang)).column(1).cast(pa.large_string()).to_pylist()
             raw = [p.encode() for p in phrases]
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in raw])))
             for a in _marks(lang, offsets, np.frombuffer(b"".join(raw), dtype=np.uint8)):
