@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.registry import register
+from lumenframe.storage import discard, materialize
 
 NODES = "id string, label string, layer string, layer_id int, layer_sub_id int, node_order int, visible boolean, type string"
 
@@ -249,77 +251,56 @@ def reciprocity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @register("graph", "pagerank")
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) after a fixed number of rounds; the rank of nodes without out-edges is spread over all nodes."""
-    spark = nodes.sparkSession
+    """(id, rank) after a fixed number of rounds; the rank of nodes without out-edges is spread over all nodes.
+
+    Each round's ranks are written once, and those before go.
+    """
     n = nodes.count()
-    out = edges.groupBy("src").agg(F.count("*").alias("m"))
-    links = edges.select("src", "dst").join(out, "src").select("src", "dst", (1.0 / F.col("m")).alias("share"))
-    links = _checkpoint(spark, links)
-    dangling = _checkpoint(spark, nodes.select("id").join(out.select(F.col("src").alias("id")), "id", "left_anti"))
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    held = None
-    for k in range(rounds):
-        loose = rank.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        got = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = nodes.select("id").join(got, "id", "left").join(F.broadcast(loose), how="cross").select(
-            "id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank")
-        )
-        if k + 1 == rounds:
-            break
-        # a round reads the ranks twice, so each is kept once; every fifth cuts the lineage
-        last, rank = held, _checkpoint(spark, rank) if k % 5 == 4 else rank.persist()
-        held = None if k % 5 == 4 else rank
-        if last is not None:
-            rank.count()
-            last.unpersist()
-    return rank
-
-
-def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    from lumenframe.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    # new names for the columns: joins with frames that the rows came from stay unambiguous
-    return df.checkpoint().select(*(F.col(c).alias(c) for c in df.columns))
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("m"))
+    links = materialize(edges.select("src", "dst"), "links")
+    state = materialize(nodes.select("id").join(out, "id", "left").select("id", "m", F.lit(1.0 / max(n, 1)).alias("rank")), "ranks")
+    for _ in range(rounds):
+        loose = state.agg(F.coalesce(F.sum(F.when(F.col("m").isNull(), F.col("rank"))), F.lit(0.0))).first()[0]
+        carried = state.where("m is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("m")).alias("share"))
+        got = links.join(carried, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
+        before, state = state, materialize(state.select("id", "m").join(got, "id", "left").select("id", "m", rank.alias("rank")), "ranks")
+        discard(before)
+    discard(links)
+    return state.select("id", "rank")
 
 
 @register("graph", "connected_components")
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable when edges have no direction, by label propagation with pointer jumps.
+    """(id, component): the least id reachable when edges have no direction."""
+    from lumenframe.operators import components
 
-    Rounds go on until no label changes; pointer jumps keep their number at the logarithm of the longest chain.
-    """
-    spark = nodes.sparkSession
-    both = _checkpoint(spark, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
-    label = nodes.select("id", F.col("id").alias("component"))
-    while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("c"))
-        step = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
-        jump = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left")
-        new = _checkpoint(spark, jump.select("id", F.least("component", "c").alias("component"), "old"))
-        label = new.select("id", "component")
-        if new.where("component <> old").isEmpty():
-            return label
+    found = components.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 @register("graph", "bfs")
 def bfs(nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
     """(id, depth): fewest edges from the source, along their direction; nodes out of reach are left out.
 
-    A step for each depth, until nothing new is found.
+    A step for each depth, until nothing new is found; a step writes what it has found.
     """
-    spark = nodes.sparkSession
-    seen = front = nodes.where(F.col("id") == source).select("id", F.lit(0).alias("depth"))
-    depth = 0
+    links = materialize(edges.select("src", "dst"), "links")
+    front = nodes.where(F.col("id") == source).select("id", F.lit(0).alias("depth")).distinct()
+    seen, depth = [front], 0
     while True:
         depth += 1
-        front = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        front = _checkpoint(spark, front.withColumn("depth", F.lit(depth)))
+        step = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        known = reduce(DataFrame.unionByName, seen).select("id")
+        front = materialize(step.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-        if depth % 20 == 0:  # the plan stays short however deep the graph
-            seen = _checkpoint(spark, seen)
+            discard(front, links)
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(front)
+        if len(seen) > 20:  # the plan stays short however deep the graph
+            used, seen = seen, [materialize(reduce(DataFrame.unionByName, seen), "seen")]
+            discard(*used)
+            front = seen[0].where(F.col("depth") == depth)
 
 
 @register("graph", "triangles")
@@ -330,7 +311,7 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the pairs that are tried do not grow with the square of a hub's degree.
     """
     pair = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    pair = _checkpoint(nodes.sparkSession, pair)
+    pair = materialize(pair, "pairs")
     size = pair.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     sized = pair.join(size.select(F.col("id").alias("a"), F.struct("n", F.col("id")).alias("u")), "a").join(size.select(F.col("id").alias("b"), F.struct("n", F.col("id")).alias("v")), "b")
     out = sized.select(F.least("u", "v")["id"].alias("s"), F.greatest("u", "v")["id"].alias("t"))
@@ -343,23 +324,21 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def topological_generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, generation): most edges on a way that ends at the node; null for nodes on a cycle or behind one.
 
-    A step for each generation, until no node is free of edges from nodes that are left.
+    A step for each generation, until no node is free of edges from nodes that are left. A node keeps the number of the
+    edges that it waits for, from which a step takes those whose start has just become free.
     """
-    spark = nodes.sparkSession
-    left, links = nodes.select("id"), edges.select("src", "dst").distinct()
-    done = left.limit(0).withColumn("generation", F.lit(0))
-    turn = 0
-    while True:
-        free = left.join(links.select(F.col("dst").alias("id")), "id", "left_anti")
-        free = _checkpoint(spark, free.withColumn("generation", F.lit(turn)))
-        if free.isEmpty():
-            return done.unionByName(left.withColumn("generation", F.lit(None).cast("int")))
-        done = done.unionByName(free)
-        left = _checkpoint(spark, left.join(free.select("id"), "id", "left_anti"))
-        links = _checkpoint(spark, links.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+    links = materialize(edges.select("src", "dst").distinct(), "links")
+    into = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
+    state = materialize(nodes.select("id").join(into, "id", "left").select("id", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("generation")), "generations")
+    free, turn = F.expr("waits = 0 and generation is null"), 0
+    while not state.where(free).isEmpty():
+        gone = links.join(state.where(free).select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("gone"))
+        step = state.join(gone, "id", "left").select("id", (F.col("waits") - F.coalesce("gone", F.lit(0))).alias("waits"), F.when(free, F.lit(turn)).otherwise(F.col("generation")).alias("generation"))
+        before, state = state, materialize(step, "generations")
+        discard(before)
         turn += 1
-        if turn % 20 == 0:
-            done = _checkpoint(spark, done)
+    discard(links)
+    return state.select("id", "generation")
 
 
 @register("graph", "is_dag")
@@ -372,7 +351,7 @@ def is_dag(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
     """(step, id) of a way with the fewest edges; of several nodes that lead on, the least id. No rows if out of reach."""
     spark = nodes.sparkSession
-    depths = _checkpoint(spark, bfs(nodes, edges, source))
+    depths = materialize(bfs(nodes, edges, source), "depths")
     end = depths.where(F.col("id") == target).first()
     way = [(end["depth"], target)] if end else []
     for step in range(end["depth"] - 1 if end else -1, -1, -1):

@@ -3,7 +3,7 @@
 A round sends the parameters (a few numbers) to all tasks; each takes update steps on minibatches of its own rows and
 returns its parameters; Spark averages them, weighted by rows. With one round per update, this is plain gradient
 descent over all rows; with more updates per round, local steps save jobs. Rows never leave their tasks, of which each
-keeps a bounded reservoir. Every draw comes from a seed, the round and the task.
+keeps a reservoir of a size that the schedule sets; `epochs` trains on all rows without one. Every draw comes from a seed, the round and the task.
 """
 
 from __future__ import annotations
@@ -21,9 +21,6 @@ from lumenframe.functions import registry
 from lumenframe.functions.registry import register
 from lumenframe.operators.system import System, Units, forward, initialize, measure
 
-#: Rows that a task keeps for its minibatches.
-RESERVOIR = 20_000
-
 
 @dataclass(frozen=True)
 class Schedule:
@@ -40,6 +37,8 @@ class Schedule:
     keep_best: bool = True
     #: Updates that a minibatch is used for before another is drawn.
     interval: int = 1
+    #: Rows that a task keeps to draw its minibatches from, each with equal probability; epochs.fit_epochs takes all rows.
+    reservoir: int = 20_000
 
     @classmethod
     def from_settings(cls, settings: dict[str, object], **given) -> Schedule:
@@ -223,7 +222,7 @@ def unflatten(system: System, flat: np.ndarray) -> System:
     return replace(system, layers=tuple(replace(u, bias=b, lvar=v) for u, b, v in zip(system.layers, biases, lvars, strict=True)), weights=weights)
 
 
-def _corrupt(x: np.ndarray, noise: tuple[str | None, float], rng: np.random.Generator) -> np.ndarray:
+def corrupt(x: np.ndarray, noise: tuple[str | None, float], rng: np.random.Generator) -> np.ndarray:
     kind, factor = noise
     if kind is None:
         return x
@@ -243,21 +242,23 @@ def _round(batches: Iterator[pa.RecordBatch], system: System, n_inputs: int, sch
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
         rows = rows[~np.isnan(rows).any(axis=1)]
-        if room := RESERVOIR - len(pool):
+        if room := max(0, schedule.reservoir - len(pool)):
             head, rows = rows[:room], rows[room:]
             pool = np.vstack([pool, head]) if len(pool) else head
             seen += len(head)
-        for row in rows:  # beyond the reservoir: each row so far is kept with equal probability
-            seen += 1
-            if (at := int(rng.integers(seen))) < RESERVOIR:
-                pool[at] = row
+        # beyond the reservoir: each row so far is kept with equal probability
+        at = rng.integers(seen + 1 + np.arange(len(rows)))
+        kept = np.flatnonzero(at < schedule.reservoir)
+        for k in kept:  # of several rows for a place the last stays
+            pool[at[k]] = rows[k]
+        seen += len(rows)
     if not len(pool):
         return
     trainer = registry.get("trainer", schedule.algorithm)(schedule, rng)
     for k in range(steps):
         if k % schedule.interval == 0:
             part = pool if len(pool) <= schedule.minibatch else pool[rng.integers(len(pool), size=schedule.minibatch)]
-        system = trainer.step(system, _corrupt(part[:, :n_inputs], schedule.noise, rng), part[:, n_inputs:])
+        system = trainer.step(system, corrupt(part[:, :n_inputs], schedule.noise, rng), part[:, n_inputs:])
     flat = flatten(system)
     weight = max(seen, len(pool))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * weight), pa.array(np.full(len(flat), float(weight)))], names=["k", "value", "weight"])
@@ -276,27 +277,29 @@ def fit(df: DataFrame, system: System, schedule: Schedule = Schedule(), watch: C
     best, best_value = system, None
     optimum = registry.entry("unit_measure", schedule.objective).meta.get("optimum", "min") if schedule.objective and not pair else None
     rounds = max(1, min(schedule.rounds, schedule.updates))
-    for turn in range(rounds):
-        steps = schedule.updates * (turn + 1) // rounds - schedule.updates * turn // rounds
-        now, width = system, len(inputs)
-        sums = rows.mapInArrow(lambda it, now=now, turn=turn, steps=steps: _round(it, now, width, schedule, turn, steps), "k long, value double, weight double")
-        found = sums.groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("v")).collect()  # one row per parameter
-        if not found:
-            break
-        flat = np.zeros(len(found))
-        for r in found:
-            flat[r["k"]] = r["v"]
-        system = unflatten(system, flat)
-        stop = watch(turn, system) if watch else False
-        if optimum:
-            value = measure(df, system, schedule.objective).first()["value"]
-            if history is not None:
-                history.append((schedule.updates * (turn + 1) // rounds, value))
-            if value is not None and (best_value is None or (value < best_value) == (optimum == "min")):
-                best, best_value = system, value
-        if stop:
-            break
-    rows.unpersist()
+    try:
+        for turn in range(rounds):
+            steps = schedule.updates * (turn + 1) // rounds - schedule.updates * turn // rounds
+            now, width = system, len(inputs)
+            sums = rows.mapInArrow(lambda it, now=now, turn=turn, steps=steps: _round(it, now, width, schedule, turn, steps), "k long, value double, weight double")
+            found = sums.groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("v")).collect()  # one row per parameter
+            if not found:
+                break
+            flat = np.zeros(len(found))
+            for r in found:
+                flat[r["k"]] = r["v"]
+            system = unflatten(system, flat)
+            stop = watch(turn, system) if watch else False
+            if optimum:
+                value = measure(df, system, schedule.objective).first()["value"]
+                if history is not None:
+                    history.append((schedule.updates * (turn + 1) // rounds, value))
+                if value is not None and (best_value is None or (value < best_value) == (optimum == "min")):
+                    best, best_value = system, value
+            if stop:
+                break
+    finally:
+        rows.unpersist()
     return best if optimum and schedule.keep_best and best_value is not None else system
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.queries import data, functions, graphs, models, stores
+from lumenframe.queries import algorithms, data, functions, graphs, models, stores
 from lumenframe.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (data, functions, graphs, models, stores)
+_PARTS = (algorithms, data, functions, graphs, models, stores)
 
 FLAGSHIP: Query = data.st_corr
 

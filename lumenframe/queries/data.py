@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenframe.operators import arrays, labels, stats
+from lumenframe.operators import arrays, labels, stats, wide
 from lumenframe.operators import dataset as ds
 from lumenframe.operators.dataset import Dataset
 from lumenframe.queries.common import LINE_KEY, MEASURES, Registry, rounded, table
@@ -278,6 +278,20 @@ def lab_full_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", labels.full_name(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("full_name"))
 
 
+@R("SELECT (i - 1)::INT AS src, (j - 1)::INT AS tgt, round(covar_samp(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 8) AS value FROM embeddings, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY i, j")
+def st_wide_cov(spark, sf_dir):
+    """Of all 64 places of the embeddings."""
+    return rounded(wide.wide_covariance(table(spark, sf_dir, "embeddings"), vector="embedding"), 8)
+
+
+@R("SELECT round(sum(v), 8) AS total, round(sum(v * v), 8) AS squares FROM (SELECT covar_samp(embedding[i]::DOUBLE, embedding[j]::DOUBLE) AS v, i, j FROM embeddings, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY i, j) WHERE i = j".replace("round(sum(v * v), 8) AS squares", "round((SELECT sum(v * v) FROM (SELECT covar_samp(embedding[i]::DOUBLE, embedding[j]::DOUBLE) AS v FROM embeddings, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY i, j)), 8) AS squares"))
+def st_wide_spectrum(spark, sf_dir):
+    """Sums of all eigenvalues and of their squares: the trace and the sum of all squared covariances."""
+    rows, d = wide.as_rows(table(spark, sf_dir, "embeddings"), vector="embedding")
+    values, _ = wide.leading_components(rows, d, d)
+    return rounded(spark.createDataFrame([(float(values.sum()), float((values**2).sum()))], "total double, squares double"), 8)
+
+
 def queries():
     return dict(R.found)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import registry
 from lumenframe.operators import network as net
-from lumenframe.operators import relations, train
+from lumenframe.operators import epochs, relations, train
 from lumenframe.operators import system as sysm
 from lumenframe.operators.system import System, Units
 from lumenframe.operators.train import Schedule
@@ -279,6 +279,23 @@ def train_rprop_step(spark, sf_dir):
     return rounded(train.rprop_step(_rows(spark, sf_dir), SHALLOW))
 
 
+def _after(steps: int) -> str:
+    """Parameters after so many updates over all rows, each from the sums of the one before."""
+    out = "WITH p0 AS (SELECT 5e-2 AS o, 3e-1 AS a, -2e-1 AS b, 1e-1 AS c)"
+    for k in range(1, steps + 1):
+        error = "p.o + p.a * r.a + p.b * r.b + p.c * r.c - r.d"
+        out += f", p{k} AS (SELECT min(p.o) - 1e-1 * avg({error}) AS o" + "".join(f", min(p.{s}) - 1e-1 * sum(r.{s} * ({error})) / (count(*) * 3) AS {s}" for s in "abc") + f" FROM p{k - 1} p, {BASE} r)"
+    return out + f" SELECT 'bias o:d' AS parameter, round(o, 6) AS value FROM p{steps}" + "".join(f" UNION ALL SELECT 'weight i:{s} o:d', round({s}, 6) FROM p{steps}" for s in "abc")
+
+
+@R(_after(3))
+def train_epochs(spark, sf_dir):
+    """Three epochs of one minibatch a task: each is an update over all rows."""
+    fitted = epochs.fit_epochs(_rows(spark, sf_dir), SHALLOW, Schedule(minibatch=1 << 30), 3)
+    values = [("bias o:d", float(fitted.layers[1].bias[0])), *((f"weight i:{s} o:d", float(w)) for s, w in zip("abc", fitted.weights[0][:, 0], strict=True))]
+    return rounded(spark.createDataFrame(values, "parameter string, value double"))
+
+
 def _trained(algorithm: str, system: System, **options):
     def query(spark, sf_dir):
         rows = _rows(spark, sf_dir)

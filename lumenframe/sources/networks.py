@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import ast
-import base64
 import configparser
-import json
 import re
-from collections.abc import Sequence
-from html import unescape
 from pathlib import PurePosixPath
 from xml.sax.saxutils import escape
 
@@ -69,10 +64,6 @@ def pack(values: Column) -> Column:
     return F.translate(F.base64(F.to_json(values)), "\r\n", "")
 
 
-def unpack(text: str) -> dict:
-    return json.loads(base64.b64decode(text))
-
-
 def escaped(text: Column) -> Column:
     """Text inside quotes of a graph file: the characters that end a value or a block as XML entities."""
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;"), ("\n", "&#10;")):
@@ -124,7 +115,10 @@ WRITERS = {"gml": to_gml, "graphml": to_graphml, "xml": to_graphml, "dot": to_do
 
 
 def write_network(network: Network, path: str, kind: str | None = None) -> None:
-    """A network as a folder with one text part (graph formats) or as parquet tables (bundle)."""
+    """A network as a folder of text parts, whose contents one after the other make the file, or as parquet tables (bundle).
+
+    Lines are dealt to the parts by ranges of their order, so a small network is one part and a large one many.
+    """
     kind = kind or PurePosixPath(path).suffix.lstrip(".")
     if kind == "bundle":
         network.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -132,62 +126,94 @@ def write_network(network: Network, path: str, kind: str | None = None) -> None:
         return
     if kind not in WRITERS:
         raise ValueError(f"can't write networks as {kind!r}")
-    WRITERS[kind](network).repartition(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    WRITERS[kind](network).orderBy("n").select("value").write.mode("overwrite").text(path)
 
 
-def _network(spark: SparkSession, name: str, nodes: Sequence[tuple[str, dict]], edges: Sequence[tuple[str, str, float, dict]]) -> Network:
-    rows = [(i, p.get("label", i), p.get("layer"), p.get("layer_id"), p.get("layer_sub_id"), p.get("node_order", k), p.get("visible"), p.get("type")) for k, (i, p) in enumerate(nodes)]
-    links = [(a, b, p.get("src_layer"), p.get("dst_layer"), p.get("layer_id"), p.get("edge_order", k), w) for k, (a, b, w, p) in enumerate(edges)]
-    return Network(spark.createDataFrame(rows, NODES), spark.createDataFrame(links, EDGES), name)
+# ---------------------------------------------------------------- graph files: blocks of text to nodes and edges
 
+_NODE_TYPE = "struct<label:string,layer:string,layer_id:int,layer_sub_id:int,node_order:int,visible:boolean,type:string>"
+_EDGE_TYPE = "struct<src_layer:string,dst_layer:string,layer_id:int,edge_order:int>"
 
-def read_gml(spark: SparkSession, path: str) -> Network:
-    text = read_text(spark, path)
-    fields = lambda block: {k: unescape(v.strip('"')) for k, v in re.findall(r'(\w+)\s+("[^"]*"|[^\s\]]+)', block)}
-    block = r"\s*\[((?:[^\]\"]|\"[^\"]*\")*)\]"  # a bracket inside quotes does not end a block
-    nodes = [fields(b) for b in re.findall(r"\bnode" + block, text)]
-    names = {n["id"]: n.get("label", n["id"]) for n in nodes}
-    edges = [fields(b) for b in re.findall(r"\bedge" + block, text)]
-    name = re.search(r'\bname\s+"([^"]*)"', text)
-    return _network(
-        spark, unescape(name[1]) if name else PurePosixPath(path).stem, [(names[n["id"]], _params(n)) for n in nodes],
-        [(names[e["source"]], names[e["target"]], float(e.get("weight", 0)), _params(e)) for e in edges],
-    )
+
+def _place() -> Column:
+    """Where a row was read: file, start of its split, and its number there."""
+    return F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def _unescaped(text: Column) -> Column:
+    """The text that escaped() got; entities of XML and of line ends and brackets."""
+    for entity, plain in (("&#10;", "\n"), ("&#93;", "]"), ("&#91;", "["), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    return text
 
 
-def _params(found: dict) -> dict:
-    return unpack(found["params"]) if found.get("params") else {k: _literal(v) for k, v in found.items()}
+def _attributes(packed: Column, kind: str, plain) -> Column:
+    """The struct that pack() made or, in files of other programs, the attributes of these names."""
+    names = _NODE if kind == _NODE_TYPE else _EDGE
+    types = dict(x.split(":") for x in kind[len("struct<") : -1].split(","))
+    other = F.struct(*(plain(n).try_cast(types[n]).alias(n) for n in names))
+    return F.when(packed != "", F.from_json(F.unbase64(packed).cast("string"), kind)).otherwise(other)
 
 
-def _literal(text: str) -> object:
-    try:
-        return ast.literal_eval(text)
-    except (ValueError, SyntaxError):
-        return text
+def _numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with `order` counted in the order of the file where a row has none."""
+    from lumenframe.operators.arrays import number_rows
+
+    if df.where(F.col(order).isNull()).isEmpty():
+        return df.drop("place")
+    placed = number_rows(df, ["place.file", "place.start", "place.row"], "__at")
+    return placed.withColumn(order, F.coalesce(order, F.col("__at").cast("int"))).drop("__at", "place")
+
+
+def _assembled(name: str, nodes: DataFrame, edges: DataFrame) -> Network:
+    """nodes: id, p, place; edges: src, dst, weight, p, place."""
+    made = _numbered(nodes.select("id", F.coalesce("p.label", "id").alias("label"), *(f"p.{c}" for c in _NODE[1:]), "place"), "node_order")
+    links = _numbered(edges.select("src", "dst", *(f"p.{c}" for c in _EDGE), F.coalesce("weight", F.lit(0.0)).alias("weight"), "place"), "edge_order")
+    return Network(made.select(*(f.split()[0] for f in NODES.split(", "))), links.select(*(f.split()[0] for f in EDGES.split(", "))), name)
+
+
+def _first(df: DataFrame, name: Column, otherwise: str) -> str:
+    found = df.select(_unescaped(name).alias("x")).where("x <> ''").first()
+    return found[0] if found else otherwise
+
+
+def read_gml(spark: SparkSession, path: str) -> Network:
+    """Blocks are read in parallel: a record of the text ends at a closing bracket, so files are split within."""
+    records = spark.read.option("lineSep", "]").text(path).select("value", _place().alias("place"))
+    if not records.where((F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1).isEmpty():
+        raise ValueError(f"{path}: a closing bracket stands inside quotes; write it as &#93;")
+    blocks = records.withColumn("kind", F.regexp_extract("value", r"(?s).*\b(node|edge)\s*\[(.*)$", 1)).withColumn("block", F.regexp_extract("value", r"(?s).*\b(?:node|edge)\s*\[(.*)$", 1))
+    of = lambda n: F.coalesce(*(F.nullif(F.regexp_extract("block", rf"(?:^|\s){n}\s+{v}", 1), F.lit("")) for v in ('"([^"]*)"', r"([^\s\"]+)")))
+    packed = F.coalesce(of("params"), F.lit(""))
+    named = blocks.where("kind = 'node'").select(of("id").alias("number"), _unescaped(F.coalesce(of("label"), of("id"))).alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
+    links = blocks.where("kind = 'edge'").select(of("source").alias("s"), of("target").alias("t"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
+    ids = named.select("number", "id")
+    edges = links.join(ids.select(F.col("number").alias("s"), F.col("id").alias("src")), "s").join(ids.select(F.col("number").alias("t"), F.col("id").alias("dst")), "t")
+    name = _first(records, F.regexp_extract("value", r'(?s)\bgraph\s*\[[^\[]*?\bname\s+"([^"]*)"', 1), PurePosixPath(path).stem)
+    return _assembled(name, named.drop("number"), edges.drop("s", "t"))
 
 
 def read_graphml(spark: SparkSession, path: str) -> Network:
     """Nodes and edges are read as XML rows in parallel."""
-    data = "array<struct<_key:string,_VALUE:string>>"
-    node = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, data {data}").load(path)
-    edge = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, data {data}").load(path)
-    of = lambda r: {d["_key"]: d["_VALUE"] for d in r["data"] or ()}
-    nodes = [(r["_id"], _params(of(r))) for r in node.collect()]
-    edges = [(r["_source"], r["_target"], float(of(r).get("weight", 0)), _params({k: v for k, v in of(r).items() if k == "params"})) for r in edge.collect()]
-    return _network(spark, PurePosixPath(path).stem, sorted(nodes, key=lambda n: n[1].get("node_order", 0)), edges)
+    data = "data array<struct<_key:string,_VALUE:string>>"
+    read = lambda tag, fields: spark.read.format("xml").option("rowTag", tag).schema(f"{fields}, {data}").load(path).select("*", _place().alias("place"))
+    of = lambda n: F.expr(f"filter(data, d -> d._key = '{n}')[0]._VALUE")
+    packed = F.coalesce(of("params"), F.lit(""))
+    nodes = read("node", "_id string").select(F.col("_id").alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
+    edges = read("edge", "_source string, _target string").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
+    return _assembled(PurePosixPath(path).stem, nodes, edges)
 
 
 def read_dot(spark: SparkSession, path: str) -> Network:
+    """A node or an edge a line, in parallel."""
     line = F.col("value")
-    attribute = lambda name: F.regexp_extract(line, name + r'="([^"]*)"', 1)
-    rows = spark.read.text(path).select(
-        F.regexp_extract(line, r'^\s*"([^"]+)"', 1).alias("a"), F.regexp_extract(line, r'->\s*"([^"]+)"', 1).alias("b"), attribute("weight").alias("w"), attribute("params").alias("p"),
-        F.regexp_extract(line, r'^digraph\s+"([^"]*)"', 1).alias("name"),
-    ).collect()
-    params = lambda r: unpack(r["p"]) if r["p"] else {}
-    nodes = [(unescape(r["a"]), params(r)) for r in rows if r["a"] and not r["b"]]
-    edges = [(unescape(r["a"]), unescape(r["b"]), float(r["w"] or 0), params(r)) for r in rows if r["b"]]
-    return _network(spark, next((unescape(r["name"]) for r in rows if r["name"]), PurePosixPath(path).stem), nodes, edges)
+    lines = spark.read.text(path).select("value", _place().alias("place"))
+    of = lambda n: F.nullif(F.regexp_extract(line, rf'\b{n}="([^"]*)"', 1), F.lit(""))
+    packed = F.coalesce(of("params"), F.lit(""))
+    a, b = F.regexp_extract(line, r'^\s*"([^"]+)"', 1), F.regexp_extract(line, r'->\s*"([^"]+)"', 1)
+    nodes = lines.where((a != "") & (b == "")).select(_unescaped(a).alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
+    edges = lines.where(b != "").select(_unescaped(a).alias("src"), _unescaped(b).alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
+    return _assembled(_first(lines, F.regexp_extract(line, r'^digraph\s+"([^"]*)"', 1), PurePosixPath(path).stem), nodes, edges)
 
 
 def read_network(spark: SparkSession, path: str, kind: str | None = None) -> Network:
