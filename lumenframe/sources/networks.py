@@ -161,7 +161,7 @@ def _numbered(df: DataFrame, order: str) -> DataFrame:
 
     if df.where(F.col(order).isNull()).isEmpty():
         return df.drop("place")
-    placed = number_rows(df, ["place.file", "place.start", "place.row"], "__at")
+    placed = number_rows(df, ["place"], "__at")
     return placed.withColumn(order, F.coalesce(order, F.col("__at").cast("int"))).drop("__at", "place")
 
 
@@ -194,13 +194,18 @@ def read_gml(spark: SparkSession, path: str) -> Network:
 
 
 def read_graphml(spark: SparkSession, path: str) -> Network:
-    """Nodes and edges are read as XML rows in parallel."""
-    data = "data array<struct<_key:string,_VALUE:string>>"
-    read = lambda tag, fields: spark.read.format("xml").option("rowTag", tag).schema(f"{fields}, {data}").load(path).select("*", _place().alias("place"))
-    of = lambda n: F.expr(f"filter(data, d -> d._key = '{n}')[0]._VALUE")
+    """Elements are read in parallel: a record of the text ends at a closing tag, so files are split within and may come in parts."""
+
+    def elements(tag: str) -> DataFrame:
+        records = spark.read.option("lineSep", f"</{tag}>").text(path).select("value", _place().alias("place"))
+        one = rf"(?s)(<{tag}\b[^>]*/>|<{tag}\b[^>]*[^/>]>.*$)"  # closed in itself, or the last one of the record
+        return records.select(F.posexplode(F.regexp_extract_all("value", F.lit(one), 1)).alias("n", "e"), "place").select("e", F.struct("place.file", "place.start", "place.row", "n").alias("place"))
+
+    given = lambda n: _unescaped(F.regexp_extract("e", rf"""^<\w+\b[^>]*?\s{n}=["']([^"']*)""", 1))
+    of = lambda n: F.nullif(_unescaped(F.regexp_extract("e", rf"""<data\s+key=["']{n}["'][^>]*>([^<]*)<""", 1)), F.lit(""))
     packed = F.coalesce(of("params"), F.lit(""))
-    nodes = read("node", "_id string").select(F.col("_id").alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
-    edges = read("edge", "_source string, _target string").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
+    nodes = elements("node").select(given("id").alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
+    edges = elements("edge").select(given("source").alias("src"), given("target").alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
     return _assembled(PurePosixPath(path).stem, nodes, edges)
 
 

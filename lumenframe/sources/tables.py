@@ -115,7 +115,7 @@ def write_delimited(dataset: Dataset, path: str, separator: str = ",", table: st
     rest = [c for c in df.columns if c != LABEL]
     meta = {"name": name} | dataset.meta | {"escapes": ESCAPES}
     flat = lambda v: str(v).replace("\r", " ").replace("\n", " ")
-    head = "\n".join([*(f"# {flat(k)} = {flat(v)}" for k, v in meta.items()), _csv_line(["", *rest], separator)])
+    head = "\n".join([*(f"# {flat(k)} = {flat(v)}" for k, v in meta.items()), _csv_line([LABEL, *rest], separator)])
     cells = F.struct(_escaped(F.col(LABEL).cast("string")).alias("label"), *(F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(rest)))
     options = {"sep": separator, "quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": ""}
     line = F.to_csv(cells, options)

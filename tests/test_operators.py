@@ -245,7 +245,7 @@ def test_delimited_files(spark, frame, tmp_path):
     tables.write_bundle(data, str(tmp_path / "b.bundle"))
     assert tables.read_dataset(spark, str(tmp_path / "b.bundle")).tables["sample"].count() == 2
     tables.write_delimited(data, str(tmp_path / "o.tsv"), "\t")
-    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "o.tsv")).columns == ["label", "i1", "i2"]
+    assert spark.read.option("header", True).option("comment", "#").option("sep", "\t").csv(str(tmp_path / "o.tsv")).columns == ["label", "i1", "i2"]
     with pytest.raises(ValueError):
         tables.filetypes("doc")
 
