@@ -127,6 +127,8 @@ class MergeTable:
             start = stop - size
             if start == 0 or (last[start] >= 0 and self.fits(last[start], token)):
                 last[stop], width[stop] = token, size
+        if last[n] < 0:
+            raise ValueError("the vocabulary lacks a character of the text, or tokens that its merges make")
         out, at = [], n
         while at:
             out.append(last[at])

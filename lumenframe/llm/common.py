@@ -1,15 +1,18 @@
-"""Helpers that the operators of this subpackage share: storage, row ids, hashing, graph components."""
+"""Helpers that the operators of this subpackage share: row ids, hashing, and from the library storage and graph components."""
 
 from __future__ import annotations
 
 import hashlib
-import re
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.operators.components import connected_components as connected_components
+from lumenframe.storage import discard as discard
+from lumenframe.storage import materialize as materialize
+from lumenframe.storage import scratch_path as scratch_path
+
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 
@@ -21,64 +24,6 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    It is set here only where none is named and all runs on one machine, as in tests.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = f"/tmp/checkpoints/lumenframe-{uuid.uuid4().hex}"
-        sc.setCheckpointDir(named)
-    return named
-
-
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends if not before."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, found = _hadoop(spark, path)
-    fs.deleteOnExit(found)
-    return path
-
-
-#: Spark removes the shuffle files of a write once it has ended, instead of when its plan is collected as garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """Write df to the shared folder and read it back: work that two branches use is done once and lineage is cut.
-
-    level is that of the compression, which spans the rows of a page. Give the result to discard() when it has been used.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the folders that materialize wrote for these frames; nothing may read them any more."""
-    for df in frames:
-        if path := getattr(df, "_scratch", None):
-            fs, found = _hadoop(df.sparkSession, path)
-            fs.delete(found, True)
-
-
 # ---------------------------------------------------------------- columns
 
 
@@ -181,42 +126,3 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = ~SPACE[data]
     edges = np.diff(inside)
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
-
-# ---------------------------------------------------------------- components
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the undirected edges (a, b); component is the smallest node that can be reached.
-
-    Alternating large-star and small-star steps: every step is two shuffles of the edge list and the number of
-    steps grows with the logarithm of the longest chain. The edge list is written to the shared folder after each
-    step, so a lost executor costs one step. The hub of a large star is the key of a grouped minimum with partial
-    aggregation and of a join that adaptive execution may split, never of a collected list.
-    """
-    e = edges.select("a", "b").where("a <> b")
-    e = materialize(e.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "edges")
-    last = None
-    for _ in range(rounds):
-        # large star: link each strictly larger neighbour of u to the smallest of u and its neighbours
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: link u and its smaller neighbours to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        used, e = e, materialize(small, "edges")
-        discard(used)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last or not state[0]:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    out = materialize(
-        e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components"
-    )
-    discard(e)
-    return out

@@ -17,8 +17,9 @@ Lines that are equal are one node from the start. Lines of EDITS characters or f
 other: these links are counted and not listed. Links make classes (connected components); the first line of a class by
 doc_id and line number is kept. A line's id is a 64-bit hash, and unique: lines that share one are given others.
 
-Two edits make another word of a short line, so drop_repeated_lines cuts a line of fewer than NEAR_CHARS characters only
-where it equals an earlier line; longer ones go by class.
+Two edits make another word of a short line. So a line of `near_chars` characters and more is kept only if it is the first of its
+class, a shorter one if it is the first of those that equal it. This is `kept` of line_classes and what
+drop_repeated_lines goes by; classes and links are of lines of all lengths.
 
 Defined cases: null texts count as empty; lines are trimmed of blanks; empty lines are left alone (kept, without a
 class); lines and texts of any length are compared whole; null ids come after all others; rows that repeat an id with
@@ -36,7 +37,7 @@ from lumenframe.llm.common import connected_components, discard, materialize, un
 EDITS = 2
 #: Lines with fewer characters have no class: empty ones.
 MIN_CHARS = 1
-#: Lines with fewer characters are cut from texts as equal copies only.
+#: Lines with fewer characters repeat only lines that equal them.
 NEAR_CHARS = 20
 #: Indexed lines under one key beyond which pairs are counted in blocks, and lines of a block.
 CROWD, BLOCK = 128, 128
@@ -279,14 +280,14 @@ def _distinct_ids(distinct: DataFrame) -> Column:
     return out
 
 
-def _placed_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """line_classes, and with each line its text_key and whether it is cut: not kept, or of few characters and equal to an earlier one."""
+def _placed_lines(docs: DataFrame, edits: int, min_chars: int, near_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """line_classes, and with each line its text_key."""
     lines = line_rows(docs, id_col, text_col)
     long = F.length("line") >= min_chars
     distinct = materialize(lines.where(long).select("line").distinct().select("line", letter_counts(F.col("line")).alias("counts")), "lines")
     line_id = _distinct_ids(distinct)
     nodes = distinct.select(line_id.alias("id"), "line", "counts")
-    placed = materialize(lines.select("doc_id", "text_key", "line_no", F.when(long, line_id).alias("id"), (F.length("line") < NEAR_CHARS).alias("short")), "line-places")
+    placed = materialize(lines.select("doc_id", "text_key", "line_no", F.when(long, line_id).alias("id"), (F.length("line") < near_chars).alias("short")), "line-places")
     crowded = crowded_keys(nodes, edits)
     links = similar_lines(nodes, edits, crowded)
     within = crowded_links(nodes, crowded, edits)
@@ -307,25 +308,25 @@ def _placed_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str, text
     known = materialize(known.select("id", "own", "class_id", "n_links").join(classes, "class_id"), "line-classes")
     discard(distinct, crowded, links, within, tiny, component)
     with_class = with_id.join(known, "id").select(
-        "doc_id", "text_key", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links", (place == F.col("low")).alias("kept"),
-        (place != F.when(F.col("short"), F.col("own")).otherwise(F.col("low"))).alias("cut"),
+        "doc_id", "text_key", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links",
+        (place == F.when(F.col("short"), F.col("own")).otherwise(F.col("low"))).alias("kept"),
     )
     nothing = F.lit(None).cast("long")
     rest = placed.where("id IS NULL").select(
-        "doc_id", "text_key", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept"), F.lit(False).alias("cut")
+        "doc_id", "text_key", "line_no", nothing.alias("line_id"), nothing.alias("class_id"), nothing.alias("class_size"), nothing.alias("n_links"), F.lit(True).alias("kept")
     )
     return with_class.unionByName(rest)
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: doc_id, line_no, line_id, class_id, class_size, n_links, kept."""
-    return _placed_lines(docs, edits, min_chars, id_col, text_col).drop("text_key", "cut")
+    return _placed_lines(docs, edits, min_chars, near_chars, id_col, text_col).drop("text_key")
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs without the lines that repeat an earlier one. Columns and rows stay; n_chars, where present, follows."""
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """docs without the lines that line_classes does not keep. Columns and rows stay; n_chars, where present, follows."""
     id_, key, cut = unused(docs, "id", "key", "gone")
-    gone = _placed_lines(docs, edits, min_chars, "doc_id", "text").where("cut").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.collect_set("line_no").alias(cut))
+    gone = _placed_lines(docs, edits, min_chars, near_chars, "doc_id", "text").where("not kept").groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.collect_set("line_no").alias(cut))
     gone = materialize(gone, "lines-gone")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[key]), "left")
     kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda line, k: ~F.array_contains(F.col(cut), k)), "\n")

@@ -3,7 +3,8 @@
 Texts of ASCII and Latin letters go to tiktoken, which is several times faster on one core and is built here from the
 same vocabulary; there, both libraries cut and merge alike. All other texts go to the tokenizers library itself,
 since the two may know different Unicode versions. Long texts are cut in front of a space that a visible character
-follows: a pre-token starts there, so no merge crosses the cut and memory is bounded by the segment size.
+follows: a pre-token starts there, so no merge crosses the cut and memory is bounded by the segment size. A text
+without such a place is one segment, whatever its length; runs of blanks too long for tiktoken go to the library.
 """
 
 from __future__ import annotations
@@ -62,13 +63,19 @@ class TextEncoder:
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
         self.allowed = set() if literal_specials else set(specials)
 
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     def encode(self, text: str) -> np.ndarray:
         made = []
         for part in segments(text):
             if _OTHER.search(part):
-                made.append(np.array(self.library.encode(part, add_special_tokens=False).ids, dtype="<u4"))
-            else:
+                made.append(self._by_library(part))
+                continue
+            try:
                 made.append(self.fast.encode_to_numpy(part, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False))
+            except ValueError:  # a run of blanks too long for its pattern engine
+                made.append(self._by_library(part))
         return made[0] if len(made) == 1 else np.concatenate(made)
 
 

@@ -187,6 +187,7 @@ def components(cov: Pair) -> tuple[np.ndarray, np.ndarray]:
         gap = value[None, :] - value[:, None]
         near = np.abs(gap) <= 1e-13 * np.abs(value).max(initial=0)
         x = x + x @ np.where(near, r / 2, (s + value[None, :] * r) / np.where(near, 1, gap))
+    x = x @ (3 * one - x.T @ x) / 2  # vectors of equal eigenvalues at right angles
     value = np.diag(x.T @ a @ x) / np.diag(x.T @ x)
     order = np.argsort(-value, kind="stable")
     x = x[:, order] / np.sqrt((x[:, order] ** 2).sum(axis=0))

@@ -252,7 +252,7 @@ def test_line_classes(make, crowd, monkeypatch):
     for place, line in sorted(at.items()):
         if line in root:
             classes.setdefault(root[line], []).append(place)
-    seen = {}
+    seen, first = {}, {line: place for place, line in sorted(at.items(), reverse=True)}
     for r in got:
         place = (r["doc_id"], r["line_no"])
         line = at.get(place, "")
@@ -260,7 +260,8 @@ def test_line_classes(make, crowd, monkeypatch):
             assert r["class_id"] is None and r["kept"]
             continue
         members = classes[root[line]]
-        assert r["class_size"] == len(members) and r["kept"] == (place == members[0]) and r["n_links"] == degree[line]
+        stays = members[0] if len(line) >= line_dedup.NEAR_CHARS else first[line]
+        assert r["class_size"] == len(members) and r["kept"] == (place == stays) and r["n_links"] == degree[line]
         assert seen.setdefault(root[line], r["class_id"]) == r["class_id"]
     assert len(set(seen.values())) == len(classes)
     cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(make(docs)).collect()}
@@ -299,8 +300,11 @@ def test_short_lines(make):
     # of short lines, equal ones are cut from texts
     cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(make(docs)).collect()}
     first = {line: place for place, line in sorted(at.items(), reverse=True)}
-    stays = lambda place, line: not line or (first[line] == place if len(line) < line_dedup.NEAR_CHARS else found[place]["kept"])
-    assert cut == {k: "\n".join(x for j, x in enumerate(d.split("\n")) if stays((k, j), x)) for k, d in enumerate(docs)}
+    assert all(found[place]["kept"] == (first[line] == place) for place, line in at.items() if 0 < len(line) < line_dedup.NEAR_CHARS)
+    assert cut == {k: "\n".join(x for j, x in enumerate(d.split("\n")) if found[k, j]["kept"]) for k, d in enumerate(docs)}
+    every = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(make(docs), near_chars=1).collect()}
+    by_class = {(r["doc_id"], r["line_no"]): r["kept"] for r in line_dedup.line_classes(make(docs), near_chars=1).collect()}
+    assert every == {k: "\n".join(x for j, x in enumerate(d.split("\n")) if by_class[k, j]) for k, d in enumerate(docs)} and sum(by_class.values()) < sum(r["kept"] for r in found.values())
 
 
 def test_lines_of_rows_without_ids_of_their_own(make):

@@ -266,3 +266,36 @@ def test_thresholds_by_language():
     words = [toxicity.hashed_words(t) for t in ("Der Baum ist auf dem Weg", "the house is on the road", "123 xyz", "", "le chat est dans une rue")]
     names = ["", *toxicity.FUNCTION_WORDS]
     assert [names[k] for k in toxicity.Batch(words).languages()] == ["de", "en", "", "", "fr"]
+
+
+# ---------------------------------------------------------------- very long runs of one character
+
+LONG = [" " * 2_000_000, "\n" * 2_000_000, "z" * 2_000_000, "a" + "\t" * 1_000_000 + "b c", "word " * 300_000]
+
+
+def test_long_runs_in_token_operators(make):
+    from tokenizers import Tokenizer
+
+    from lumenframe.llm import bpe, packing, token_counts
+    from lumenframe.llm.subword import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in LONG]
+    docs = make(LONG, ids=[1, 2, None, 2, 5])
+    packed = packing.pack(docs).toPandas()
+    assert packed.groupby("doc_id", dropna=False).length.sum().tolist() == [want[0] + 1, want[1] + want[3] + 2, want[4] + 1, want[2] + 1]
+    counted = token_counts.count_tokens(docs)
+    assert sorted(r["n_tokens"] for r in counted.collect()) == sorted(want)
+    words = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    words.no_truncation()
+    assert sorted(r["n_tokens"] for r in bpe.bpe_digests(docs).collect()) == sorted(len(words.encode(t, add_special_tokens=False).ids) for t in LONG)
+
+
+def test_unknown_characters_are_an_error():
+    from lumenframe.llm import bpe
+
+    vocab = {"a": 0, "b</w>": 1, "b": 2, "a</w>": 3, "ab</w>": 4}
+    table = bpe.MergeTable({"model": {"vocab": vocab, "merges": [["a", "b</w>"]], "end_of_word_suffix": "</w>"}, "added_tokens": []})
+    assert table.encode_word("ab") == [4]
+    with pytest.raises(ValueError, match="lacks"):
+        table.encode_word("zb")
