@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import curves, registry
 from lumenframe.functions.registry import register
 from lumenframe.operators import stats
-from lumenframe.operators.system import System, forward
+from lumenframe.operators.system import System, expectation
+from lumenframe.storage import discard, materialize
 
 
 def _label(unit: str) -> str:
@@ -48,34 +51,42 @@ def knockout(df: DataFrame, system: System, measure: str = "error") -> DataFrame
     return reduce(DataFrame.unionByName, blocked).join(F.broadcast(base), "unit").select("src", F.col("unit").alias("tgt"), (F.col("value") - F.col("base")).alias("value"))
 
 
+def _deviations(batches: Iterator[pa.RecordBatch], system: System, curves_of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each record, and each input and output, the deviation of the output over the input's points; null where a value is missing."""
+    inputs, outputs = system.layers[0].columns, system.layers[-1].columns
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            x = np.column_stack([c.slice(at, 4096).to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            made = []
+            for i, points in enumerate(curves_of):
+                seen = []
+                for v in points:
+                    held = x.copy()
+                    held[:, i] = v
+                    seen.append(expectation(system, held))
+                spread = np.std(seen, axis=0) if seen else np.full((len(x), len(outputs)), np.nan)
+                made += [pa.array(spread[:, j], pa.float64(), mask=np.isnan(spread[:, j])) for j in range(len(outputs))]
+            yield pa.RecordBatch.from_arrays(made, names=[f"d{i}_{j}" for i in range(len(inputs)) for j in range(len(outputs))])
+
+
 def raw_induction(df: DataFrame, system: System, points: int = 10, amplify: float = 1.0, gauge: float = 0.25) -> DataFrame:
     """Induced deviation before contrast.
 
     For an input, its representatives replace it in every record; a record's induced deviation of an output is the
     population deviation over the representatives; the mean of the top `gauge` of records is set against the output's own.
+    Deviations are computed once, batch by batch, and written, since selection reads them several times.
     """
     inputs, outputs = system.layers[0].columns, system.layers[-1].columns
-    plain = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(inputs)))
+    plain = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(inputs)))
     found = stats.representatives(plain, plain.columns, points).collect()  # points per input
     curve = {(r["name"], r["point"]): r["x"] * amplify for r in found}
-    deviations = []
-    for k, src in enumerate(inputs):
-        values = [curve[f"c{k}", p] for p in range(points) if (f"c{k}", p) in curve]
-        out = df
-        for p, v in enumerate(values):
-            out = forward(out, system, block={src: v}, prefix=f"~{p}~")
-        for j, tgt in enumerate(outputs):
-            hits = [F.col(f"`~{p}~{tgt}`") for p in range(len(values))]
-            mean = reduce(lambda a, b: a + b, hits) / len(hits)
-            var = reduce(lambda a, b: a + b, [(h - mean) * (h - mean) for h in hits]) / len(hits)
-            deviations.append((src, tgt, f"d{k}_{j}", F.sqrt(var)))
-        out_columns = [d for d in deviations if d[0] == src]
-        made = out.select(*(F.col(f"`{c}`") for c in df.columns), *(e.alias(n) for _, _, n, e in out_columns))
-        df = made
-    names = [n for _, _, n, _ in deviations]
-    top = stats.top_mean(df.select(*names), names, gauge)
+    curves_of = [np.array([curve[f"c{k}", p] for p in range(points) if (f"c{k}", p) in curve]) for k in range(len(inputs))]
+    pairs = [(f"d{i}_{j}", s, t) for i, s in enumerate(inputs) for j, t in enumerate(outputs)]
+    made = materialize(plain.mapInArrow(lambda b: _deviations(b, system, curves_of), ", ".join(f"{n} double" for n, _, _ in pairs)), "induced")
+    top = stats.top_mean(made, [n for n, _, _ in pairs], gauge)
+    discard(made)
     spread = df.agg(F.array(*(F.struct(F.lit(t).alias("tgt"), F.stddev_pop(F.col(f"`{t}`")).alias("std")) for t in outputs)).alias("m")).select(F.inline("m"))
-    of = df.sparkSession.createDataFrame([(n, s, t) for s, t, n, _ in deviations], "name string, src string, tgt string")
+    of = df.sparkSession.createDataFrame(pairs, "name string, src string, tgt string")
     return top.join(F.broadcast(of), "name").join(F.broadcast(spread), "tgt").select("src", "tgt", (F.col("value") / F.col("std")).alias("value"))
 
 

@@ -6,8 +6,12 @@ d x d matrix of a decomposition reaches the driver. Nulls are left out pairwise,
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.registry import register
@@ -113,64 +117,131 @@ def histogram(df: DataFrame, value: Column, bins: int = 100) -> DataFrame:
     return counted.select("bin", (F.col("a") + F.col("bin") * width).alias("lo"), (F.col("a") + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
-#: Ranges into which a column is cut to rank it; each is ranked by a task of its own.
-RANK_RANGES = 256
+#: Buckets that a range of values is cut into, and rows of a range whose values are counted one by one.
+BUCKETS, FEW = 1024, 4096
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """A value at a rank, with the lowest rank and the number of the rows that have it."""
+
+    rank: int
+    value: float
+    first: int
+    held: int
+
+
+def _pairs_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns))
+    return df.select(F.inline(cells)).where("x IS NOT NULL")
 
 
-def _rank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, x, m, first, n): every distinct value with its count, its lowest 0-based rank and the column's count.
+def select_ranks(df: DataFrame, columns: list[str], wanted: Callable[[int], list[int]]) -> dict[str, tuple[int, list[Ranked]]]:
+    """For each column its number of values, and what stands at the ranks (from 0) that `wanted` gives for that number.
 
-    Ranks come from counts of values, so rows of equal value need no order. A column is cut at approximate quantiles;
-    sums over the few ranges and over the values within a range add up to ranks, and no task holds a whole column.
+    No column is sorted or shuffled. A scan counts the values of all ranges that hold a wanted rank in BUCKETS buckets of
+    equal width, each with its extremes; the bucket with the rank is the next range, until it holds FEW rows, whose
+    values are counted. Infinite values and NaN come before and after all others, and are counted in the first scan.
     """
-    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))
-    counts = df.select(F.inline(pairs)).where("x IS NOT NULL").groupBy("name", "x").agg(F.count("*").alias("m"))
-    at = F.array(*(F.lit(k / RANK_RANGES) for k in range(1, RANK_RANGES)))
-    cuts = counts.groupBy("name").agg(F.array_distinct(F.percentile_approx("x", at, F.lit(4 * RANK_RANGES))).alias("cuts"))
-    ranged = counts.join(F.broadcast(cuts), "name").withColumn("part", F.lit(0))
-    step = RANK_RANGES // 2
-    while step:  # binary search for the number of cuts below x
-        ranged = ranged.withColumn("part", F.when(F.get("cuts", F.col("part") + (step - 1)) < F.col("x"), F.col("part") + step).otherwise(F.col("part")))
-        step //= 2
-    ranged = ranged.drop("cuts")
-    sizes = ranged.groupBy("name", "part").agg(F.sum("m").alias("size"))
-    by_part, whole = Window.partitionBy("name").orderBy("part"), Window.partitionBy("name")
-    bases = sizes.select("name", "part", (F.sum("size").over(by_part) - F.col("size")).alias("base"), F.sum("size").over(whole).alias("n"))
-    by_value = Window.partitionBy("name", "part").orderBy("x")
-    return ranged.join(F.broadcast(bases), ["name", "part"]).select(
-        "name", "x", "m", (F.col("base") + F.sum("m").over(by_value) - F.col("m")).alias("first"), "n"
-    )
+    order = F.expr("CASE WHEN x = -double('inf') THEN 0 WHEN isnan(x) THEN 3 WHEN x = double('inf') THEN 2 ELSE 1 END")
+    kinds = _pairs_of(df, columns).groupBy("name", order.alias("kind")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    totals: dict[str, int] = {c: 0 for c in columns}
+    found: dict[str, list[Ranked]] = {c: [] for c in columns}
+    open_ranges: list[tuple[str, float, float, int, int, list[int]]] = []  # name, least, largest, first rank, rows, ranks
+
+    def put(name: str, lo: float, hi: float, first: int, n: int, ranks: list[int]) -> None:
+        inside = [r for r in ranks if first <= r < first + n]
+        if inside and (lo == hi or lo != lo):
+            found[name] += [Ranked(r, lo, first, n) for r in inside]
+        elif inside:
+            open_ranges.append((name, lo, hi, first, n, inside))
+
+    for c in columns:
+        own = sorted((r for r in kinds if r["name"] == c), key=lambda r: r["kind"])
+        totals[c] = sum(r["n"] for r in own)
+        ranks, first = (sorted(set(wanted(totals[c]))) if own else []), 0
+        for r in own:
+            put(c, r["lo"], r["hi"], first, r["n"], ranks)
+            first += r["n"]
+    while open_ranges:
+        asked, open_ranges = open_ranges, []
+        table = df.sparkSession.createDataFrame([(k, a[0], a[1], a[2], a[4] <= FEW) for k, a in enumerate(asked)], "k int, name string, lo double, hi double, few boolean")
+        rows = _pairs_of(df, sorted({a[0] for a in asked})).join(F.broadcast(table), "name").where("x BETWEEN lo AND hi AND NOT isnan(x)")  # a row for each wanted rank at most
+        at = F.least(F.floor((F.col("x") / 4 - F.col("lo") / 4) / (F.col("hi") / 4 - F.col("lo") / 4) * BUCKETS), F.lit(BUCKETS - 1))
+        counts = rows.groupBy("k", F.when(~F.col("few"), at).alias("bucket"), F.when(F.col("few"), F.col("x")).alias("v")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        by_range: dict[int, list] = {}
+        for r in counts:
+            by_range.setdefault(r["k"], []).append(r)
+        for k, (name, _, _, first, _, ranks) in enumerate(asked):
+            for r in sorted(by_range[k], key=lambda r: r["lo"]):
+                put(name, r["lo"], r["hi"], first, r["n"], ranks)
+                first += r["n"]
+    return {c: (totals[c], sorted(found[c], key=lambda r: r.rank)) for c in columns}
+
+
+def _slice_means(df: DataFrame, ends: dict[str, tuple[int, int, Ranked, Ranked]]) -> dict[str, float]:
+    """Mean of the sorted values with ranks from lo to before hi of each column; ends has what stands at lo and hi - 1."""
+    if not ends:
+        return {}
+    cells = []
+    for c, (_, _, a, b) in ends.items():
+        x = F.col(f"`{c}`").cast("double")
+        within = (x > a.value) & (x < b.value)
+        cells.append(F.struct(F.lit(c).alias("name"), F.coalesce(F.sum(F.when(within, x)), F.lit(0.0)).alias("total")))
+    sums = {r["name"]: r["total"] for r in df.agg(F.array(*cells).alias("m")).select(F.inline("m")).collect()}
+    out = {}
+    for c, (lo, hi, a, b) in ends.items():
+        if a.first == b.first:
+            out[c] = a.value
+        else:
+            out[c] = (sums[c] + a.value * (a.first + a.held - lo) + b.value * (hi - b.first)) / (hi - lo)
+    return out
+
+
+def _means_between(df: DataFrame, columns: list[str], bounds: Callable[[int], tuple[int, int]], value: str) -> DataFrame:
+    """(name, value): means of the sorted values in the ranks that `bounds` gives for the number of values."""
+    found = select_ranks(df, columns, lambda n: [bounds(n)[0], bounds(n)[1] - 1])
+    ends = {}
+    for c, (n, ranked) in found.items():
+        if ranked:
+            lo, hi = bounds(n)
+            at = {r.rank: r for r in ranked}
+            ends[c] = (lo, hi, at[lo], at[hi - 1])
+    return df.sparkSession.createDataFrame(list(_slice_means(df, ends).items()), f"name string, {value} double")
 
 
 @register("statistic", "rank-quantile")
 def rank_quantile(df: DataFrame, columns: list[str], p: float = 0.5) -> DataFrame:
     """(name, threshold): mean of the sorted values with rank in [r - h, r + h), r = int((1 - p) n), h = int(0.1 p n).
 
-    A slice without rows (h = 0) takes the value of rank r. Ties need no order: equal values weigh by how many of their
-    ranks lie in the slice.
+    A slice without rows (h = 0) takes the value of rank r; ranks beyond the ends are left out. Ties need no order:
+    equal values weigh by how many of their ranks lie in the slice.
     """
-    r = F.floor((1 - p) * F.col("n"))
-    h = F.floor(0.1 * p * F.col("n"))
-    lo, hi = r - h, F.when(h > 0, r + h).otherwise(r + 1)
-    inside = F.greatest(F.lit(0), F.least(F.col("first") + F.col("m"), hi) - F.greatest(F.col("first"), lo))
-    ranked = _rank_rows(df, columns).withColumn("w", inside)
-    return ranked.groupBy("name").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("threshold"))
+
+    def bounds(n: int) -> tuple[int, int]:
+        r, h = math.floor((1 - p) * n), math.floor(0.1 * p * n)
+        lo, hi = (r - h, r + h) if h > 0 else (r, r + 1)
+        lo = min(max(lo, 0), n - 1)
+        return lo, max(min(hi, n), lo + 1)
+
+    return _means_between(df, columns, bounds, "threshold")
 
 
 @register("statistic", "representatives")
 def representatives(df: DataFrame, columns: list[str], points: int = 10) -> DataFrame:
     """(name, point, x): the value of each sorted column at index int((point + .5) * int(n / points))."""
-    ranked = _rank_rows(df, columns).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.floor((F.col("point") + 0.5) * F.floor(F.col("n") / points))
-    return ranked.where((at >= F.col("first")) & (at < F.col("first") + F.col("m"))).select("name", "point", "x")
+    at = lambda n: [math.floor((k + 0.5) * math.floor(n / points)) for k in range(points)]
+    rows = []
+    for c, (n, ranked) in select_ranks(df, columns, at).items():
+        value = {r.rank: r.value for r in ranked}
+        rows += [(c, k, value[r]) for k, r in enumerate(at(n)) if r in value]
+    return df.sparkSession.createDataFrame(rows, "name string, point int, x double")
 
 
 @register("statistic", "top-mean")
 def top_mean(df: DataFrame, columns: list[str], fraction: float) -> DataFrame:
     """(name, value): mean of the values of rank int((1 - fraction) n) and above."""
-    lo = F.floor((1 - F.lit(fraction)) * F.col("n"))
-    w = F.greatest(F.lit(0), F.col("first") + F.col("m") - F.greatest(F.col("first"), lo))
-    return _rank_rows(df, columns).withColumn("w", w).groupBy("name").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("value"))
+    return _means_between(df, columns, lambda n: (min(math.floor((1 - fraction) * n), n - 1), n), "value")
 
 
 @register("statistic", "relation-statistics")

@@ -227,9 +227,24 @@ def rel_induction(spark, sf_dir):
     return rounded(relations.induction(_rows(spark, sf_dir), SYSTEM))
 
 
-@R()
+def _contrasted(raw: str) -> str:
+    return f"(SELECT src, tgt, abs(value) * ({SHARP.format('value - s / 2e0')} + {SHARP.format('value + s / 2e0')} - 1e0) / abs({SHARP.format('s / 2e0')} + {SHARP.format('15e-1 * s')} - 1e0) AS value FROM (SELECT *, max(value) OVER () AS s FROM ({raw})))"
+
+
+def _fixed(raw: str, c: str) -> str:
+    """The same over rows in which a column is 10."""
+    return raw.replace(BASE, f"(SELECT vec_id, {', '.join(f'1e1 AS {x}' if x == c else x for x in 'abcd')} FROM {BASE})")
+
+
+RAW4 = " UNION ALL ".join(_induced(s, 4, "1e-1") for s in "abc")
+
+
+@R(
+    f"WITH z AS (SELECT * FROM {_contrasted(RAW4)})"
+    + " UNION ALL ".join(f" SELECT h.src, 'i:{c}' AS tgt, round(sqrt(sum((h.value - z.value) * (h.value - z.value))), 6) AS value FROM {_contrasted(_fixed(RAW4, c))} h JOIN z ON h.src = z.src AND h.tgt = z.tgt GROUP BY h.src" for c in "abc")
+)
 def rel_coinduction(spark, sf_dir):
-    return relations.coinduction(_rows(spark, sf_dir), SYSTEM, points=4)
+    return rounded(relations.coinduction(_rows(spark, sf_dir), SYSTEM, points=4))
 
 
 @R(" UNION ALL ".join(f"SELECT 'i:{s}' AS src, 'o:d' AS tgt, round(corr({s}, d) * corr({s}, d), 6) AS value FROM {BASE}" for s in "abc"))
