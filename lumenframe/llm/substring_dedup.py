@@ -1,39 +1,44 @@
-"""Substring deduplication by windows of words at content-defined places.
+"""Substring deduplication by content-defined chunks of words, which a gear hash cuts.
 
 Words are runs of bytes other than ASCII white space; a run of more than LARGEST bytes, as in scripts without blanks, is
 taken in pieces that end between characters where a gear hash over the last 16 bytes says so (LEAST to LARGEST bytes).
-The same hash rolls over the words; a chunk ends with a word whose hash is the least among it and the two words on
-either side (every fifth word on average, three words at least), or after MIN_WORDS words without such a place, so that
-boundaries depend on some 40 bytes around them and fall alike wherever a passage stands, whatever was inserted before
-it. A window is the MIN_WORDS words from the start of a chunk on, or the last MIN_WORDS words of a document; windows are
-deduplicated by a 128-bit digest of their words. A first pass counts half digests with map-side aggregation; only those
-seen more than once are joined back to their windows, which adaptive execution may split where a passage is very common,
-and told apart by the whole digest. The first place of a window, by doc_id and position, is kept. Windows that touch or
-overlap form a span where their first places do so at the same distance: every span that is not kept stands word for
-word in document first_doc. Spans with different first places may overlap.
-
-A repeated passage is found if it holds a window; the words before its first boundary, and those after its last window
-(fewer than a chunk), are not part of a span. Defined cases: null texts count as empty; the number and kind of blanks
-between words is of no account; documents of fewer than MIN_WORDS words have no windows; texts of any length are read
-whole, one at a time where they are long; null ids come after all others; rows that repeat both id and text are one
-document and share its spans; rows that repeat an id with another text are documents of their own; other columns are
-ignored (or passed through by drop_repeats, whatever their names); offsets are bytes of the text in UTF-8; an empty
-table gives an empty result.
+The same hash rolls over the words; a place is a word whose hash is the least among it and the two words on either side
+(every fifth word on average, three words at least), or MIN_WORDS words without such a place, so that places depend on
+some 40 bytes around them and fall alike wherever a passage stands, whatever was inserted before it. A chunk begins at
+every place and ends at the first one that lies CHUNK_WORDS words or more behind: chunks vary in length, and overlap.
+They are deduplicated by a 128-bit digest of their words. A first pass counts half digests with map-side aggregation;
+only those seen more than once are joined back to their chunks, which adaptive execution may split where a passage is
+very common, and told apart by the whole digest. The first place of a chunk, by doc_id and position, is its source.
+
+Chunks that touch or overlap and whose sources do so at the same distance form a run. Runs are then extended word by
+word on both sides: for each end of a run, and the same end at its source, the texts give the hashes of the
+MIN_WORDS words beyond it, which a join brings together. A run of MIN_WORDS words or more is a span: it stands word for
+word in document first_doc. Spans with different sources may overlap.
+
+A repeated passage is found if it holds a whole chunk whose first place is followed by the passage too. Measured on
+random texts, 0.95 of passages of 20 words are found, 0.99 of those of 24 and all of 30 and more (tests). Defined cases: null
+texts count as empty; the number and kind of blanks between words is of no account; documents of fewer than CHUNK_WORDS
+words have no chunks; texts of any length are read whole, one at a time where they are long; null ids come after all
+others; rows that repeat both id and text are one document and share its spans; rows that repeat an id with another text
+are documents of their own; other columns are ignored (or passed through by drop_repeats, whatever their names); offsets
+are bytes of the text in UTF-8; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import BYTE_CODES, SPACE, discard, materialize, slices, unused, word_spans
+from lumenframe.llm.common import BYTE_CODES, SPACE, discard, materialize, slices, unused, word_hashes, word_spans
 
 MIN_WORDS = 20
+#: Words of a chunk at least.
+CHUNK_WORDS = 6
 #: Words on either side whose hashes a boundary's hash must not exceed.
 REACH = 2
 #: Sizes in bytes of the pieces of a run without blanks; a run of at most LARGEST bytes is one word.
@@ -74,113 +79,193 @@ def _pieces(data: np.ndarray, rolled: np.ndarray, start: int, stop: int) -> list
     return [*ends, stop] if last < stop else ends
 
 
-def window_texts(texts: list[str | None], words: int) -> tuple[np.ndarray, ...]:
-    """(text number, digests, first byte, end byte, first word) of every window, in order; digests are rows of two integers."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(_GAP + _GAP.join(raw) + _GAP, dtype=np.uint8)
-    begin = len(_GAP) + np.concatenate(([0], np.cumsum([len(r) + len(_GAP) for r in raw])))[: len(raw)]
-    start, stop = word_spans(data)
-    size = stop - start
-    doc = np.searchsorted(begin, start, side="right") - 1
-    # the words with one blank in between, and a gap in front of each text that no hash spans
-    blank = SPACE[data]
-    held = ~blank
-    held[1:] |= held[:-1]
-    held[(begin[:, None] - np.arange(1, len(_GAP) + 1)).ravel()] = True
-    at = np.cumsum(held, dtype=np.int64)[start] - 1
-    plain = np.where(blank, np.uint8(32), data)[held]
-    rolled = gear_hashes(plain)
-    if len(long := np.flatnonzero(size > LARGEST)):
-        ends = [_pieces(plain, rolled, int(at[k]), int(at[k] + size[k])) for k in long]
-        many = np.ones(len(size), dtype=np.int64)
-        many[long] = [len(e) for e in ends]
-        of = np.repeat(np.arange(len(size)), many)
-        high = (at + size)[of]
-        high[np.isin(of, long)] = np.concatenate(ends)
-        low = np.where(np.concatenate(([True], of[1:] != of[:-1])), at[of], np.concatenate(([0], high[:-1])))
-        start, stop, doc, at, size = start[of] + low - at[of], start[of] + high - at[of], doc[of], low, high - low
-    if len(start) < words:
+class Words:
+    """The words of some texts, and the places that a gear hash finds among them."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(_GAP + _GAP.join(raw) + _GAP, dtype=np.uint8)
+        #: First byte of each text.
+        self.begin = len(_GAP) + np.concatenate(([0], np.cumsum([len(r) + len(_GAP) for r in raw])))[: len(raw)]
+        start, stop = word_spans(data)
+        size = stop - start
+        doc = np.searchsorted(self.begin, start, side="right") - 1
+        # the words with one blank in between, and a gap in front of each text that no hash spans
+        blank = SPACE[data]
+        held = ~blank
+        held[1:] |= held[:-1]
+        held[(self.begin[:, None] - np.arange(1, len(_GAP) + 1)).ravel()] = True
+        at = np.cumsum(held, dtype=np.int64)[start] - 1
+        plain = np.where(blank, np.uint8(32), data)[held]
+        rolled = gear_hashes(plain)
+        joined = np.zeros(len(start), dtype=bool)
+        if len(long := np.flatnonzero(size > LARGEST)):
+            ends = [_pieces(plain, rolled, int(at[k]), int(at[k] + size[k])) for k in long]
+            many = np.ones(len(size), dtype=np.int64)
+            many[long] = [len(e) for e in ends]
+            of = np.repeat(np.arange(len(size)), many)
+            high = (at + size)[of]
+            high[np.isin(of, long)] = np.concatenate(ends)
+            joined = np.concatenate(([False], of[1:] == of[:-1]))
+            low = np.where(joined, np.concatenate(([0], high[:-1])), at[of])
+            start, stop, doc, at, size = start[of] + low - at[of], start[of] + high - at[of], doc[of], low, high - low
+        #: Bytes, text, and bytes in `plain` of each word; whether no blank stands before it.
+        self.start, self.stop, self.doc, self.at, self.size, self.joined = start, stop, doc, at, size, joined
+        self.plain, self.rolled = plain, rolled
+        #: First word of each text, and the number of all words.
+        self.first = np.searchsorted(doc, np.arange(len(raw) + 1))
+
+    def places(self) -> np.ndarray:
+        """Whether a place is in front of each word; the first word of each text has one."""
+        doc, n = self.doc, len(self.doc)
+        marks = (self.rolled[self.at + self.size - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
+        ends = np.ones(n, dtype=bool)
+        for k in range(1, REACH + 1):
+            beside = doc[k:] == doc[:-k]
+            ends[k:] &= ~beside | (marks[k:] < marks[:-k])
+            ends[:-k] &= ~beside | (marks[:-k] <= marks[k:])
+        opens = np.concatenate(([True], doc[1:] != doc[:-1]))
+        opens[1:] |= ends[:-1]
+        cut = np.flatnonzero(opens)
+        more = (np.diff(np.concatenate((cut, [n]))) - 1) // MIN_WORDS
+        turn = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+        opens[np.repeat(cut, more) + turn * MIN_WORDS] = True
+        return opens
+
+
+def chunk_texts(texts: list[str | None], words: int = CHUNK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, digests, first word, number of words) of every chunk, in order; digests are rows of two integers."""
+    w = Words(texts)
+    n = len(w.doc)
+    if not n:
         none = np.zeros(0, np.int64)
-        return none, np.zeros((0, 2), np.int64), none, none, none
-    marks = (rolled[at + size - 1] * np.uint32(0x9E3779B1)).astype(np.int64)
-    ends = np.ones(len(start), dtype=bool)
-    for k in range(1, REACH + 1):
-        beside = doc[k:] == doc[:-k]
-        ends[k:] &= ~beside | (marks[k:] < marks[:-k])
-        ends[:-k] &= ~beside | (marks[:-k] <= marks[k:])
-    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
-    opens = fresh.copy()
-    opens[1:] |= ends[:-1]
-    chunk = np.flatnonzero(opens)
-    more = (np.diff(np.concatenate((chunk, [len(doc)]))) - 1) // words
-    turn = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
-    opens[np.repeat(chunk, more) + turn * words] = True
-    last = np.concatenate((fresh[1:], [True]))
-    opens[: len(opens) - words + 1] |= last[words - 1 :]
-    first = np.flatnonzero(opens[: len(opens) - words + 1])
-    first = first[doc[first] == doc[first + words - 1]]
-    final = first + words - 1
-    view = memoryview(plain)
-    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), (at + size)[final].tolist(), strict=True))
-    of = doc[first]
-    return of, np.frombuffer(digests, dtype="<i8").reshape(-1, 2), start[first] - begin[of], stop[final] - begin[of], first - np.searchsorted(doc, of)
-
-
-def _digests(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, rows=4096, size=6 << 20):
-                _, digests, *_ = window_texts(part.column(0).to_pylist(), words)
-                values, n = np.unique(digests[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["digest", "n"])
-
-    return run
-
-
-def _windows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, rows=4096, size=6 << 20, column="text"):
-                of, digests, start, stop, word = window_texts(part.column(2).to_pylist(), words)
-                pick = pa.array(of)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), part.column(0).take(pick), part.column(1).take(pick), pa.array((start << 32) | stop), pa.array(word)],
-                    names=["digest", "digest2", "doc_id", "text_key", "bytes", "word"],
-                )
-
-    return run
+        return none, np.zeros((0, 2), np.int64), none, none
+    cut = np.append(np.flatnonzero(w.places()), n)
+    begin = cut[:-1]
+    end = cut[np.minimum(np.searchsorted(cut, begin + words), len(cut) - 1)]
+    end = np.minimum(end, w.first[w.doc[begin] + 1])  # the end of a text ends its last chunks
+    fits = end - begin >= words
+    begin, end = begin[fits], end[fits]
+    view = memoryview(w.plain)
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(w.at[begin].tolist(), (w.at + w.size)[end - 1].tolist(), strict=True))
+    of = w.doc[begin]
+    return of, np.frombuffer(digests, dtype="<i8").reshape(-1, 2), begin - w.first[of], end - begin
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, rows=4096, size=6 << 20):
+            _, digests, *_ = chunk_texts(part.column(0).to_pylist())
+            values, n = np.unique(digests[:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["digest", "n"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, rows=4096, size=6 << 20, column="text"):
+            of, digests, word, size = chunk_texts(part.column(2).to_pylist())
+            pick = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), part.column(0).take(pick), part.column(1).take(pick), pa.array(word), pa.array(size.astype(np.int32))],
+                names=["digest", "digest2", "doc_id", "text_key", "word", "size"],
+            )
+
+
+def beyond(w: Words, hashes: np.ndarray, text: int, word: int, right: bool, reach: int) -> tuple[list[int], list[int]]:
+    """Hashes of up to `reach` words of a text from word (right) or before it (left), nearest first, and the bytes at which 0, 1, 2, ... of them end."""
+    low, high = int(w.first[text]), int(w.first[text + 1])
+    at = low + word
+    if right:
+        k = np.arange(at, min(at + reach, high))
+        link, ends = w.joined[k], w.stop[np.arange(at - 1, at + len(k))]
+    else:
+        k = np.arange(at - 1, max(at - reach, low) - 1, -1)
+        link, ends = w.joined[k + 1], w.start[np.arange(at, at - len(k) - 1, -1)]
+    return (hashes[k] + link.astype(np.uint64)).view(np.int64).tolist(), (ends - w.begin[text]).tolist()
+
+
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each asked end of each text: doc_id, text_key, right, word, words, bytes."""
+    names = ["doc_id", "text_key", "right", "word", "words", "bytes"]
+    for batch in batches:
+        for part in slices(batch, rows=256, size=2 << 20, column="text"):
+            texts, asked = part.column(2).to_pylist(), part.column(3).to_pylist()
+            w = Words(texts)
+            pick = [(k, e["word"], e["right"]) for k, ends in enumerate(asked) for e in ends]
+            hashes = word_hashes(w.plain, w.at, w.at + w.size)
+            made = [beyond(w, hashes, k, word, right, MIN_WORDS) for k, word, right in pick]
+            of = pa.array([k for k, *_ in pick], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(of), part.column(1).take(of), pa.array([r for *_, r in pick], pa.bool_()), pa.array([x for _, x, _ in pick], pa.int64()), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64()))],
+                names=names,
+            )
+
+
+_RUN = ["doc_id", "text_key", "first_doc", "first_key", "shift"]
+
+
+def _merged(runs: DataFrame, *rest: str) -> DataFrame:
+    """runs (lo, hi) that touch or overlap at one distance made one."""
+    order = Window.partitionBy(*_RUN).orderBy("lo", "hi")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.withColumn("fresh", F.coalesce(reached < F.col("lo"), F.lit(True)).cast("int"))
+    marked = marked.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = {"start": F.min, "stop": F.max, "first_start": F.min, "first_stop": F.max}
+    return marked.groupBy(*_RUN, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(ends[c](c).alias(c) for c in rest)).drop("part")
+
+
+def _extended(runs: DataFrame, base: DataFrame) -> DataFrame:
+    """runs lengthened on both sides as far as text and source agree, with their bytes in both."""
+    end = lambda doc, key, word, right: F.struct(F.col(doc).alias("doc_id"), F.col(key).alias("text_key"), word.alias("word"), F.lit(right).alias("right"))
+    source = lambda c: F.col(c) - F.col("shift")
+    four = [("doc_id", "text_key", F.col("lo"), False), ("first_doc", "first_key", source("lo"), False), ("doc_id", "text_key", F.col("hi"), True), ("first_doc", "first_key", source("hi"), True)]
+    asked = runs.select(F.inline(F.array(*(end(*x) for x in four)))).distinct().groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("word", "right")).alias("asked"))  # bounded by the words of a text
+    rows = base.join(asked, base["doc_id"].eqNullSafe(asked["d"]) & (base["text_key"] == asked["k"])).select("doc_id", "text_key", "text", "asked")
+    found = rows.mapInArrow(_beyond, "doc_id long, text_key long, right boolean, word long, words array<long>, bytes array<long>")
+    found = materialize(found.dropDuplicates(["doc_id", "text_key", "right", "word"]), "run-ends")
+    for right, name, first, byte, first_byte, sign in ((False, "lo", source("lo"), "start", "first_start", -1), (True, "hi", source("hi"), "stop", "first_stop", 1)):
+        side = found.where(F.col("right") == right)
+        mine = side.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("word").alias("w"), F.col("words").alias("x"), F.col("bytes").alias("xb"))
+        other = side.select(F.col("doc_id").alias("e"), F.col("text_key").alias("l"), F.col("word").alias("v"), F.col("words").alias("y"), F.col("bytes").alias("yb"))
+        runs = runs.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col(name) == F.col("w")))
+        runs = runs.join(other, F.col("first_doc").eqNullSafe(F.col("e")) & (F.col("first_key") == F.col("l")) & (first == F.col("v")))
+        same = F.expr("aggregate(arrays_zip(x, y), 0, (n, z) -> CASE WHEN n >= 0 AND z.x = z.y THEN n + 1 WHEN n >= 0 THEN -1 - n ELSE n END, n -> CASE WHEN n < 0 THEN -1 - n ELSE n END)")
+        runs = runs.withColumn("more", same).select(
+            *(c for c in runs.columns if c not in ("d", "k", "w", "x", "xb", "e", "l", "v", "y", "yb", name)), F.get("xb", F.col("more")).alias(byte), F.get("yb", F.col("more")).alias(first_byte), (F.col(name) + sign * F.col("more")).alias(name)
+        )
+        runs = materialize(runs, "runs")
+    discard(found)
+    return runs
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span: doc_id, text_key, start, stop, n_words, first_doc, kept.
 
-    start and stop are byte offsets; kept spans are the first places of their windows, all others are repeats of a
-    passage of document first_doc. text_key tells apart different texts of one id.
+    start and stop are byte offsets; kept spans are the passages of which others are repeats, all others stand word for
+    word in document first_doc too. text_key tells apart different texts of one id.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = base.select("text").mapInArrow(_digests(min_words), "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    counts = base.select("text").mapInArrow(_digests, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     shared = materialize(counts.where("n > 1").select("digest"), "shared-digests")
-    rows = base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_windows(min_words), "digest long, digest2 long, doc_id long, text_key long, bytes long, word long")
-    found = materialize(rows.join(shared, "digest", "left_semi"), "shared-windows")
+    base = base.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = base.mapInArrow(_chunks, "digest long, digest2 long, doc_id long, text_key long, word long, size int")
+    found = materialize(found.join(shared, "digest", "left_semi"), "shared-chunks")
     discard(shared)
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "bytes", "word")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "word")
     firsts = found.groupBy("digest", "digest2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("digest", "digest2", "low")
-    # windows of one document whose first places lie at one distance in one other text
-    along = ["doc_id", "text_key", "first_doc", "first_key", "shift", "kept"]
-    by_place = Window.partitionBy(*along).orderBy("word")
-    marked = (
-        found.join(firsts, ["digest", "digest2"])
-        .select(
-            "doc_id", "text_key", F.col("low.doc_id").alias("first_doc"), F.col("low.text_key").alias("first_key"), (F.col("word") - F.col("low.word")).alias("shift"),
-            (place == F.col("low")).alias("kept"), F.shiftright("bytes", 32).alias("start"), F.col("bytes").bitwiseAND(0xFFFFFFFF).alias("stop"), "word",
-        ).distinct()
-        .withColumn("fresh", F.coalesce(F.lag("word").over(by_place) + min_words < F.col("word"), F.lit(True)))
-        .withColumn("span", F.sum(F.col("fresh").cast("int")).over(by_place))
-    )
-    spans = marked.groupBy(*along, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") - F.min("word") + min_words).alias("n_words"))
-    spans = materialize(spans.select("doc_id", "text_key", "start", "stop", "n_words", "first_doc", "kept"), "spans")
+    repeats = found.join(firsts, ["digest", "digest2"]).where(place != F.col("low"))
+    repeats = repeats.select("doc_id", "text_key", F.col("low.doc_id").alias("first_doc"), F.col("low.text_key").alias("first_key"), (F.col("word") - F.col("low.word")).alias("shift"), F.col("word").alias("lo"), (F.col("word") + F.col("size")).alias("hi"))
+    runs = materialize(_merged(repeats), "runs")
     discard(found)
-    return spans
+    longer = _extended(runs, base)
+    spans = materialize(_merged(longer.where(F.col("hi") - F.col("lo") >= min_words), "start", "stop", "first_start", "first_stop"), "long-runs")
+    discard(runs, longer)
+    cut = spans.select("doc_id", "text_key", "start", "stop", (F.col("hi") - F.col("lo")).alias("n_words"), "first_doc", F.lit(False).alias("kept"))
+    # the sources of all spans, those of many copies once; where they touch or overlap they are one
+    zero = F.lit(0).cast("long").alias("shift")
+    sources = spans.select(F.col("first_doc").alias("doc_id"), F.col("first_key").alias("text_key"), "first_doc", "first_key", zero, (F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi"), F.col("first_start").alias("start"), F.col("first_stop").alias("stop")).distinct()
+    kept = _merged(sources, "start", "stop").select("doc_id", "text_key", "start", "stop", (F.col("hi") - F.col("lo")).alias("n_words"), "first_doc", F.lit(True).alias("kept"))
+    return cut.unionByName(kept)
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

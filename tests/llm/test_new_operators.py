@@ -299,3 +299,70 @@ def test_unknown_characters_are_an_error():
     assert table.encode_word("ab") == [4]
     with pytest.raises(ValueError, match="lacks"):
         table.encode_word("zb")
+
+
+# ---------------------------------------------------------------- 6: recall of repeated passages
+
+
+def runs_of(split, least=20):
+    """Maximal runs (doc, lo, hi) of words that stand in an earlier document, and every run of `least` words with its first place."""
+    seen, out = {}, []
+    for k, w in enumerate(split):
+        hit = [tuple(w[i : i + least]) in seen for i in range(len(w) - least + 1)]
+        i = 0
+        while i < len(hit):
+            if hit[i]:
+                j = i
+                while j < len(hit) and hit[j]:
+                    j += 1
+                out.append((k, i, j - 1 + least))
+                i = j
+            i += 1
+        for i in range(len(w) - least + 1):
+            seen.setdefault(tuple(w[i : i + least]), k)
+    return out
+
+
+@pytest.mark.parametrize("size,share", [(20, 0.9), (24, 0.98), (30, 1.0)])
+def test_recall_of_planted_passages(make, size, share):
+    from lumenframe.llm import substring_dedup
+
+    rng = random.Random(size)
+    vocabulary = [f"w{k}" for k in range(300)]
+    pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    split = []
+    for _ in range(200):
+        passage = pick(size)
+        split += [pick(rng.randrange(20, 60)) + passage + pick(rng.randrange(20, 60)) for _ in range(2)]
+    texts = [" ".join(w) for w in split]
+    found = {}
+    for r in substring_dedup.repeated_spans(make(texts)).where("not kept").collect():
+        part = texts[r["doc_id"]].encode()[r["start"] : r["stop"]].decode()
+        assert len(part.split()) == r["n_words"] >= 20 and r["first_doc"] < r["doc_id"]
+        assert f" {part} " in f" {texts[r['first_doc']]} "
+        found.setdefault(r["doc_id"], []).append((len(texts[r["doc_id"]].encode()[: r["start"]].decode().split()), r["n_words"]))
+    want = runs_of(split)
+    assert len(want) >= 199
+    hit = sum(any(lo <= at and at + n <= hi + 1 or at <= lo and hi <= at + n for at, n in found.get(k, ())) for k, lo, hi in want)
+    whole = sum(any(at <= lo and hi <= at + n for at, n in found.get(k, ())) for k, lo, hi in want)
+    assert hit / len(want) >= share and whole >= hit - 2
+
+
+def test_recall_on_the_small_tables(spark, sf_dir):
+    from lumenframe.llm import substring_dedup
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    split = [re.findall(r"[^\x20\x09-\x0D]+", texts[k]) for k in ids]
+    covered = {k: set() for k in range(len(ids))}
+    place = {k: i for i, k in enumerate(ids)}
+    for r in substring_dedup.repeated_spans(docs).where("not kept").collect():
+        raw = texts[r["doc_id"]].encode()
+        part = re.findall(r"[^\x20\x09-\x0D]+", raw[r["start"] : r["stop"]].decode())
+        assert len(part) == r["n_words"] and f" {' '.join(part)} " in f" {' '.join(split[place[r['first_doc']]])} "
+        at = len(re.findall(r"[^\x20\x09-\x0D]+", raw[: r["start"]].decode()))
+        covered[place[r["doc_id"]]] |= set(range(at, at + len(part)))
+    want = runs_of(split)
+    found = sum(len(covered[k] & set(range(lo, hi))) >= 20 for k, lo, hi in want)
+    assert want and found / len(want) >= 0.97
