@@ -6,7 +6,6 @@ by a colon, either of which may be `*`.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -14,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.draws import Draws, draws
 from lumenframe.functions.registry import register
 from lumenframe.operators import stats
 
@@ -127,21 +127,57 @@ class Dataset:
     def row_groups(self) -> list[str]:
         return list(self.tables)
 
-    def sample(self, size: int, rows: str | Sequence[str] = "*", columns: str | Sequence[str] = "*", seed: int = 0) -> DataFrame:
+    def sample(self, size: int, rows: str | Sequence[str] = "*", columns: str | Sequence[str] = "*", seed: int = 0, order: Sequence[str] = (LABEL,)) -> DataFrame:
         """`size` rows, drawn with replacement in each table by its fraction, then shuffled and cut.
 
-        A table of n rows is over-drawn a little by weights of a Poisson law, so that no row number is needed.
+        Rows are numbered in the given order, without being brought together; each draw is the number that a hash of
+        table, seed and draw falls on, so the sample is exact and the same in every run.
         """
-        counts = {t: df.count() for t, df in self.tables.items()}
+        from lumenframe.operators.arrays import number_rows
+
         parts = []
-        for k, (t, n) in enumerate(counts.items()):
-            want = round(self.fractions.get(t, 1 / len(counts)) * size)
-            if n and want:
-                rate = (want + 4 * math.sqrt(want) + 4) / n
-                parts.append(self.table(t, rows, columns).sample(True, rate, seed + k).orderBy(F.rand(seed + k)).limit(want))
+        for t in self.tables:
+            want = round(self.fractions.get(t, 1 / len(self.tables)) * size)
+            n = self.table(t, rows, columns).count() if want else 0
+            if n:
+                draw = draws(seed, [F.lit(t), F.col("__draw")])
+                wanted = self.tables[t].sparkSession.range(want).select(F.col("id").alias("__draw")).select(F.floor(draw.uniform() * n).alias("__row"), draw.uniform(1).alias("__place"))
+                parts.append(number_rows(self.table(t, rows, columns), [TABLE, *order]).join(wanted, "__row").drop("__row"))
         if not parts:
             return self.rows(rows, columns).limit(0)
-        return reduce(DataFrame.unionByName, parts).orderBy(F.rand(seed)).limit(size)
+        return reduce(DataFrame.unionByName, parts).orderBy("__place").limit(size).drop("__place")
+
+    def read(self, output: str | Sequence[str] = "array", rows: str | Sequence[str] = "*", columns: str | Sequence[str] = "*", size: int = 0, noise: tuple[str | None, float] = (None, 0.0), seed: int = 0) -> DataFrame | list[str] | tuple:
+        """Data in a format: `array` (values in one column, by row), `recarray` (label and columns), `cols` (names) or `rows` (names); several formats as a tuple.
+
+        size draws so many rows; columns must be known and named once. Physical names that repeat are numbered.
+        """
+        if not isinstance(output, str):
+            return tuple(self.read(o, rows, columns, size, noise, seed) for o in output)
+        if output not in ("array", "recarray", "cols", "rows"):
+            raise ValueError(f"unknown output format {output!r}")
+        picked = self.get_columns(columns)
+        if len(set(picked)) < len(picked):
+            raise ValueError("columns are not unique")
+        names = numbered(self.columns[c] for c in picked)
+        if output == "cols":
+            return names
+        df = self.sample(size, rows, columns, seed) if size else self.rows(rows, columns)
+        if output == "rows":
+            return df.select(F.concat_ws(":", TABLE, LABEL).alias("row"))
+        df = self._noisy(df, picked, noise, seed)
+        cells = [F.col(f"`{c}`") for c in picked]
+        if output == "array":
+            return df.select(F.array(*cells).alias("values"))
+        return df.select(LABEL, *(c.alias(n) for c, n in zip(cells, names, strict=True)))
+
+    def _noisy(self, df: DataFrame, picked: list[str], noise: tuple[str | None, float], seed: int) -> DataFrame:
+        """df with noise on columns whose names may hold any character."""
+        if noise[0] is None:
+            return df
+        plain = [f"__c{k}" for k in range(len(picked))]
+        named = df.select(TABLE, LABEL, *(F.col(f"`{c}`").alias(p) for c, p in zip(picked, plain, strict=True)))
+        return add_noise(named, plain, noise[0], noise[1], seed, [TABLE, LABEL]).select(TABLE, LABEL, *(F.col(p).alias(c) for c, p in zip(picked, plain, strict=True)))
 
     def value(self, row: str, column: str) -> float | None:
         """One cell: row is `table:label`."""
@@ -202,15 +238,37 @@ class Dataset:
 
         return replace(self.map_tables(mapped), columns={c: c for c in target}, column_filters={"*": ("*:*",)})
 
-    def configure(self, nodes: dict[str, Sequence[str]]) -> Dataset:
-        """External columns `layer:label` for the nodes of each layer that all tables have; an empty layer is an error."""
+    def configure(self, nodes: dict[str, Sequence[str]], lookup: DataFrame | None = None) -> Dataset:
+        """External columns `layer:label` for the nodes of each layer that all tables have; an empty layer is an error.
+
+        Names of nodes and of columns are compared after conversion by `lookup` (source, target), if it is given. Nodes
+        that no conversion knows and nodes that some table lacks are listed in the metadata: `lost` and `missing`.
+        """
         mapping: dict[str, str] = {}
-        for layer, labels in nodes.items():
-            found = [x for x in labels if all(x in t.columns for t in self.tables.values())]
+        lost: list[str] = []
+        missing: list[str] = []
+        by_table = [self._converted([c for c in t.columns if c != LABEL], lookup)[0] for t in self.tables.values()]
+        for layer, names in nodes.items():
+            known, unknown = self._converted(list(names), lookup)
+            lost += [f"{layer}:{x}" for x in unknown]
+            found = [x for x in known if all(x in t and t[x] == by_table[0][x] for t in by_table)]
+            missing += [f"{layer}:{known[x]}" for x in known if x not in found]
             if not found:
                 raise ValueError(f"no column matches a node of layer {layer!r}")
-            mapping |= {f"{layer}:{x}": x for x in found}
-        return replace(self, columns=mapping, column_filters={"*": ("*:*",)} | {layer: (f"{layer}:*",) for layer in nodes}, row_filters={"*": ("*:*",)})
+            mapping |= {f"{layer}:{x}": by_table[0][x] for x in found}
+        meta = self.meta | {"lost": lost, "missing": missing}
+        return replace(self, columns=mapping, column_filters={"*": ("*:*",)} | {layer: (f"{layer}:*",) for layer in nodes}, row_filters={"*": ("*:*",)}, meta=meta)
+
+    def _converted(self, names: list[str], lookup: DataFrame | None) -> tuple[dict[str, str], list[str]]:
+        """Converted name to name, in the given order, and the names that are lost; names of columns and nodes, no data."""
+        if lookup is None or not names:
+            return {n: n for n in names}, []
+        from lumenframe.operators import labels
+
+        spark = lookup.sparkSession
+        made = labels.convert(spark.createDataFrame(list(enumerate(names)), "position long, label string"), lookup, prefix="")
+        rows = sorted(made.collect(), key=lambda r: r["position"])
+        return {r["converted"]: r["label"] for r in rows if not r["lost"]}, [r["label"] for r in rows if r["lost"]]
 
     def initialize(self, preprocessing: dict[str, str]) -> Dataset:
         """stratify, normalize and transform, as named in the configuration."""
@@ -266,55 +324,58 @@ TRANSFORMS = {"binary": to_binary, "gaussToBinary": to_binary, "weight": to_weig
 
 
 @register("noise", "gauss")
-def noise_gauss(x: Column, factor: float, seed: int) -> Column:
-    return x + F.randn(seed) * factor
+def noise_gauss(x: Column, factor: float, draw: Draws) -> Column:
+    return x + draw.normal() * factor
 
 
 @register("noise", "mask")
-def noise_mask(x: Column, factor: float, seed: int) -> Column:
-    return x * (F.rand(seed) < 1 - factor).cast("double")
+def noise_mask(x: Column, factor: float, draw: Draws) -> Column:
+    return x * (draw.uniform() < 1 - factor).cast("double")
 
 
 @register("noise", "bernoulli")
-def noise_bernoulli(x: Column, factor: float, seed: int) -> Column:
+def noise_bernoulli(x: Column, factor: float, draw: Draws) -> Column:
     """1 where x differs from a draw that is 1 with probability 1 - factor, else 0."""
-    return (x != (F.rand(seed) < 1 - factor).cast("double")).cast("double")
+    return (x != (draw.uniform() < 1 - factor).cast("double")).cast("double")
 
 
 @register("noise", "salt")
-def noise_salt(x: Column, factor: float, seed: int, lo: float, hi: float) -> Column:
+def noise_salt(x: Column, factor: float, draw: Draws, lo: float, hi: float) -> Column:
     """Adds the column's largest or smallest value, evenly, to a share 1 - factor of the cells."""
-    return x + (F.rand(seed) < 1 - factor).cast("double") * F.when(F.rand(seed + 1) < 0.5, hi).otherwise(lo)
+    return x + (draw.uniform() < 1 - factor).cast("double") * F.when(draw.uniform(1) < 0.5, hi).otherwise(lo)
 
 
 @register("noise", "salt_replace")
-def noise_salt_replace(x: Column, factor: float, seed: int, lo: float, hi: float) -> Column:
+def noise_salt_replace(x: Column, factor: float, draw: Draws, lo: float, hi: float) -> Column:
     """Replaces a share `factor` of the cells by the column's largest or smallest value."""
-    return F.when(F.rand(seed) < factor, F.when(F.rand(seed + 1) < 0.5, hi).otherwise(lo)).otherwise(x)
+    return F.when(draw.uniform() < factor, F.when(draw.uniform(1) < 0.5, hi).otherwise(lo)).otherwise(x)
 
 
-def add_noise(df: DataFrame, columns: list[str], kind: str | None, factor: float, seed: int = 0) -> DataFrame:
-    """Noise on all columns, each with draws of its own; kind None leaves them."""
+def add_noise(df: DataFrame, columns: list[str], kind: str | None, factor: float, seed: int = 0, key: Sequence[str] | None = None) -> DataFrame:
+    """Noise on all columns, each with draws of its own, which the key columns fix if they are given; kind None leaves them."""
     if kind is None:
         return df
     from lumenframe.functions import registry
 
     build = registry.get("noise", kind)
     ends = {r["name"]: (r["lo"], r["hi"]) for r in stats.moments(df, columns).collect()} if kind.startswith("salt") else {}
-    return df.withColumns({c: build(F.col(c), factor, seed + 2 * k, *ends.get(c, ())) for k, c in enumerate(columns)})
+    return df.withColumns({c: build(F.col(c), factor, draws(seed + 2 * k, key), *ends.get(c, ())) for k, c in enumerate(columns)})
 
 
-def apply_rules(df: DataFrame, rules: Sequence[tuple[str, str]], gauss: float = 0.1, bernoulli: float = 0.5, seed: int = 0) -> DataFrame:
+def apply_rules(df: DataFrame, rules: Sequence[tuple[str, str]], gauss: float = 0.1, bernoulli: float = 0.5, seed: int = 0, key: Sequence[str] | None = None) -> DataFrame:
     """Columns from SQL expressions over earlier columns; `gauss` and `bernoulli` are fresh draws for every rule."""
     for k, (name, rule) in enumerate(rules):
-        drawn = df.withColumns({"gauss": F.randn(seed + 2 * k) * gauss, "bernoulli": (F.rand(seed + 2 * k + 1) < bernoulli).cast("double")})
+        drawn = df.withColumns({"gauss": draws(seed + 2 * k, key).normal() * gauss, "bernoulli": (draws(seed + 2 * k + 1, key).uniform() < bernoulli).cast("double")})
         df = drawn.withColumn(name, F.expr(rule).cast("double")).drop("gauss", "bernoulli")
     return df
 
 
-def generate(spark, columns: Sequence[str], rows: int = 10_000, initial: str = "gauss + bernoulli", rules: Sequence[tuple[str, str]] = (), sdev: float = 0.1, abin: float = 0.5, normalize: bool = True, seed: int = 0) -> Dataset:
-    """A synthetic dataset: every column drawn by `initial`, then overwritten by the rules."""
-    base = spark.range(rows).select(F.concat(F.lit("r"), (F.col("id") + 1).cast("string")).alias(LABEL))
-    drawn = apply_rules(base, [(c, initial) for c in columns], sdev, abin, seed)
-    made = Dataset({"rules": apply_rules(drawn, rules, sdev, abin, seed + 10_000)})
+def generate(spark, columns: Sequence[str], rows: int | DataFrame = 10_000, initial: str = "gauss + bernoulli", rules: Sequence[tuple[str, str]] = (), sdev: float = 0.1, abin: float = 0.5, normalize: bool = True, seed: int = 0) -> Dataset:
+    """A synthetic dataset: every column drawn by `initial`, then overwritten by the rules; rows, or one for each (label) of a table.
+
+    Draws are fixed by the labels.
+    """
+    base = rows.select(F.col(LABEL).cast("string").alias(LABEL)) if isinstance(rows, DataFrame) else spark.range(rows).select(F.concat(F.lit("r"), (F.col("id") + 1).cast("string")).alias(LABEL))
+    drawn = apply_rules(base, [(c, initial) for c in columns], sdev, abin, seed, [LABEL])
+    made = Dataset({"rules": apply_rules(drawn, rules, sdev, abin, seed + 10_000, [LABEL])})
     return made.normalize("gauss") if normalize else made

@@ -204,6 +204,46 @@ def drop_units(network: Network, layer: str, labels: Sequence[str]) -> Network:
     return replace(network, nodes=nodes, edges=edges.select(network.edges.columns))
 
 
+def with_layer_nodes(network: Network, layer: str, labels: Sequence[str]) -> Network:
+    """The network in which a layer has these nodes, in this order.
+
+    Nodes that stay keep their edges; new ones, which are named as in build, are bound to all nodes of the layers beside.
+    """
+    spark = network.nodes.sparkSession
+    of = network.nodes.where(F.col("layer") == layer)
+    head = of.agg(F.first("layer_id").alias("layer_id"), F.bool_and("visible").alias("visible"), F.first("type").alias("type"), F.min("node_order").alias("first"), F.bool_and(F.col("id") == F.concat_ws(":", "layer", "label")).alias("named")).first()
+    if head["layer_id"] is None:
+        raise ValueError(f"unknown layer {layer!r}")
+    kept = of.select("label", "id")
+    listed = spark.createDataFrame([(x, k) for k, x in enumerate(dict.fromkeys(labels))], "label string, sub int")
+    name = F.concat(F.lit(f"{layer}:"), F.col("label")) if head["named"] else F.col("label")
+    own = listed.join(kept, "label", "left").withColumn("fresh", F.col("id").isNull()).withColumn("id", F.coalesce("id", name))
+    rest = network.nodes.where(F.col("layer") != layer)
+    shift = listed.count() - of.count()
+    moved = rest.withColumn("node_order", F.when(F.col("layer_id") > head["layer_id"], F.col("node_order") + shift).otherwise(F.col("node_order")).cast("int"))
+    made = own.select("id", "label", F.lit(layer).alias("layer"), F.lit(head["layer_id"]).cast("int").alias("layer_id"), F.col("sub").alias("layer_sub_id"), (F.col("sub") + head["first"]).cast("int").alias("node_order"), F.lit(head["visible"]).alias("visible"), F.lit(head["type"]).alias("type"))
+    nodes = materialize(moved.select(made.columns).unionByName(made), "network-nodes")
+    ends = nodes.select("id")
+    edges = network.edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    fresh = own.where("fresh").select("id")
+    pairs = full_binding(nodes.where(F.abs(F.col("layer_id") - head["layer_id"]) <= 1))
+    new = pairs.join(fresh.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(pairs.join(fresh.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    places = nodes.select(F.col("id"), F.col("node_order"))
+    old = edges.join(places.select(F.col("id").alias("src"), F.col("node_order").alias("a")), "src").join(places.select(F.col("id").alias("dst"), F.col("node_order").alias("b")), "dst")
+    numbered = number_edges(old.select("src", "dst", "src_layer", "dst_layer", "layer_id", F.struct("a", "b").alias("place")).unionByName(new.select("src", "dst", "src_layer", "dst_layer", "layer_id", "place")))
+    weights = push_weights(numbered, network.edges.select("src", "dst", "weight"))
+    return replace(network, nodes=nodes, edges=weights)
+
+
+def configure(network: Network, groups: dict[str, Sequence[str]]) -> Network:
+    """The network whose layers have the nodes of the column groups of the same name (Dataset.column_groups), where these differ."""
+    now = {r["layer"]: [m["label"] for m in sorted(r["members"], key=lambda m: m["k"])] for r in network.nodes.where(F.col("layer").isin(list(groups))).groupBy("layer").agg(F.collect_list(F.struct(F.col("layer_sub_id").alias("k"), "label")).alias("members")).collect()}
+    for layer, names in groups.items():
+        if layer in now and now[layer] != list(names):
+            network = with_layer_nodes(network, layer, names)
+    return network
+
+
 def _per_layer():
     from pyspark.sql import Window
 

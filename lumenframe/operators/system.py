@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import curves
+from lumenframe.functions.draws import Draws, draws
 from lumenframe.functions.registry import register
 from lumenframe.operators import stats
 from lumenframe.operators.network import Network
@@ -97,6 +98,33 @@ class System:
         ]
         return spark.createDataFrame(rows, "src_layer_id int, dst_layer_id int, src string, dst string, adjacency double, weight double")
 
+    def units(self, spark: SparkSession, groupby: str | None = None, **values: object) -> DataFrame:
+        """The units with these attribute values; with groupby (group, units): their names by the values of an attribute, in the order of the units.
+
+        An attribute that units don't have is an error.
+        """
+        table = self.units_table(spark)
+        if unknown := [k for k in [*values, *([groupby] if groupby else [])] if k not in table.columns]:
+            raise ValueError(f"unknown attribute {unknown[0]!r}")
+        return _grouped(_selected(table, values), groupby, F.concat_ws(":", "layer", "unit"), ["layer_id", "idx"], "units")
+
+    def unit(self, spark: SparkSession, label: str) -> DataFrame:
+        """The one unit of this name (`layer:unit`, or the unit alone if only one layer has it); none or several are an error."""
+        layer, _, name = label.rpartition(":")
+        found = self.units_table(spark).where((F.col("unit") == name) & (F.lit(not layer) | (F.col("layer") == layer)))
+        if (n := found.count()) != 1:
+            raise ValueError(f"{n} units are named {label!r}")
+        return found
+
+    def links(self, spark: SparkSession, groupby: str | None = None, **values: object) -> DataFrame:
+        """The links with adjacency, with their computed attributes (link_attributes); filtered and grouped like units."""
+        return select_links(link_attributes(self.links_table(spark)), groupby, **values)
+
+    def layer_names(self, spark: SparkSession, **values: object) -> DataFrame:
+        """(layer, layer_id) of the layers with these attribute values; attributes that layers don't have are passed over."""
+        table = self.units_table(spark).groupBy("layer", "layer_id").agg(F.first("class").alias("class"), F.first("visible").alias("visible"), F.count("*").alias("size"))
+        return _selected(table, {k: v for k, v in values.items() if k in table.columns}).select("layer", "layer_id")
+
     def without_units(self, layer: str, labels: Sequence[str]) -> System:
         """The system without some units of a layer, and the rows and columns of matrices that belong to them."""
         k = self.mapping.index(layer)
@@ -182,13 +210,13 @@ def values_of(kind: str, x: Column) -> Column:
     return F.when(x > 0.5, 1.0).otherwise(0.0) if kind == "sigmoid" else x
 
 
-def sample_of(kind: str, x: Column, lvar: float, seed: int) -> Column:
+def sample_of(kind: str, x: Column, lvar: float, draw: Draws) -> Column:
     """A draw of a unit's value."""
-    return F.when(x > F.rand(seed), 1.0).otherwise(0.0) if kind == "sigmoid" else x + F.randn(seed) * float(np.exp(lvar / 2))
+    return F.when(x > draw.uniform(), 1.0).otherwise(0.0) if kind == "sigmoid" else x + draw.normal() * float(np.exp(lvar / 2))
 
 
-def forward(df: DataFrame, system: System, target: str | None = None, how: str = "expect", expect_last: bool = False, block: dict[str, float] | None = None, seed: int = 0, prefix: str = "", path: Sequence[str] | None = None) -> DataFrame:
-    """df with columns `prefix + layer:unit` for all layers after the first, up to the target.
+def forward(df: DataFrame, system: System, target: str | None = None, how: str = "expect", expect_last: bool = False, block: dict[str, float] | None = None, seed: int = 0, prefix: str = "", path: Sequence[str] | None = None, key: Sequence[str] | None = None) -> DataFrame:
+    """df with columns `prefix + layer:unit` for all layers after the first, up to the target. Samples are fixed by the key columns, if given.
 
     path: names of neighbouring layers to pass instead, forwards or backwards (by the transposed weights); a layer that
     is passed twice keeps its last values. how: expect, values or samples of every layer; with expect_last, the last one is its expectation. block sets input
@@ -210,7 +238,7 @@ def forward(df: DataFrame, system: System, target: str | None = None, how: str =
         if how == "values" and not (last and expect_last):
             made = [values_of(b.kind, m) for m in made]
         elif how == "samples" and not (last and expect_last):
-            made = [sample_of(b.kind, m, b.lvar[j], seed + 1000 * k + j) for j, m in enumerate(made)]
+            made = [sample_of(b.kind, m, b.lvar[j], draws(seed + 1000 * k + j, key)) for j, m in enumerate(made)]
         names = [prefix + c for c in b.columns]
         df = df.withColumns(dict(zip(names, made, strict=True)))
         x = [F.col(f"`{n}`") for n in names]
@@ -326,6 +354,26 @@ def energy(df: DataFrame, system: System) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
+def _selected(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    for name, value in values.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df
+
+
+def _grouped(df: DataFrame, groupby: str | None, name: Column, order: list[str], many: str) -> DataFrame:
+    if groupby is None:
+        return df
+    members = F.transform(F.sort_array(F.collect_list(F.struct(*order, name.alias("name")))), lambda x: x["name"])  # a system's units, not data
+    return df.groupBy(F.col(groupby).alias("group")).agg(members.alias(many))
+
+
+def select_links(links: DataFrame, groupby: str | None = None, **values: object) -> DataFrame:
+    """Links (of link_attributes) with adjacency and these attribute values; with groupby (group, links): `src>dst` by the values of an attribute."""
+    if unknown := [k for k in [*values, *([groupby] if groupby else [])] if k not in links.columns]:
+        raise ValueError(f"unknown attribute {unknown[0]!r}")
+    return _grouped(_selected(links.where("adjacency <> 0"), values), groupby, F.concat_ws(">", "src", "dst"), ["src_layer_id", "src", "dst"], "links")
+
+
 def link_attributes(links: DataFrame) -> DataFrame:
     """links (src_layer_id, src, dst, adjacency, weight) with sign, normal and intensity, from totals of their layer.
 

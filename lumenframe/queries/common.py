@@ -22,6 +22,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
+def draw_sql(key: str, seed: int | str, i: int = 0) -> str:
+    """SQL for the even draw that a key (SQL for its text), a seed and a number fix."""
+    return f"((('0x' || substr(md5({key} || '|{seed}|{i}'), 1, 13))::BIGINT + 5e-1) / 4503599627370496e0)"
+
+
+def normal_sql(key: str, seed: int | str) -> str:
+    return f"(sqrt(-2e0 * ln({draw_sql(key, seed)})) * cos(2e0 * pi() * {draw_sql(key, seed, 1)}))"
+
+
 class Registry:
     """Queries of a module, by decorator, each with its SQL."""
 

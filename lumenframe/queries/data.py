@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators import arrays, labels, stats, wide
 from lumenframe.operators import dataset as ds
 from lumenframe.operators.dataset import Dataset
-from lumenframe.queries.common import LINE_KEY, MEASURES, Registry, rounded, table
+from lumenframe.queries.common import LINE_KEY, MEASURES, Registry, draw_sql, normal_sql, rounded, table
 
 R = Registry()
 
@@ -45,10 +45,12 @@ def ds_col_filter(spark, sf_dir):
     return data.rows(columns="amounts").select("label", F.col("`money:balance`").alias("balance"))
 
 
-@R("SELECT * FROM (VALUES ('place', 'nation'), ('money', 'balance')) t(grp, name)")
+@R(f"SELECT 'place' AS grp, 'nation' AS name, count(nation) AS n, round(sum(nation), 2) AS total FROM {PARTIES} UNION ALL SELECT 'money', 'balance', count(balance), round(sum(balance), 2) FROM {PARTIES}")
 def ds_colgroups(spark, sf_dir):
-    groups = _parties(spark, sf_dir).column_groups()
-    return spark.createDataFrame([(g, n) for g, ns in groups.items() for n in ns], "grp string, name string")
+    """Column groups with the sums of their columns."""
+    data = _parties(spark, sf_dir)
+    cells = [F.struct(F.lit(g).alias("grp"), F.lit(n).alias("name"), F.count(F.col(f"`{g}:{n}`")).alias("n"), F.round(F.sum(F.col(f"`{g}:{n}`")), 2).alias("total")) for g, ns in data.column_groups().items() for n in ns]
+    return data.rows().agg(F.array(*cells).alias("m")).select(F.inline("m"))
 
 
 @R(f"SELECT t AS \"table\", round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM {PARTIES} GROUP BY t")
@@ -57,9 +59,10 @@ def ds_stratify_proportional(spark, sf_dir):
     return rounded(spark.createDataFrame(list(made.items()), "table string, fraction double"))
 
 
-@R(f'SELECT DISTINCT t AS "table", 5e-1 AS fraction FROM {PARTIES}')
+@R(f'SELECT t AS "table", 100 // count(*) OVER () AS n FROM {PARTIES} GROUP BY t')
 def ds_stratify_equal(spark, sf_dir):
-    return spark.createDataFrame(list(_parties(spark, sf_dir).stratify("equal").fractions.items()), "table string, fraction double")
+    """A hundred rows, half of them from each table however large."""
+    return _parties(spark, sf_dir).stratify("equal").sample(100, seed=5).groupBy(F.col(ds.TABLE).alias("table")).agg(F.count("*").alias("n"))
 
 
 @R("SELECT l_returnflag, round(avg((l_quantity - m) / s), 6) AS mean, round(stddev_pop((l_quantity - m) / s), 6) AS std FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem) GROUP BY l_returnflag")
@@ -109,20 +112,59 @@ def ds_test_gauss(spark, sf_dir):
 
 def _noise(kind: str):
     def query(spark, sf_dir):
-        df = ds.add_noise(_lines(spark, sf_dir), ["l_discount"], kind, 0.1, seed=7)
-        return df.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_discount").alias("mean"), F.stddev_pop("l_discount").alias("std"))
+        df = ds.add_noise(_lines(spark, sf_dir), ["l_discount"], kind, 0.1, seed=7, key=LINE_KEY)
+        return rounded(df.select(*LINE_KEY, "l_discount"), 8)
 
     return query
 
 
-for _k in ("gauss", "bernoulli", "mask", "salt", "salt_replace"):
-    R.add(f"ds_noise_{_k}", _noise(_k))
+KEY_SQL = " || '|' || ".join(LINE_KEY)
+U0, U1 = draw_sql(KEY_SQL, 7), draw_sql(KEY_SQL, 7, 1)
+END = f"(CASE WHEN {U1} < 5e-1 THEN (SELECT max(l_discount) FROM lineitem) ELSE (SELECT min(l_discount) FROM lineitem) END)"
+for _k, _f in {
+    "gauss": f"l_discount + {normal_sql(KEY_SQL, 7)} * 1e-1", "mask": f"l_discount * ({U0} < 9e-1)::INT", "bernoulli": f"(l_discount <> ({U0} < 9e-1)::INT)::INT::DOUBLE",
+    "salt": f"l_discount + ({U0} < 9e-1)::INT * {END}", "salt_replace": f"CASE WHEN {U0} < 1e-1 THEN {END} ELSE l_discount END",
+}.items():
+    R.add(f"ds_noise_{_k}", _noise(_k), f"SELECT {', '.join(LINE_KEY)}, round({_f}, 8) + 0e0 AS l_discount FROM lineitem")
 
 
-@R()
+SAMPLE_T = """SELECT t, label, nation, balance, place FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY label) - 1 AS i FROM {p}) JOIN (SELECT t, floor({u} * n)::BIGINT AS i, {v} AS place
+    FROM (SELECT t, n, unnest(range(round_even(n / (sum(n) OVER ()) * 500, 0)::BIGINT)) AS k FROM (SELECT t, count(*) AS n FROM {p} GROUP BY t))) USING (t, i)""".format(p=PARTIES, u=draw_sql("t || '|' || k", 3), v=draw_sql("t || '|' || k", 3, 1))
+
+
+@R(f'SELECT t AS "table", label, nation, balance FROM ({SAMPLE_T}) ORDER BY place LIMIT 500')
 def ds_sample(spark, sf_dir):
-    """500 rows drawn with replacement from both tables by size: the sampling operator."""
-    return _parties(spark, sf_dir).stratify("proportional").sample(500, seed=3)
+    """500 rows drawn with replacement from both tables by size."""
+    made = _parties(spark, sf_dir).stratify("proportional").sample(500, seed=3)
+    return made.select(F.col(ds.TABLE).alias("table"), ds.LABEL, F.col("`place:nation`").alias("nation"), F.col("`money:balance`").alias("balance"))
+
+
+@R(f"SELECT label, balance, balance AS \"balance.2\", nation FROM {PARTIES}")
+def ds_read_recarray(spark, sf_dir):
+    """Two names for one column, which is numbered."""
+    return _parties(spark, sf_dir).with_columns({"a:x": "balance", "b:y": "balance", "c:z": "nation"}).read("recarray")
+
+
+@R(f"SELECT nation + 2 * balance AS mixed, len([nation, balance])::INT AS n FROM {PARTIES}")
+def ds_read_array(spark, sf_dir):
+    cells = _parties(spark, sf_dir).read("array")
+    return cells.select((F.col("values")[0] + 2 * F.col("values")[1]).alias("mixed"), F.size("values").alias("n"))
+
+
+@R("SELECT 'customer' AS stem, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def ds_read_rows(spark, sf_dir):
+    rows = _parties(spark, sf_dir).read("rows")
+    return rows.groupBy(F.substring_index("row", ":", 1).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@R(f"""SELECT t || ':' || label AS "row", balance AS "in:acct", nation AS "out:home", 'in:gone' AS lost, 'in:size' AS missing FROM {PARTIES}""")
+def ds_configure(spark, sf_dir):
+    """Nodes and columns under other names, of which one is unknown to the lookup and one to the tables."""
+    lookup = spark.createDataFrame([("acct", "A"), ("balance", "A"), ("home", "N"), ("nation", "N"), ("size", "S")], "source string, target string")
+    data = _parties(spark, sf_dir).configure({"in": ["balance", "gone", "size"], "out": ["nation"]}, lookup)
+    out = data.rows()
+    names = dict(zip(data.columns, ["in:acct", "out:home"], strict=True))
+    return out.select(F.concat_ws(":", ds.TABLE, ds.LABEL).alias("row"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.lit(",".join(data.meta["lost"])).alias("lost"), F.lit(",".join(data.meta["missing"])).alias("missing"))
 
 
 @R("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity + l_tax AS o1, (l_quantity + l_tax) * 2e0 AS o2 FROM lineitem")
@@ -130,11 +172,19 @@ def ds_rules(spark, sf_dir):
     return ds.apply_rules(_lines(spark, sf_dir), [("o1", "l_quantity + l_tax"), ("o2", "o1 * 2")]).select(*LINE_KEY, "o1", "o2")
 
 
-@R()
+def _generated() -> str:
+    drawn = ", ".join(f"{normal_sql('label', 1 + 2 * k)} * 1e-1 + ({draw_sql('label', 2 + 2 * k)} < 5e-1)::INT AS i{k + 1}" for k in range(4))
+    ruled = f"(SELECT *, i1 + i2 AS o1, i3 + i4 AS o2 FROM (SELECT label, {drawn} FROM (SELECT o_orderkey::VARCHAR AS label FROM orders)))"
+    scaled = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0e0 AS {c}" for c in ("i1", "i2", "i3", "i4", "o1", "o2"))
+    return f"SELECT label, {scaled} FROM {ruled}"
+
+
+@R(_generated())
 def ds_generate(spark, sf_dir):
-    """A synthetic dataset of 10,000 rows by rules."""
-    made = ds.generate(spark, ["i1", "i2", "i3", "i4", "o1", "o2"], rules=[("o1", "i1 + i2"), ("o2", "i3 + i4")], seed=1)
-    return made.rows()
+    """A synthetic row for each order, by rules."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("label"))
+    made = ds.generate(spark, ["i1", "i2", "i3", "i4", "o1", "o2"], orders, rules=[("o1", "i1 + i2"), ("o2", "i3 + i4")], seed=1)
+    return rounded(made.rows().drop(ds.TABLE))
 
 
 # ---------------------------------------------------------------- statistics

@@ -168,12 +168,12 @@ for _n, _sql in ERROR_SQL.items():
     R.add(f"err_{_n}", _error(_n), f"SELECT l_linenumber, round({_sql}, 4) AS error FROM (SELECT l_linenumber, l_extendedprice / 1e3 AS x, l_quantity * 15e-1 AS y FROM lineitem) GROUP BY l_linenumber")
 
 
-@R("SELECT * FROM (VALUES ('sigmoid', 6::BIGINT), ('bell', 7), ('softstep', 3), ('vector_norm', 7), ('vector_distance', 7), ('matrix_norm', 2), ('matrix_distance', 2), ('error', 5)) t(category, n)")
+@R("SELECT c.category, c.n, t.total FROM (VALUES ('sigmoid', 6::BIGINT), ('bell', 7), ('softstep', 3), ('vector_norm', 7), ('vector_distance', 7), ('matrix_norm', 2), ('matrix_distance', 2), ('error', 5)) c(category, n), (SELECT round(sum(1e0 / (1e0 + exp(-l_discount))), 4) AS total FROM lineitem) t")
 def fn_catalog(spark, sf_dir):
-    """Number of registered functions by category."""
+    """Number of registered functions by category, and the sum over a column of one that is looked up by its name."""
     kinds = ("sigmoid", "bell", "softstep", "vector_norm", "vector_distance", "matrix_norm", "matrix_distance", "error")
-    assert curves.sigmoids() and curves.bells()
-    return spark.createDataFrame([(c, len(reg.names(c))) for c in kinds], "category string, n long")
+    total = table(spark, sf_dir, "lineitem").agg(F.round(F.sum(reg.get("sigmoid", "logistic")(F.col("l_discount"))), 4).alias("total"))
+    return spark.createDataFrame([(c, len(reg.names(c))) for c in kinds], "category string, n long").join(F.broadcast(total), how="cross")
 
 
 def queries():

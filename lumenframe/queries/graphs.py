@@ -78,9 +78,12 @@ def net_is_layered(spark, sf_dir):
     return net.is_layered(_graph(spark, sf_dir).nodes)
 
 
-@R("SELECT true AS directed, true AS feedforward, true AS multilayer, false AS deep_belief, false AS autoencoder")
+@R(f"""WITH s AS (SELECT layer_id, count(*) AS n, bool_and(layer IN ('region', 'orders')) AS v FROM {NODES} GROUP BY layer_id), k AS (SELECT count(*) AS k FROM s)
+    SELECT bool_and(CASE WHEN layer_id IN (0, k - 1) THEN v END) AS directed, bool_and(n > 0 AND v = (layer_id IN (0, k - 1))) AS feedforward, bool_and(n > 0 AND v = (layer_id IN (0, k - 1))) AND min(k) >= 3 AS multilayer,
+    min(k) % 2 = 1 AS deep_belief, false AS autoencoder FROM s, k""")
 def net_predicates(spark, sf_dir):
-    g = net.multilayer(spark, shape=(3, 2))
+    """Of the graph of sales, which has four layers."""
+    g = _graph(spark, sf_dir)
     return spark.createDataFrame(
         [(net.is_directed(g), net.is_feedforward(g), net.is_multilayer(g), net.is_deep_belief(g), net.is_autoencoder(g))], "directed boolean, feedforward boolean, multilayer boolean, deep_belief boolean, autoencoder boolean"
     )
@@ -167,10 +170,23 @@ def net_push_weights(spark, sf_dir):
     return net.push_weights(net.select_edges(g.edges, src_layer="nation"), new).select("src", "dst", "weight")
 
 
-@R("SELECT id, round(layer_id / 3e0, 6) AS x, round((row_number() OVER (PARTITION BY layer_id ORDER BY k) - 5e-1) / count(*) OVER (PARTITION BY layer_id), 6) AS y FROM (SELECT 'nation:' || n_nationkey AS id, 1 AS layer_id, n_nationkey AS k FROM nation UNION ALL SELECT 'region:' || r_regionkey, 0, r_regionkey FROM region UNION ALL SELECT 'end', 3, 0)")
+@R(f"SELECT id, round(layer_id / 3e0, 6) AS x, round((row_number() OVER (PARTITION BY layer_id ORDER BY node_order) - 5e-1) / count(*) OVER (PARTITION BY layer_id), 6) AS y FROM {NODES}")
 def net_layout(spark, sf_dir):
-    nodes = _graph(spark, sf_dir).nodes.where("layer_id < 2").select("id", "layer_id", "layer_sub_id").unionByName(spark.createDataFrame([("end", 3, 0)], "id string, layer_id int, layer_sub_id int"))
-    return rounded(layout.positions(nodes))
+    """All nodes of all layers."""
+    return rounded(layout.positions(_graph(spark, sf_dir).nodes))
+
+
+@R("""WITH n AS (SELECT count(*)::DOUBLE AS n FROM nation), m AS (SELECT count(*)::DOUBLE AS m FROM region)
+    SELECT 'nation:' || n_nationkey AS id, p::BIGINT AS place, round(coalesce(w, 0e0) * abs((p + 5e-1) / (n + 1) - (n_regionkey + 5e-1) / (m + 1)), 6) AS cost
+    FROM nation LEFT JOIN (SELECT c_nationkey, abs(sum(c_acctbal)) / 1e4 AS w FROM customer GROUP BY ALL) ON c_nationkey = n_nationkey, n, m, range(25) AS r(p)""")
+def net_layer_costs(spark, sf_dir):
+    """Costs of the places of nations under their regions, by the balances of their customers."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    nations = n.select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.lit(1).alias("layer_id"), F.col("n_nationkey").cast("long").alias("sub"))
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("id"), F.lit(0).alias("layer_id"), F.col("r_regionkey").cast("long").alias("sub"))
+    weights = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.sum("c_acctbal") / 1e4).alias("weight"))
+    edges = n.join(weights, "n_nationkey", "left").select(F.concat(F.lit("region:"), "n_regionkey").alias("src"), F.concat(F.lit("nation:"), "n_nationkey").alias("dst"), "weight")
+    return rounded(layout.layer_costs(regions.unionByName(nations), edges, 1).select("id", F.col("place").cast("long").alias("place"), "cost"))
 
 
 #: Nations, with an edge from each customer's nation to the nations of the suppliers in its orders, if 1 line in 600 leads there.
@@ -233,6 +249,18 @@ def net_graph_data(spark, sf_dir):
     return rounded(net.graph_data(g.nodes.where("layer <> 'orders'"), edges, threshold=0.5, normalize=True))
 
 
+@R("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT NULL, NULL), e AS (SELECT 'region:' || r AS src, 'nation:' || k AS dst FROM n WHERE k IS NOT NULL
+    UNION ALL SELECT 'region:' || r_regionkey, 'nation:new' FROM region UNION ALL SELECT 'nation:new', 'customer:' || c_custkey FROM customer UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer WHERE c_nationkey % 2 = 0)
+    SELECT src, count(*) AS n, min(dst) AS first FROM e GROUP BY src""")
+def net_configure(spark, sf_dir):
+    """Regions, nations and customers, of which the nations become those of even keys and a new one."""
+    g = _graph(spark, sf_dir)
+    few = Network(g.nodes.where("layer_id < 3"), g.edges.where("layer_id < 2"), "sales")
+    names = [str(r[0]) for r in table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey").collect()]
+    made = net.configure(few, {"nation": [*names, "new"], "no such layer": ["x"]})
+    return made.edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("first"))
+
+
 @R(f"SELECT id, CASE layer WHEN 'region' THEN 'source' WHEN 'orders' THEN 'target' ELSE 'latent' END AS \"group\" FROM {NODES}")
 def net_node_groups(spark, sf_dir):
     return net.node_groups(_graph(spark, sf_dir))

@@ -14,7 +14,7 @@ from lumenframe.operators import epochs, relations, train
 from lumenframe.operators import system as sysm
 from lumenframe.operators.system import System, Units
 from lumenframe.operators.train import Schedule
-from lumenframe.queries.common import Registry, rounded, table
+from lumenframe.queries.common import Registry, draw_sql, rounded, table
 from lumenframe.queries.graphs import _graph as graph_of_tables
 from lumenframe.streaming import score
 
@@ -54,9 +54,9 @@ def sys_values(spark, sf_dir):
     return rounded(sysm.forward(_rows(spark, sf_dir), SYSTEM, how="values", prefix="~").select("vec_id", F.col("`~o:d`").alias("o")))
 
 
-@R()
+@R(f"SELECT vec_id, round(5e-2 + 7e-1 * (x > {draw_sql('vec_id', 5)})::INT - 9e-1 * (y > {draw_sql('vec_id', 6)})::INT, 6) AS o FROM {HIDDEN}")
 def sys_samples(spark, sf_dir):
-    return sysm.forward(_rows(spark, sf_dir), SYSTEM, how="samples", expect_last=True, seed=5, prefix="~").select("vec_id", F.col("`~o:d`").alias("o"))
+    return rounded(sysm.forward(_rows(spark, sf_dir), SYSTEM, how="samples", expect_last=True, seed=5, prefix="~", key=["vec_id"]).select("vec_id", F.col("`~o:d`").alias("o")))
 
 
 @R(f"SELECT vec_id, round(d - o, 6) AS residual FROM {OUT}")
@@ -165,9 +165,22 @@ def _territory(spark, sf_dir) -> System:
     return sysm.from_network(net.Network(g.nodes.where("layer_id < 2"), g.edges.where("layer_id < 1"), "territory"))
 
 
-@R("SELECT 'region' AS layer, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
+@R("SELECT 'gauss' AS \"group\", string_agg('region:' || r_regionkey, ',' ORDER BY r_regionkey) AS units FROM region UNION ALL SELECT 'sigmoid', string_agg('nation:' || n_nationkey, ',' ORDER BY n_nationkey) FROM nation")
 def sys_units(spark, sf_dir):
-    return _territory(spark, sf_dir).units_table(spark).groupBy("layer").agg(F.count("*").alias("n"))
+    """Units by their kind."""
+    return _territory(spark, sf_dir).units(spark, groupby="class").select("group", F.array_join("units", ",").alias("units"))
+
+
+@R("SELECT 'r:' || n_regionkey AS \"group\", string_agg('r:' || n_regionkey || '>n:' || n_nationkey, ',' ORDER BY 'n:' || n_nationkey) AS links FROM nation WHERE n_nationkey < 12 GROUP BY n_regionkey")
+def sys_links(spark, sf_dir):
+    """Links of negative sign, by their source."""
+    return sysm.select_links(sysm.link_attributes(_geography(spark, sf_dir)), "src", sign=-1.0).select("group", F.array_join("links", ",").alias("links"))
+
+
+@R("SELECT 'region' AS layer, 0 AS layer_id FROM region WHERE r_regionkey = 0")
+def sys_layers(spark, sf_dir):
+    """Visible layers; the colour, which no layer has, is passed over."""
+    return _territory(spark, sf_dir).layer_names(spark, visible=True, colour="red")
 
 
 @R("SELECT (SELECT count(*) FROM nation) AS links, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS units")

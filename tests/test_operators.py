@@ -165,10 +165,13 @@ def test_graph_algorithms(spark):
 
 
 def test_layout(spark):
-    weights = {(1, 3): 0.1, (1, 4): 0.9, (2, 3): 0.9, (2, 4): 0.1}
-    ordered = layout.order_layers([[1, 2], [3, 4]], weights)
-    assert ordered == [[1, 2], [4, 3]]
-    nodes = spark.createDataFrame([(n, k, j) for k, layer in enumerate(ordered) for j, n in enumerate(layer)], "id int, layer_id int, layer_sub_id int")
+    start = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 1, 0), (4, 1, 1)], "id int, layer_id int, layer_sub_id int")
+    edges = spark.createDataFrame([(1, 3, 0.1), (1, 4, 0.9), (2, 3, 0.9), (2, 4, 0.1)], "src int, dst int, weight double")
+    ordered = layout.order_layers(start, edges)
+    assert sorted(tuple(r) for r in ordered.collect()) == [(1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0)]
+    with pytest.raises(ValueError, match="more than 1"):
+        layout.order_layers(start, edges, most=1)
+    nodes = ordered.withColumnRenamed("place", "layer_sub_id")
     at = lambda df: {r["id"]: (round(r["x"], 6), round(r["y"], 6)) for r in df.collect()}
     right = layout.positions(nodes)
     assert at(right) == {1: (0, 0.25), 2: (0, 0.75), 4: (1, 0.25), 3: (1, 0.75)}
@@ -181,6 +184,44 @@ def test_layout(spark):
     assert turned[1] == (0.75, 0)
 
 
+def plain_order(layers, weights):
+    """The rule of order_layers on lists."""
+    out = [list(layers[0])]
+    for layer in layers[1:]:
+        before, n = out[-1], len(layer)
+        at = lambda k, size: (k + 0.5) / (size + 1)
+        cost = np.zeros((n, n))
+        for s, u in enumerate(before):
+            for t, v in enumerate(layer):
+                w = weights.get((u, v), weights.get((v, u), 0.0))
+                cost[:, t] += [abs(w) * abs(at(p, n) - at(s, len(before))) for p in range(n)]
+        nodes, places, row = list(range(n)), list(range(n)), [None] * n
+        while nodes:
+            c = cost[places][:, nodes]
+            t = nodes[int(np.argmax(c.max(axis=0) ** 2 - c.min(axis=0) ** 2))]
+            p = places[int(np.argmin(cost[places, t]))]
+            row[p] = layer[t]
+            nodes.remove(t)
+            places.remove(p)
+        out.append(row)
+    return out
+
+
+def test_layer_order_over_several_layers(spark):
+    rng = np.random.default_rng(4)
+    layers = [[f"a{k}" for k in range(4)], [f"b{k}" for k in range(6)], [f"c{k}" for k in range(3)]]
+    weights = {}
+    for one, two in zip(layers, layers[1:], strict=False):
+        for u in one:
+            for v in two:
+                if rng.random() < 0.7:
+                    weights[(u, v) if rng.random() < 0.8 else (v, u)] = float(rng.normal())
+    nodes = spark.createDataFrame([(i, k, j) for k, layer in enumerate(layers) for j, i in enumerate(layer)], "id string, layer_id int, layer_sub_id int")
+    edges = spark.createDataFrame([(u, v, w) for (u, v), w in weights.items()], "src string, dst string, weight double")
+    got = {r["id"]: (r["layer_id"], r["place"]) for r in layout.order_layers(nodes, edges).collect()}
+    assert got == {i: (k, j) for k, layer in enumerate(plain_order(layers, weights)) for j, i in enumerate(layer)}
+
+
 def fixed():
     return System(
         (Units("i", ("a", "b")), Units("h", ("x",), "sigmoid", False, np.array([0.1])), Units("o", ("d",), bias=np.array([0.2]))),
@@ -408,3 +449,75 @@ def test_history_interval_and_stop(spark):
     once = {r["parameter"]: r["value"] for r in train.rprop_step(rows, system).collect()}
     moved = train.fit(rows, system, train.Schedule(updates=1, rounds=1, minibatch=50, algorithm="rprop", keep_best=False))
     assert np.isclose(once["bias o:b"], moved.layers[1].bias[0]) and np.isclose(once["weight i:a o:b"], moved.weights[0][0, 0])
+
+
+# ---------------------------------------------------------------- selection, draws, formats and filters
+
+
+@pytest.mark.parametrize("case", ["spread", "ties", "odd", "few"])
+def test_selected_ranks(spark, monkeypatch, case):
+    monkeypatch.setattr(stats, "FEW", 20)
+    monkeypatch.setattr(stats, "BUCKETS", 7)
+    rng = np.random.default_rng(3)
+    x = {
+        "spread": rng.normal(size=900) * 10.0 ** rng.integers(-200, 200, 900), "ties": rng.integers(0, 4, 900).astype(float),
+        "odd": np.concatenate([rng.normal(size=300), [np.inf] * 20, [-np.inf] * 30, [np.nan] * 40, [1.7e308, -1.7e308]]), "few": np.array([2.0]),
+    }[case]
+    df = spark.createDataFrame([(float(v), 1.0) for v in x] + [(None, 1.0)], "x double, y double").repartition(3)
+    order = np.sort(x)
+    n, got = stats.select_ranks(df, ["x", "y"], lambda n: [0, n // 3, n // 2, n - 1])["x"]
+    assert n == len(x) and [r.rank for r in got] == sorted({0, n // 3, n // 2, n - 1})
+    for r in got:
+        same = np.isnan(order) if np.isnan(order[r.rank]) else order == order[r.rank]
+        assert np.array_equal([r.value], [order[r.rank]], equal_nan=True) and (r.first, r.held) == (np.flatnonzero(same)[0], same.sum())
+    assert stats.top_mean(df.limit(0), ["x"], 0.5).count() == 0
+
+
+def test_keyed_draws(spark):
+    from lumenframe.functions.draws import draws
+
+    df = spark.range(20000).select("id", draws(3, ["id"]).uniform().alias("u"), draws(3, ["id"]).uniform(1).alias("v"), draws(4, ["id"]).normal().alias("g"))
+    one, two = df.repartition(7).orderBy("id").toPandas(), df.orderBy("id").toPandas()
+    assert one.equals(two) and 0 < one.u.min() and one.u.max() < 1
+    assert abs(one.u.mean() - 0.5) < 0.01 and abs(one.u.std() - 12**-0.5) < 0.01 and abs(one.g.mean()) < 0.03 and abs(one.g.std() - 1) < 0.02
+    assert abs(one.corr().loc["u", "v"]) < 0.03 and abs(one.corr().loc["u", "g"]) < 0.03
+
+
+def test_output_formats(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "label string, x double, y double")
+    data = Dataset({"t": df}, {"g:x": "x", "h:x": "x", "g:y": "y"})
+    cols, rows, array = data.read(("cols", "rows", "array"), columns=["g:x", "h:x", "g:y"])
+    assert cols == ["x", "x.2", "y"] and sorted(r["row"] for r in rows.collect()) == ["t:a", "t:b"]
+    assert sorted(r["values"] for r in array.collect()) == [[1.0, 1.0, 2.0], [3.0, 3.0, 4.0]]
+    assert data.read("recarray", columns="g:*").columns == ["label", "x", "y"]
+    noisy = data.read("array", noise=("mask", 1.0), seed=1).collect()
+    assert all(v == 0 for r in noisy for v in r["values"])
+    assert data.read("array", size=9, seed=2).count() == 9
+    for bad in ({"columns": ["g:x", "g:x"]}, {"columns": ["no"]}, {"output": "matrix"}):
+        with pytest.raises(ValueError):
+            data.read(**({"output": "array"} | bad))
+
+
+def test_units_links_and_layers(spark):
+    s = fixed()
+    assert [tuple(r) for r in s.units(spark, groupby="layer").orderBy("group").collect()] == [("h", ["h:x"]), ("i", ["i:a", "i:b"]), ("o", ["o:d"])]
+    assert s.units(spark, visible=True).count() == 3 and s.unit(spark, "b").first()["layer"] == "i"
+    for bad in ("nothing", "i:x"):
+        with pytest.raises(ValueError, match="0 units"):
+            s.unit(spark, bad)
+    with pytest.raises(ValueError, match="unknown attribute"):
+        s.units(spark, colour=1)
+    assert [tuple(r) for r in s.links(spark, groupby="sign").orderBy("group").collect()] == [(-1.0, ["i:b>h:x"]), (1.0, ["i:a>h:x", "h:x>o:d"])]
+    assert s.links(spark, dst="o:d").first()["weight"] == 0.7
+    assert [r["layer"] for r in s.layer_names(spark, visible=True, nothing=3).orderBy("layer_id").collect()] == ["i", "o"]
+
+
+def test_configuration_of_networks(spark):
+    g = net.build(spark, [net.Layer("i", ("a", "b")), net.Layer("h", ("x", "y"), False, "sigmoid"), net.Layer("o", ("d",))])
+    g = net.Network(g.nodes, net.push_weights(g.edges, spark.createDataFrame([("i:b", "h:x", 0.5)], "src string, dst string, weight double")))
+    made = net.configure(g, {"i": ["b", "c", "e"], "o": ["d"], "none": ["q"]})
+    assert [(r["id"], r["layer_sub_id"], r["node_order"]) for r in made.nodes.orderBy("node_order").collect()] == [("i:b", 0, 0), ("i:c", 1, 1), ("i:e", 2, 2), ("h:x", 0, 3), ("h:y", 1, 4), ("o:d", 0, 5)]
+    edges = {(r["src"], r["dst"]): r["weight"] for r in made.edges.collect()}
+    assert set(edges) == {(f"i:{a}", f"h:{b}") for a in "bce" for b in "xy"} | {("h:x", "o:d"), ("h:y", "o:d")} and edges["i:b", "h:x"] == 0.5
+    data = Dataset({"t": spark.createDataFrame([("r", 1.0, 2.0)], "label string, a double, b double")}).configure({"i": ["b", "zz"]})
+    assert data.meta == {"lost": [], "missing": ["i:zz"]} and data.columns == {"i:b": "b"}
