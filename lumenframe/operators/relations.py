@@ -142,6 +142,16 @@ def relation_graph(weights: DataFrame, filters: DataFrame | None = None, signs:
     return edges.join(F.broadcast(mean), how="cross").join(s, ["src", "tgt"]).select("src", "tgt", (F.col("w") / F.col("mean")).alias("weight"), "sign")
 
 
+def as_heatmap(cells: DataFrame, targets: list[str]) -> DataFrame:
+    """One row per source with a column per target: the matrix of a relation; pairs without a value are null."""
+    return cells.groupBy("src").pivot("tgt", targets).agg(F.first("value"))
+
+
+def as_histogram(cells: DataFrame, bins: int = 100) -> DataFrame:
+    """(bin, lo, hi, n) of the values of pairs of different units."""
+    return stats.histogram(cells.where("src <> tgt"), F.col("value"), bins)
+
+
 def node_roles(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(unit, role): source, target, transit or isolated, by the edges that leave and reach a unit."""
     out = edges.select(F.col("src").alias("unit")).distinct().withColumn("o", F.lit(True))

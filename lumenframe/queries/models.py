@@ -288,6 +288,25 @@ def rel_symmetric(spark, sf_dir):
     return relations.is_symmetric(stats.correlation(plain, list("abcd")))
 
 
+@R("SELECT src, " + ", ".join(f"max(CASE WHEN tgt = '{t}' THEN round(value, 6) END) AS {t}" for t in "abcd") + f" FROM ({MEASURES_SQL}) GROUP BY src")
+def rel_heatmap(spark, sf_dir):
+    """Correlations as a matrix."""
+    from lumenframe.operators import stats
+
+    plain = _rows(spark, sf_dir).toDF("vec_id", "a", "b", "c", "d")
+    return rounded(relations.as_heatmap(stats.correlation(plain, list("abcd")), list("abcd")))
+
+
+@R(f"""WITH m AS ({MEASURES_SQL}), v AS (SELECT value FROM m WHERE src <> tgt), e AS (SELECT min(value) AS a, max(value) AS b FROM v)
+    SELECT bin, round(a + bin * (b - a) / 4, 6) AS lo, round(a + (bin + 1) * (b - a) / 4, 6) AS hi, count(*) AS n FROM (SELECT least(floor((value - a) / ((b - a) / 4)), 3)::BIGINT AS bin, a, b FROM v, e) GROUP BY bin, a, b""")
+def rel_histogram(spark, sf_dir):
+    """Of the correlations of different columns, in four bins."""
+    from lumenframe.operators import stats
+
+    plain = _rows(spark, sf_dir).toDF("vec_id", "a", "b", "c", "d")
+    return rounded(relations.as_histogram(stats.correlation(plain, list("abcd")), 4))
+
+
 # ---------------------------------------------------------------- training
 
 

@@ -58,3 +58,13 @@ def read_system(spark: SparkSession, path: str, name: str = "system") -> System:
         (k, i), (_, j) = at[r["src"]], at[r["dst"]]
         weights[k][i, j], adjacency[k][i, j] = r["weight"], r["adjacency"]
     return System(units, tuple(weights), tuple(adjacency), name)
+
+
+def read_any(spark: SparkSession, path: str) -> System | dict[str, object]:
+    """By the ending of a path: the settings of a sectioned file, or the system of a bundle."""
+    ending = path.rstrip("/").rpartition(".")[2].lower()
+    if ending in ("ini", "txt"):
+        return read_system_config(spark, path)
+    if ending == "bundle":
+        return read_system(spark, path)
+    raise ValueError(f"unknown file type {ending!r}")

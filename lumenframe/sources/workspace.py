@@ -28,6 +28,9 @@ def catalog(spark: SparkSession, root: str, workspace: str | None = None) -> Dat
     Files are listed by Spark, on any file system; their contents are not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    # a bundle, and a table written in parts, is a folder: its files count as one object
+    inside = r"^(.*/(?:" + "|".join(FOLDERS.values()) + r")/[^/]+\.[^./]+)/.*$"
+    files = files.withColumn("path", F.when(F.col("path").rlike(inside), F.regexp_extract("path", inside, 1)).otherwise(F.col("path"))).groupBy("path").agg(F.sum("length").alias("length"))
     folder = F.element_at(F.split("path", "/"), -2)
     base = F.element_at(F.split("path", "/"), -1)
     kind = F.coalesce(*(F.when(folder == f, F.lit(k)) for k, f in FOLDERS.items()))
