@@ -11,7 +11,7 @@ Decoding looks up the spelling of each id and joins spellings with a space, as t
 without a decoder; the digests of decoded texts come from the ids that were emitted, not from the words.
 
 Defined cases: null text counts as empty and has no ids; special tokens spelt out in a text become their ids, as in
-the library; null and repeated doc_ids keep a row each; other columns are ignored; an empty table gives no rows. In
+the library; null and repeated doc_ids keep a row each; texts and words of any length are encoded whole; other columns are ignored; an empty table gives no rows. In
 decoding, null ids are an empty text, and ids outside the vocabulary are left out, as the library does.
 """
 

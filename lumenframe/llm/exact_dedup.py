@@ -8,8 +8,9 @@ table whose slots are decided by comparing complete contents. Links back to the
 the row that stood for a text in its task, so no join key is hot.
 
 Defined cases: null text counts as empty, and empty texts are equal. A null id sorts after all others; a group of
-null ids has a null keep_id. Rows that repeat both id and text are one group, of which one row is kept. Other columns
-of the input are ignored, whatever their names. An empty table gives an empty result.
+null ids has a null keep_id. Rows that repeat both id and text are one group, of which one row is kept. Texts of any
+length are compared whole. Other columns of the input are ignored, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Prototypes come from trigram counts that Spark sums per language, so all labelle
 Letters are case-folded; a to z have a class each, other letters share 36 classes by code point, and every run of
 other characters is one gap. Defined cases: null texts and texts without a letter are `und` with score 0, as is every
 text if no language was learned; ties go to the first language in alphabetical order; null and repeated ids keep a
-row each; other columns are ignored.
+row each; texts of any length are bundled whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

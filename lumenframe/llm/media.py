@@ -9,7 +9,8 @@ digest, puts the chunks in order, verifies every digest and the whole file, and
 
 Payload bytes move once (compressed, with each document's chunk list) and are written once. Defined cases: null texts
 count as empty; payloads are padded with zeros to a positive multiple of 64; null and repeated ids keep a row each;
-other columns are ignored. A stored file that fails its digest raises.
+payloads of any length up to 4 GiB, the limit of a WAV file, are chunked whole; an empty table gives no rows; other
+columns are ignored. A stored file that fails its digest raises.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ emitted. The windows still open at the end of the tasks are merged in bounded gr
 fill levels alone. Ids of sequences come from the task's number, so no counter is shared.
 
 Defined cases: null and empty texts are one end-of-document id. A null doc_id is carried along. Rows that repeat an
-id are packed as separate documents. Other columns are ignored. An empty table gives an empty result.
+id are packed as separate documents. Texts of any length are encoded whole and cut into as many windows as they fill. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

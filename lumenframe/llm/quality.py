@@ -5,8 +5,8 @@ bounded sample of labelled rows (`SAMPLE_ROWS`, the smallest hashes of their ids
 are flattened into complete-tree arrays, and all trees of a batch of rows are walked with numpy index arithmetic.
 
 Defined cases: null and empty texts have all statistics 0 and get a score; a table without labels gives every row the
-score 0.5; several labels for an id count as so many rows; null and repeated ids keep a row each; other columns are
-ignored.
+score 0.5; several labels for an id count as so many rows; null and repeated ids keep a row each; texts of any length
+are measured whole; equal texts have equal scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

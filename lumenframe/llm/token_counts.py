@@ -8,7 +8,8 @@ last separator before it.
 
 Defined cases: an empty document has 0 tokens; ids after the last separator of a file are a document with
 `terminated` false; an empty file has no documents. In count_tokens a null text counts as empty, null and repeated
-doc_ids keep a row each, the separator's own spelling in a text is ordinary text, and other columns are ignored.
+doc_ids keep a row each, the separator's own spelling in a text is ordinary text, other columns are ignored, texts of
+any length are encoded whole (`subword`), and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -366,3 +366,64 @@ def test_recall_on_the_small_tables(spark, sf_dir):
     want = runs_of(split)
     found = sum(len(covered[k] & set(range(lo, hi))) >= 20 for k, lo, hi in want)
     assert want and found / len(want) >= 0.97
+
+
+# ---------------------------------------------------------------- ids, lengths and empty tables in the earlier operators
+
+
+def by_row(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_null_and_repeated_ids(make, spark):
+    from lumenframe.llm import bpe, language_id, packing, quality, token_counts
+
+    texts = [f"the house number {k} is on the road and it is red" for k in range(6)] + [None]
+    ids, langs = [None, None, 1, 1, 2, 2, 3], ["en"] * 7
+    docs, plain = make(texts, ids=ids, langs=langs), make(texts, langs=langs)
+    same = lambda got, want, *c: by_row(got, "doc_id", *c) == sorted([(ids[r[0]], *r[1:]) for r in by_row(want, "doc_id", *c)], key=repr)
+    assert same(token_counts.count_tokens(docs), token_counts.count_tokens(plain), "n_tokens")
+    assert same(bpe.bpe_digests(docs), bpe.bpe_digests(plain), "n_tokens", "ids_sha256", "decoded_sha256")
+    assert same(packing.pack(docs), packing.pack(plain), "start", "length", "ids_crc32", "doc_tokens")
+    profiles = language_id.fit_profiles(plain)
+    assert same(language_id.identify(docs, profiles), language_id.identify(plain, profiles), "lang_pred", "score")
+    trees = quality.fit_quality(plain, spark.createDataFrame([(k, k % 2) for k in range(7)], "doc_id long, quality int"))
+    assert same(quality.score_quality(docs, trees), quality.score_quality(plain, trees), "score", "predicted")
+
+
+def test_long_runs_in_all_operators(make, spark):
+    from lumenframe.llm import exact_dedup, language_id, line_dedup, media, minhash, quality, substring_dedup
+
+    long = [t[:100_000] for t in LONG]
+    docs = make([*long, long[2]], ids=[1, 2, None, 2, 5, 6], langs=["en"] * 6)
+    assert quality.quality(docs, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")).count() == 6
+    assert [r["n_bytes"] for r in media.load_media(media.store_media(docs), with_media=False).orderBy("n_bytes").collect()] == sorted(len(t) for t in [*long, long[2]])
+    found = exact_dedup.exact_dedup(docs)
+    assert found.count() == 6 and found.where("group_size > 1").count() == 4  # blanks equal line ends
+    assert language_id.language_id(docs).where("lang_pred <> 'und'").count() <= 4
+    assert minhash.near_duplicates(docs).count() == 6
+    assert substring_dedup.drop_repeats(docs).count() == 6
+    assert line_dedup.drop_repeated_lines(docs).count() == 6
+
+
+def test_empty_tables(make, spark):
+    from lumenframe.llm import language_id, media, quality
+
+    docs, labels = make(["a b"]).limit(0), spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.quality(docs, labels).count() == language_id.language_id(docs).count() == media.load_media(media.store_media(docs)).count() == 0
+
+
+def test_pipeline_with_null_and_repeated_ids(make, spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("the of and to house road tree water stone light green is that for with".split()) + rng.choice(["", "", "s", "ly", str(rng.randrange(900))]) for _ in range(n))
+    texts = [prose(150) for _ in range(8)] + [None, "", LONG[0][:50_000] + "a word", LONG[4][:50_000]]
+    docs = make([*texts, *texts[:3]], ids=[None, None, 1, 1, 2, 2, None, 7, 8, 9, 10, None, 12, 1, 2], langs=["en"] * 15)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.materialize(stage(spark, docs, ""), name)
+        assert 0 < docs.count() <= before and docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
+    left = [r["text"] for r in docs.collect()]
+    assert all(sum(t[:200] in x for x in left) == 1 for t in texts[:8])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").selectExpr("count(distinct sequence_id) as n").first()["n"] > 0
