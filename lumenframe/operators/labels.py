@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.arrays import number_rows
+
 
 def convert(labels: DataFrame, lookup: DataFrame | None = None, prefix: str = "X") -> DataFrame:
     """(position, label, converted, lost): labels looked up after a leading `prefix` is stripped.
@@ -18,11 +20,13 @@ def convert(labels: DataFrame, lookup: DataFrame | None = None, prefix: str = "X
     else:
         first = lookup.groupBy("source").agg(F.min("target").alias("target"))
         found = bare.join(first, "source", "left").select("position", "label", "target")
-    # lost labels are not numbered: one by one, they don't meet in one partition
-    group = F.when(F.col("target").isNull(), F.col("position"))
-    k = F.row_number().over(Window.partitionBy("target", group).orderBy("position"))
-    numbered = F.when(k == 1, F.col("target")).otherwise(F.concat("target", F.lit("-"), k.cast("string")))
-    return found.select("position", "label", F.when(F.col("target").isNotNull(), numbered).alias("converted"), F.col("target").isNull().alias("lost"))
+    # repeats are numbered by a range sort, so that a frequent label does not meet in one task
+    kept = number_rows(found.where("target IS NOT NULL"), ["target", "position"], "__at")
+    first = kept.groupBy("target").agg(F.min("__at").alias("__first"))
+    k = F.col("__at") - F.col("__first") + 1
+    named = F.when(k == 1, F.col("target")).otherwise(F.concat("target", F.lit("-"), k.cast("string")))
+    made = kept.join(first, "target").select("position", "label", named.alias("converted"), F.lit(False).alias("lost"))
+    return made.unionByName(found.where("target IS NULL").select("position", "label", F.col("target").alias("converted"), F.lit(True).alias("lost")))
 
 
 def full_name(name: Column, branch: Column, version: Column) -> Column:

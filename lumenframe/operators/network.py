@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.registry import register
+from lumenframe.operators.arrays import number_rows
 from lumenframe.storage import discard, materialize
 
 NODES = "id string, label string, layer string, layer_id int, layer_sub_id int, node_order int, visible boolean, type string"
@@ -84,8 +85,6 @@ def valid_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def number_edges(pairs: DataFrame) -> DataFrame:
     """Edges with their order by the places of their ends, and weight 0."""
-    from lumenframe.operators.arrays import number_rows
-
     flat = pairs.select("src", "dst", "src_layer", "dst_layer", "layer_id", F.col("place.a").alias("a"), F.col("place.b").alias("b"))
     numbered = number_rows(flat, ["layer_id", "a", "b"], "edge_order")
     return numbered.select("src", "dst", "src_layer", "dst_layer", "layer_id", F.col("edge_order").cast("int").alias("edge_order"), F.lit(0.0).alias("weight"))
@@ -162,17 +161,17 @@ def is_directed(network: Network) -> bool | None:
     return bool(ends["n"] > 1 and ends["a"] and ends["b"])
 
 
-def _profile(network: Network) -> list[tuple[int, bool, list[str]]]:
-    """Size, visibility and labels of each layer: metadata of the model, not of the data."""
-    made = network.nodes.groupBy("layer_id").agg(F.count("*").alias("n"), F.bool_and("visible").alias("v"), F.sort_array(F.collect_list("label")).alias("labels"))
-    return [(r["n"], r["v"], r["labels"]) for r in made.orderBy("layer_id").collect()]
+def _profile(network: Network) -> list[tuple[int, bool]]:
+    """Size and visibility of each layer: a row per layer."""
+    made = network.nodes.groupBy("layer_id").agg(F.count("*").alias("n"), F.bool_and("visible").alias("v"))
+    return [(r["n"], r["v"]) for r in made.orderBy("layer_id").collect()]
 
 
 @register("network_predicate", "feedforward")
 def is_feedforward(network: Network) -> bool:
     """No empty layer, and the first and last layers, and only these, are visible."""
     p = _profile(network)
-    return bool(p) and all(n > 0 and v == (k in (0, len(p) - 1)) for k, (n, v, _) in enumerate(p))
+    return bool(p) and all(n > 0 and v == (k in (0, len(p) - 1)) for k, (n, v) in enumerate(p))
 
 
 @register("network_predicate", "multilayer")
@@ -183,23 +182,28 @@ def is_multilayer(network: Network) -> bool:
 @register("network_predicate", "deep_belief")
 def is_deep_belief(network: Network) -> bool:
     """A multilayer network with an odd number of layers and hidden sizes that mirror at the centre."""
-    sizes = [n for n, _, _ in _profile(network)]
+    sizes = [n for n, _ in _profile(network)]
     hidden = sizes[1:-1]
     return is_multilayer(network) and len(sizes) % 2 == 1 and hidden == hidden[::-1]
 
 
 @register("network_predicate", "autoencoder")
 def is_autoencoder(network: Network) -> bool:
-    p = _profile(network)
-    return is_deep_belief(network) and p[0][2] == p[-1][2]
+    """A deep belief network whose first and last layer have the same labels."""
+    if not is_deep_belief(network):
+        return False
+    ends = network.nodes.agg(F.min("layer_id").alias("a"), F.max("layer_id").alias("b")).first()
+    sign = F.when(F.col("layer_id") == ends["a"], 1).when(F.col("layer_id") == ends["b"], -1)
+    return network.nodes.groupBy("label").agg(F.coalesce(F.sum(sign), F.lit(0)).alias("more")).where("more <> 0").isEmpty()
 
 
 def drop_units(network: Network, layer: str, labels: Sequence[str]) -> Network:
     """The network without some nodes of a layer and the edges at them; places within the layer close up."""
     gone = network.nodes.where((F.col("layer") == layer) & F.col("label").isin(list(labels))).select("id")
     nodes = network.nodes.join(gone, "id", "left_anti")
-    rank = F.row_number().over(_per_layer()) - 1
-    nodes = nodes.withColumn("layer_sub_id", rank.cast("int"))
+    at = number_rows(nodes, ["layer", "layer_sub_id", "id"], "__at")
+    first = at.groupBy("layer").agg(F.min("__at").alias("__first"))  # a row per layer
+    nodes = at.join(F.broadcast(first), "layer").withColumn("layer_sub_id", (F.col("__at") - F.col("__first")).cast("int")).select(network.nodes.columns)
     edges = network.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return replace(network, nodes=nodes, edges=edges.select(network.edges.columns))
 
@@ -244,12 +248,6 @@ def configure(network: Network, groups: dict[str, Sequence[str]]) -> Network:
     return network
 
 
-def _per_layer():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("layer").orderBy("layer_sub_id")
-
-
 def push_weights(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """Edges with weights from (src, dst, weight); edges without one keep theirs."""
     new = weights.select("src", "dst", F.col("weight").alias("__w"))
