@@ -32,7 +32,7 @@ UNKNOWN = "und"
 #: Bits of the map of frequent phrases, a power of two: 4 MiB, at any size of the corpus.
 BITS = 1 << 25
 #: Bytes of text whose sequences are counted at once.
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: Shares of a language's candidates that are ranked on their own before the last ranking.
 SHARES = 64
 _BLANK, _CUT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
