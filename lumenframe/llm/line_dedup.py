@@ -116,11 +116,12 @@ COUNTED = "etnaoirshdluc"
 
 
 def letter_counts(line: Column) -> Column:
-    """Numbers of the counted letters in one integer, each modulo 16."""
-    count = lambda letter: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-    out = F.lit(0).cast("long")
+    """Numbers of the counted letters in one integer, each modulo 16. Each letter is taken out before the next is counted, so texts get shorter."""
+    out, left = F.lit(0).cast("long"), line
     for k, letter in enumerate(COUNTED):
-        out = out.bitwiseOR(F.shiftleft(count(letter).bitwiseAND(15).cast("long"), 4 * k))
+        less = F.replace(left, F.lit(letter), F.lit(""))
+        count = F.octet_length(left) - F.octet_length(less)
+        out, left = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k)), less
     return out
 
 
