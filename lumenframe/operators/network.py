@@ -431,7 +431,8 @@ def node_groups(network: Network) -> DataFrame:
 
 
 def evaluate(network: Network, name: str, **kwargs) -> DataFrame:
-    """A registered graph algorithm."""
+    """A registered graph algorithm, of this module or of graphs."""
     from lumenframe.functions import registry
+    from lumenframe.operators import graphs  # noqa: F401  it registers its own
 
     return registry.get("graph", name)(network.nodes, network.edges, **kwargs)
