@@ -2,33 +2,46 @@
 
 A word is the sum of three rows of hashed tables: two for the word, one for its first four bytes. Filters of several
 widths run over the words of a text, each takes its maximum over the whole text, and a logistic layer weighs the maxima.
-The network is trained with numpy on a bounded sample of labelled rows (`SAMPLE_ROWS` of each label, the smallest hashes
-of their ids, of at most `FIT_WORDS` words each) and scores every text in Spark tasks, in blocks of words.
 
-Thresholds are calibrated by language on a share of the sample that training does not see. The language is told from
-function words in the text itself, never from a column. Scores are moved so that each language's threshold is
-`THRESHOLD`, which keeps their order within a language.
+All labelled rows given take part, with their whole texts. Their hashed words are dealt by hash to shards of about
+`SHARD_ROWS` rows and written once. Spark tasks count in how many texts of each label a word stands, which begins the
+embeddings; then, in each of `ROUNDS` rounds, every shard trains the network on its rows with numpy, from where the last
+round ended, and the network moves by the mean of what the shards moved it (a row of a table by the mean of those that moved
+it). These moves are whole multiples of 2**-20, so that their sums do not depend on the order of arrival; a shard has the
+same rows in the same order however the tables are cut. The driver has the network only, never a text.
+
+Thresholds are calibrated by language on those rows, a quarter by hash of their words, that do not train; tasks count
+their logits, in steps of 1 / `STEP`, and all are counted. The language is told from function words in the text itself,
+never from a column. Scores are moved so that each language's threshold is `THRESHOLD`, which keeps their order within
+a language. Texts are scored in Spark tasks, in blocks of words.
 
 Defined cases: null and empty texts, and texts without a word, are scored as a text of no words; without a row of label
 1 every score is 0, without one of label 0 it is 1; several labels for an id count as so many rows; null and repeated
 ids keep a row each; equal texts have equal scores; labels without a document are not used; an empty table gives no
-rows; other columns are ignored. Texts of any length are scored whole.
+rows; other columns are ignored. Texts of any length are learned from and scored whole.
 """
 
 from __future__ import annotations
 
-import hashlib
+import copy
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import U64, SpanHasher, crc_mod, mix64, slices
+from lumenframe.llm.common import U64, SpanHasher, crc_mod, discard, materialize, slices
 
-SAMPLE_ROWS = 4_000
-FIT_WORDS = 8_192
+#: Labelled rows of a shard, rounds over all of them, and passes of a shard over its rows in a round (more where all rows are few).
+SHARD_ROWS, ROUNDS, PASSES, MOST_PASSES = 4_096, 2, 2, 40
+#: Steps that training is to make one after the other, as far as passes allow, and rows of a step.
+STEPS, SIZE = 300, 64
+#: Labels, two numbers each, that are sent to the tasks; beyond, the join is by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Moves of weights are summed in units of 2**-20, logits counted in units of 1 / STEP.
+UNIT, STEP = float(1 << 20), 256
 THRESHOLD = 0.3
 BUCKETS, DIMENSIONS, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 #: Empty places after each text, so that no filter reaches into the next one; their embedding is 0.
@@ -178,40 +191,38 @@ class _Steps:
         self.value[rows] -= self.rate * sums / np.sqrt(self.seen[rows])
 
 
-def _log_odds(net: Net, texts: list[np.ndarray], y: np.ndarray) -> None:
-    """Start the first dimension of the tables with how much oftener texts of label 1 hold a word."""
+def log_odds(net: Net, held: np.ndarray, totals: np.ndarray) -> None:
+    """Start the first dimension of the tables with how much oftener texts of label 1 hold a word; held is (label, table, place)."""
     for k, table in enumerate(net.tables):
-        held = np.zeros((2, BUCKETS + 1))
-        for t, label in zip(texts, y, strict=True):
-            held[int(label)][np.unique(t[:, k])] += 1
-        sizes = [max(1, (y == c).sum()) for c in (0, 1)]
-        odds = np.log((held[1] + 0.5) / (sizes[1] + 1)) - np.log((held[0] + 0.5) / (sizes[0] + 1))
-        often = held.sum(axis=0) >= 3
-        table[:BUCKETS, 0] = (np.clip(odds, -4, 4) * often / 8)[:BUCKETS]
-
-
-def train(texts: list[np.ndarray], y: np.ndarray, steps: int = 600, size: int = 64, rate: float = 0.05, seed: int = 7) -> Net:
-    """The network after so many steps; a step takes as many texts of each label."""
-    net, rng = Net(seed), np.random.default_rng(seed)
-    if not (y == 1).any() or not (y == 0).any():
-        net.constant = 1.0 if (y == 1).any() else 0.0
-        return net
-    _log_odds(net, texts, y)
-    tables, filters, bias = ([_Steps(v, rate) for v in values] for values in (net.tables, net.filters, net.bias))
-    out, base = _Steps(net.out, rate), _Steps(net.base, rate)
-    by_label = [np.flatnonzero(y == c) for c in (0, 1)]
-    for _ in range(steps):
-        chosen = np.concatenate([rng.choice(c, min(size // 2, len(c)), replace=False) for c in by_label])
-        batch = Batch([texts[k] for k in chosen])
-        label = y[chosen].astype(np.float32)
-        weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())).astype(np.float32)
+        h = held[:, k]
+        odds = np.log((h[1] + 0.5) / (max(1, totals[1]) + 1)) - np.log((h[0] + 0.5) / (max(1, totals[0]) + 1))
+        table[:BUCKETS, 0] = np.clip(odds, -4, 4) * (h.sum(axis=0) >= 3) / 8
+
+
+class Trainer:
+    """A copy of a network, moved by Adagrad steps; what it moved by comes as rows of whole numbers."""
+
+    def __init__(self, net: Net, rate: float, seed: int):
+        self.begin, self.net, self.rng = net, copy.deepcopy(net), np.random.default_rng(seed)
+        self.tables, self.filters, self.bias = ([_Steps(v, rate) for v in values] for values in (self.net.tables, self.net.filters, self.net.bias))
+        self.out, self.base = _Steps(self.net.out, rate), _Steps(self.net.base, rate)
+
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, passes: int) -> None:
+        for _ in range(passes):
+            order = self.rng.permutation(len(y))
+            for chosen in np.array_split(order, max(1, round(len(y) / SIZE))):
+                if len(chosen):
+                    self.step(Batch([texts[k] for k in chosen]), y[chosen].astype(np.float32), weight[chosen].astype(np.float32) / len(chosen))
+
+    def step(self, batch: Batch, label: np.ndarray, weight: np.ndarray) -> None:
+        net = self.net
         best, where = net.pooled(batch, places=True)
         hidden = np.maximum(best, 0)
         p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.base[0], -30, 30)))
         wrong = (p - label) * weight
         back = (wrong[:, None] * net.out) * (best > 0)
-        out(hidden.T @ wrong)
-        base(np.array([wrong.sum()], dtype=np.float32))
+        self.out(hidden.T @ wrong)
+        self.base(np.array([wrong.sum()], dtype=np.float32))
         places, moves = [], []
         for k, f in enumerate(net.filters):
             own, at = back[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
@@ -221,13 +232,38 @@ def train(texts: list[np.ndarray], y: np.ndarray, steps: int = 600, size: int =
                 gradient[j] = np.einsum("tf,tfd->df", own, x)
                 places.append((at + j).ravel())
                 moves.append((own[:, :, None] * f[j].T[None]).reshape(-1, DIMENSIONS))
-            filters[k](gradient)
-            bias[k](own.sum(axis=0))
+            self.filters[k](gradient)
+            self.bias[k](own.sum(axis=0))
         ids, moves = batch.ids[np.concatenate(places)], np.concatenate(moves)
-        for k, t in enumerate(tables):
+        for k, t in enumerate(self.tables):
             t.rows(ids[:, k], moves)
-    net.freeze()
-    return net
+
+    def moved(self) -> pa.RecordBatch:
+        """(row, v0, v1, ...): the rows of the network's weights that moved, numbered as in weights_of."""
+        before, after = weights_of(self.begin), weights_of(self.net)
+        row = np.flatnonzero((before != after).any(axis=1))
+        delta = np.round((after[row].astype(np.float64) - before[row]) * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(delta[:, j]) for j in range(DIMENSIONS))], names=["row", *MOVES])
+
+
+MOVES = [f"v{j}" for j in range(DIMENSIONS)]
+
+
+def weights_of(net: Net) -> np.ndarray:
+    """All weights, in rows of DIMENSIONS: those of the tables, then all others one after the other."""
+    rest = np.concatenate([a.ravel() for a in (*net.filters, *net.bias, net.out, net.base)])
+    rest = np.pad(rest, (0, -len(rest) % DIMENSIONS)).reshape(-1, DIMENSIONS)
+    return np.concatenate([*net.tables, rest.astype(np.float32)])
+
+
+def set_weights(net: Net, weights: np.ndarray) -> None:
+    """The inverse of weights_of."""
+    for k in range(3):
+        net.tables[k][:] = weights[k * (BUCKETS + 1) : (k + 1) * (BUCKETS + 1)]
+    rest, at = weights[3 * (BUCKETS + 1) :].ravel(), 0
+    for a in (*net.filters, *net.bias, net.out, net.base):
+        a[...] = rest[at : at + a.size].reshape(a.shape)
+        at += a.size
 
 
 def best_cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -240,50 +276,112 @@ def best_cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
-def calibrate(net: Net, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: int = 20) -> None:
-    """Thresholds by language where there are `least` rows of either label, else the one of all rows together."""
-    if net.constant is not None or not (y == 1).any() or not (y == 0).any():
+def calibrate(net: Net, lang: np.ndarray, logit: np.ndarray, y: np.ndarray, n: np.ndarray, least: int = 20) -> None:
+    """Thresholds by language from n rows of each logit and label; one of all rows together where a label has under `least`."""
+    if not n[y == 1].sum() or not n[y == 0].sum():
         return
-    logit, lang = [], []
-    for at in range(0, len(texts), 256):
-        batch = Batch(texts[at : at + 256])
-        logit.append(net.logits(batch))
-        lang.append(batch.languages())
-    logit, lang = np.concatenate(logit), np.concatenate(lang)
-    net.cut[:] = best_cut(logit, y, weight)
+    net.cut[:] = best_cut(logit, y, n)
     for k in range(len(net.cut)):
         own = lang == k
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= least:
-            net.cut[k] = best_cut(logit[own], y[own], weight[own])
+        if min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= least:
+            net.cut[k] = best_cut(logit[own], y[own], n[own])
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            words = [hashed_words(t) for t in part.column(0).to_pylist()]
-            fits = pa.array([len(w) <= most for w in words])
-            kept = [w.astype("<i4").tobytes() for w in words if len(w) <= most]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), part.column(1).filter(fits)], names=["words", "label"])
+            words = [hashed_words(t).astype("<u2").tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.binary()), part.column("label")], names=["doc_id", "words", "label"])
+
+
+def _words(part: pa.RecordBatch) -> list[np.ndarray]:
+    """The hashed words of each row, at two bytes a place, since BUCKETS places have room in them."""
+    return [np.frombuffer(w, dtype="<u2").reshape(-1, 3) for w in part.column("words").to_pylist()]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, label, n): texts of a label that hold a word; places of the tables one after the other, then one for all texts."""
+    held = np.zeros((2, 3 * BUCKETS + 1), dtype=np.int64)
+    for batch in batches:
+        for part in slices(batch, column="words"):
+            for w, label in zip(_words(part), part.column("label").to_pylist(), strict=True):
+                held[label, np.unique(w + np.arange(3) * BUCKETS)] += 1
+                held[label, -1] += 1
+    label, place = np.nonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(label), pa.array(held[label, place])], names=["place", "label", "n"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fit_words: int = FIT_WORDS, label_col: str = "toxic", steps: int = 600) -> Net:
-    """A network from the labelled rows given: at most `sample_rows` of each label, whose hashed words reach the driver."""
+def _train_rows(batches: Iterator[pa.RecordBatch], net: Net, weights: np.ndarray, rate: float, passes: int) -> Iterator[pa.RecordBatch]:
+    """What each shard moves the network by. Rows come shard by shard."""
+    trainer, now = None, None
+    for batch in batches:
+        for part in slices(batch, rows=SHARD_ROWS, size=32 << 20, column="words"):
+            shard, words, y = part.column("shard").to_numpy(), _words(part), part.column("label").to_numpy()
+            for own in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                if shard[own[0]] != now:
+                    if trainer is not None:
+                        yield trainer.moved()
+                    now = shard[own[0]]
+                    trainer = Trainer(net, rate, int(now))
+                trainer.fit([words[k] for k in own], y[own], weights[y[own]], passes)
+    if trainer is not None:
+        yield trainer.moved()
+
+
+def _count_logits(batches: Iterator[pa.RecordBatch], net: Net) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, size=2 << 20, column="words"):
+            texts = Batch(_words(part))
+            steps = np.round(np.clip(net.logits(texts), -40, 40) * STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(texts.languages()), pa.array(steps), part.column("label")], names=["lang", "steps", "label"])
+
+
+def labelled_words(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> DataFrame:
+    """(shard, label, held_back, words) of all labelled documents, written with the rows of a shard together and in a fixed order."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    first = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
-    chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 x sample_rows pairs of numbers
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("text", "label")
-    made = found.mapInArrow(lambda b: _hash_rows(b, fit_words), "words binary, label int").toArrow()
-    # the same order whatever the order of arrival, and one that says nothing of the label
-    pairs = sorted(((hashlib.blake2b(w).digest(), w, y) for w, y in zip(made.column("words").to_pylist(), made.column("label").to_pylist(), strict=True)), key=lambda p: (p[0], p[2]))
-    texts, y = [np.frombuffer(w, dtype="<i4").reshape(-1, 3) for _, w, _ in pairs], np.array([p[2] for p in pairs], dtype=np.int64)
-    check = np.array([p[0][0] % 4 == 0 for p in pairs], dtype=bool)
-    pick = lambda mask: [t for t, m in zip(texts, mask, strict=True) if m]
-    net = train(pick(~check), y[~check], steps)
-    weight = np.array([totals.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)])[y] if len(y) else np.zeros(0)
-    if (y[check] == 1).sum() < 20 or (y[check] == 0).sum() < 20:  # too few rows to hold some back
-        check = np.ones(len(y), dtype=bool)
-    calibrate(net, pick(check), y[check], weight[check])
+    few = rows.count() <= BROADCAST_ROWS
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows) if few else rows, "doc_id")
+    shards = max(1, -(-found.count() // SHARD_ROWS))
+    made = found.mapInArrow(_hash_rows, "doc_id long, words binary, label int").withColumn("key", F.xxhash64("doc_id", "words"))
+    made = made.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "label")
+    return materialize(made.select("shard", "label", (F.pmod(F.xxhash64("words"), F.lit(4)) == 0).alias("held_back"), "words"), "toxicity-words")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rounds: int = ROUNDS, rate: float = 0.05) -> Net:
+    """A network learned from all labelled rows given."""
+    rows = labelled_words(docs, labels, label_col)
+    net = Net()
+    totals = {(r["held_back"], r["label"]): r["n"] for r in rows.groupBy("held_back", "label").agg(F.count("*").alias("n")).collect()}
+    if min(totals.get((True, c), 0) for c in (0, 1)) >= 20:
+        training, calibrating = rows.where("not held_back"), rows.where("held_back")
+    else:  # too few rows to hold some back
+        training = calibrating = rows
+        totals |= {(False, c): totals.get((False, c), 0) + totals.get((True, c), 0) for c in (0, 1)}
+    totals = np.array([totals.get((False, c), 0) for c in (0, 1)])
+    if not totals.all():
+        net.constant = float(totals[1] > 0)
+        discard(rows)
+        return net
+    found = training.select("label", "words").mapInArrow(_count_words, "place long, label long, n long").groupBy("place", "label").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros((2, 3 * BUCKETS + 1), dtype=np.int64)
+    held[found.column("label").to_numpy(), found.column("place").to_numpy()] = found.column("n").to_numpy()
+    log_odds(net, held[:, :-1].reshape(2, 3, BUCKETS), held[:, -1])
+    weights = totals.sum() / (2 * totals)
+    passes = int(np.clip(-(-STEPS * SIZE // (totals.sum() * rounds)), PASSES, MOST_PASSES))
+    for k in range(rounds):
+        work = partial(_train_rows, net=net, weights=weights, rate=rate / (1 + k), passes=passes)
+        moves = training.select("shard", "label", "words").mapInArrow(work, "row long, " + ", ".join(f"{v} long" for v in MOVES))
+        moves = moves.groupBy("row").agg(F.count("*").alias("n"), *(F.sum(v).alias(v) for v in MOVES)).toArrow()
+        row, n = moves.column("row").to_numpy(), moves.column("n").to_numpy()
+        mean = np.stack([moves.column(v).to_numpy() / n for v in MOVES], axis=1)
+        weight = weights_of(net)
+        weight[row] += np.round(mean) / UNIT
+        set_weights(net, weight)
+    net.freeze()
+    found = calibrating.select("label", "words").mapInArrow(partial(_count_logits, net=net), "lang long, steps long, label int").groupBy("lang", "steps", "label").agg(F.count("*").alias("n"))
+    found = {c: v.to_numpy() for c, v in zip(("lang", "steps", "label", "n"), found.orderBy("lang", "steps", "label").toArrow().columns, strict=True)}
+    calibrate(net, found["lang"], found["steps"] / STEP, found["label"], found["n"])
+    discard(rows)
     return net
 
 

@@ -242,6 +242,30 @@ def test_toxicity_without_labels(make, spark):
     assert toxicity.toxicity(make(["a"]).limit(0), none).count() == 0
 
 
+def test_toxicity_learns_from_long_texts(make, spark):
+    rng = random.Random(4)
+    text = lambda bad: " ".join(rng.choices(GOOD["en"].split(), k=8_500 if bad else 40) + ["moron"] * bad)
+    toxic = [k % 3 == 0 for k in range(150)]
+    docs = make([text(t) for t in toxic] + ["the moron", "the house"])
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert [got[k] for k in range(152)] == [int(t) for t in toxic] + [1, 0]
+
+
+def test_toxicity_learns_from_all_rows(make, spark, sample, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    texts, _, toxic = sample
+    labels = spark.createDataFrame([(k, t) for k, t in enumerate(toxic)] + [(10**7, 1), (7, 1 - toxic[7])], "doc_id long, toxic int")
+    rows = toxicity.labelled_words(make(texts), labels).collect()
+    assert sorted((r["words"], r["label"]) for r in rows) == sorted((toxicity.hashed_words(t).astype("<u2").tobytes(), y) for t, y in [*zip(texts, toxic), (texts[7], 1 - toxic[7])])
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(sizes) == 8 and max(sizes.values()) < 300
+    nets = [toxicity.fit_toxicity(make(texts).repartition(n), labels) for n in (1, 5)]
+    assert np.array_equal(*(toxicity.weights_of(net) for net in nets)) and np.array_equal(*(net.cut for net in nets))
+    batch = toxicity.Batch([toxicity.hashed_words(t) for t in texts])
+    assert np.mean((nets[0].score(batch) >= toxicity.THRESHOLD) == np.array(toxic)) > 0.97
+
+
 def test_pooling_is_that_of_a_plain_convolution(monkeypatch):
     rng = np.random.default_rng(2)
     net = toxicity.Net()
