@@ -2,10 +2,13 @@
 
 Lines are cut into EDITS + 1 segments of nearly equal length. If two lines are within EDITS edits, one of the segments
 of the shorter occurs in the longer, at a place that the lengths and the number of edits left on either side confine
-to a few offsets. Segments are indexed under (length, number, content); each line probes the index for its own and the
-next shorter lengths. A line of EDITS characters or fewer has empty segments; it is indexed
-under its characters instead, since a longer line within EDITS edits of it keeps one of them. Matches whose numbers of
-letters differ by more than the edits allow are passed over in the join. Candidates are stripped of what they share at both ends and verified with a banded bit-parallel edit
+to a few offsets. Lines of 16 characters and more are cut like the least of a range of lengths, so that a line mostly
+looks for the segments of its own and the next shorter lengths at once: the first keeps its place from the start, the
+last from the end, those between have a few offsets. Segments are indexed under (least length, number, content), keys are
+made once a line and written with it. A line of EDITS characters or fewer has empty segments; it is indexed
+under its characters instead, since a longer line within EDITS edits of it keeps one of them. Lines that
+meet under a key and are near in length are listed; then letters are counted in them only, and pairs whose numbers of
+letters differ by more than the edits allow are passed over. Candidates are stripped of what they share at both ends and verified with a banded bit-parallel edit
 distance: a column of the band is one integer of bits, renewed with a few bit operations per character.
 
 A key with more than CROWD indexed lines is crowded. Its lines are dealt to blocks, and pairs are counted and joined inside
@@ -47,12 +50,12 @@ MET = 100_000
 BROADCAST_IDS = 500_000
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 0): the last `length % (edits + 1)` segments are one longer."""
-    parts = edits + 1
-    base, extra = F.floor(length / parts), length % parts
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - extra))
-    return (base * i + longer + 1).cast("int"), (base + (F.lit(i) >= F.lit(parts) - extra).cast("int")).cast("int")
+def _least_length(n: Column, edits: int) -> Column:
+    """Least length of the lines that are cut like one of n characters; longer lines are cut alike in wider ranges."""
+    width = F.when(n < max(16, 2 * (edits + 1)), 1)
+    for least in (32, 64, 128, 256, 512):
+        width = width.when(n < least, least // 16)
+    return n.bitwiseAND(-width.otherwise(64))
 
 
 def probe_offsets(edits: int) -> list[tuple[int, int, int]]:
@@ -68,9 +71,14 @@ def probe_offsets(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def _key(line: Column, length: Column, i: int, shift: int, edits: int) -> Column:
-    start, size = _segment(length, i, edits)
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + shift, size))
+def _key(line: Column, n: Column, least: Column, i: int, shift: int, edits: int) -> Column:
+    """Key of what a line of n characters has, by an offset from its place, for segment i of lines cut like those of `least` characters.
+
+    Segments have one size; the last but one takes what this leaves of `least`, and the last ends the line.
+    """
+    size = (least / (edits + 1)).cast("int")
+    start = n - size + 1 if i == edits else size * i + 1 + shift
+    return F.xxhash64(least, F.lit(i), F.substring(line, start, least - size * edits if i == edits - 1 else size))
 
 
 def _common(a: str, b: str, n: str) -> str:
@@ -171,28 +179,46 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def _index_keys(line: Column, n: Column, edits: int) -> Column:
     """Keys that a line is found under: its segments, or the characters of a line that has fewer characters than segments."""
-    segments = F.array(*(_key(line, n, i, 0, edits) for i in range(edits + 1)))
+    segments = F.array(*(_key(line, n, _least_length(n, edits), i, 0, edits) for i in range(edits + 1)))
     return F.when(n > edits, segments).otherwise(_character_keys(line, n))
 
 
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys under which a line looks for those of its own and the next shorter lengths."""
-    keys = lambda known: F.array(*(F.when(known(gap), _key(line, n - gap, i, shift, edits)) if known else _key(line, n - gap, i, shift, edits) for gap, i, shift in probe_offsets(edits)))
-    tiny = F.concat(*(F.when((n > edits) & (n - m <= edits), _character_keys(line, F.lit(m))).otherwise(F.array().cast("array<bigint>")) for m in range(1, edits + 1)))
-    short = F.concat(F.filter(keys(lambda gap: n - gap > edits), lambda k: k.isNotNull()), tiny)
-    return F.when(n > 2 * edits, keys(None)).otherwise(short)
+def _further_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys under which a line of more than `edits` characters looks, beside its own, for lines of its own and the next shorter lengths; some are null.
+
+    Lengths that are cut alike share their keys: an offset of any of them is looked for once.
+    """
+    keys = []
+    for gap in range(edits + 1):
+        least = _least_length(n - gap, edits)
+        # a segment at the end stays there, whatever the offset
+        places = {(i, 0 if i == edits else shift) for further, i, shift in probe_offsets(edits) if further >= gap}
+        for i, shift in sorted(places - {(i, 0) for i in range(edits + 1)} if gap == 0 else places):
+            key = _key(line, n, least, i, shift, edits)
+            keys.append(key if gap == 0 else F.when((least != _least_length(n - gap + 1, edits)) & (n - gap > edits), key))
+    keys = F.array(*keys) if keys else F.array().cast("array<bigint>")
+    tiny = (F.when(n - m <= edits, _character_keys(line, F.lit(m))).otherwise(F.array().cast("array<bigint>")) for m in range(1, edits + 1))
+    return F.when(n > 2 * edits, keys).when(n > edits, F.concat(keys, *tiny)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _character_keys(line: Column, n: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(F.split(line, ""), lambda c: c != "")), lambda c: F.xxhash64(n, F.lit(-1), c))
 
 
-def _found_under(sized: DataFrame, edits: int) -> DataFrame:
-    return sized.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+def keyed_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Distinct lines (line) with hash, length n, the keys they are found under and the others that they look under."""
+    line, n = F.col("line"), F.col("n")
+    keyed = lines.select("line", F.xxhash64("line").alias("hash"), F.length("line").alias("n"))
+    return keyed.select("line", "hash", "n", _index_keys(line, n, edits).alias("under"), _further_keys(line, n, edits).alias("further"))
+
+
+def _found_under(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("id").alias("b"), F.col("n").alias("y"), F.explode("under").alias("key"))
 
 
-def _looking_under(sized: DataFrame, edits: int) -> DataFrame:
-    return sized.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+def _looking_under(lines: DataFrame, edits: int) -> DataFrame:
+    rows = lines.where(F.col("n") > edits).select(F.col("id").alias("a"), F.col("n").alias("x"), F.explode(F.concat("under", "further")).alias("key"))
+    return rows.where("key IS NOT NULL")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -201,48 +227,48 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, edits: int = EDITS, crowded: DataFrame | None = None) -> DataFrame:
-    """(a, b, distance) for each pair of distinct lines (id, line, counts: their letter_counts) within `edits` edits; a has no fewer characters.
+    """(a, b, distance) for each pair of distinct lines (id, and columns of keyed_lines) within `edits` edits; a has no fewer characters.
 
     Pairs in which neither line has more than `edits` characters are all within `edits` edits and not listed, nor are
     those that share crowded keys only.
     """
-    sized = lines.withColumn("n", F.length("line"))
-    index, probes = _found_under(sized, edits), _looking_under(sized, edits)
+    index, probes = _found_under(lines), _looking_under(lines, edits)
     if crowded is not None:
         index = index.join(_bounded(crowded.select("key")), "key", "left_anti")
-    # equal lengths probe each other: one direction is enough, and more than one segment may match
-    candidates = materialize(probes.join(index, (probes["key"] == index["key"]) & (probes["a"] != index["b"]) & near_counts(probes["x"], index["y"], edits)).select("a", "b").distinct(), "line-pairs")
-    ids = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    texts = materialize(lines.select("id", "line").join(_bounded(ids), "id", "left_semi"), "line-texts")
+    # few lines share a key: the index is hashed, and letters are counted only in lines that have met another
+    met = probes.join(index.hint("shuffle_hash"), "key").where(F.expr(f"x - y BETWEEN 0 AND {edits} AND (x > y OR a < b)"))
+    met = materialize(met.select("a", "b").distinct(), "line-pairs")
+    ids = materialize(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    texts = materialize(lines.select("id", "line").join(_bounded(ids), "id", "left_semi").withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    counts = texts.select("id", "counts")
+    near = met.join(counts.toDF("a", "x"), "a").join(counts.toDF("b", "y"), "b").where(near_counts(F.col("x"), F.col("y"), edits))
+    candidates = materialize(near.select("a", "b"), "line-candidates")
     both = candidates.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where("length(x) > length(y) OR (length(x) = length(y) AND a < b)")
     both = _once(both, "a", "b", "x", "y", f"{_common('x', 'y', 'length(y)')} AS p")
     both = _once(both, "a", "b", "substring(x, p + 1) AS x", "substring(y, p + 1) AS y", "reverse(substring(x, p + 1)) AS rx", "reverse(substring(y, p + 1)) AS ry")
     both = _once(both, "a", "b", "x", "y", f"{_common('rx', 'ry', 'length(y)')} AS q")
     both = _once(both, "a", "b", *(f"{characters(f'substring({c}, 1, length({c}) - q)', edits)} AS {c}" for c in "xy"))
     links = materialize(both.select("a", "b", F.expr(banded_distance("x", "y", edits)).cast("int").alias("distance")).where(F.col("distance") <= edits), "line-links")
-    discard(candidates, ids, texts)
+    discard(met, ids, texts, candidates)
     return links
 
 
-def crowded_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def crowded_keys(lines: DataFrame) -> DataFrame:
     """(key, held): keys under which more than CROWD lines are found."""
-    sized = lines.withColumn("n", F.length("line"))
-    return materialize(_found_under(sized, edits).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > CROWD), "crowded-keys")
+    return materialize(_found_under(lines).groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > CROWD), "crowded-keys")
 
 
 def crowded_links(lines: DataFrame, crowded: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, n, low): of the links that similar_lines leaves to crowded keys, those that a line has within two blocks, and the least line they connect it to."""
-    sized = lines.withColumn("n", F.length("line"))
     keys = _bounded(crowded.select("key"))
-    held = materialize(_found_under(sized, edits).join(keys, "key", "left_semi").select("key", F.col("b").alias("id")), "crowded-held")
-    asking = materialize(_looking_under(sized, edits).join(keys, "key", "left_semi").select("key", F.col("a").alias("id")).distinct(), "crowded-asking")
+    held = materialize(_found_under(lines).join(keys, "key", "left_semi").select("key", F.col("b").alias("id")), "crowded-held")
+    asking = materialize(_looking_under(lines, edits).join(keys, "key", "left_semi").select("key", F.col("a").alias("id")).distinct(), "crowded-asking")
     own = asking.groupBy("id").agg(F.collect_set("key").alias("hot"))  # at most one for each probe of a line
     ids = materialize(held.select("id").unionByName(asking.select("id")).distinct(), "crowded-ids")
-    facts = sized.join(_bounded(ids), "id", "left_semi").join(own, "id", "left")
-    probes = _probe_keys(F.col("line"), F.col("n"), edits)
+    facts = lines.join(_bounded(ids), "id", "left_semi").join(own, "id", "left")
+    probes = F.filter(F.concat("under", "further"), lambda k: k.isNotNull())
     hot = F.coalesce("hot", F.array().cast("array<bigint>"))
-    facts = facts.select("id", F.struct("id", "line", "n", "counts", hot.alias("hot"), F.array_except(probes, hot).alias("cold"), _index_keys(F.col("line"), F.col("n"), edits).alias("under")).alias("member"))
+    facts = facts.select("id", F.struct("id", "line", "n", letter_counts(F.col("line")).alias("counts"), hot.alias("hot"), F.array_except(probes, hot).alias("cold"), "under").alias("member"))
     facts = materialize(facts, "crowded-lines")
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -252,7 +278,7 @@ def crowded_links(lines: DataFrame, crowded: DataFrame, edits: int = EDITS) -> D
 
     both = blocks(asking, "xs").join(blocks(held, "ys"), "key")
     linked = (
-        f"x.id <> y.id AND (x.n > y.n OR (x.n = y.n AND x.id < y.id)) AND {near_counts_sql('x.counts', 'y.counts', edits)}"
+        f"x.id <> y.id AND (x.n > y.n OR (x.n = y.n AND x.id < y.id)) AND x.n - y.n <= {edits} AND {near_counts_sql('x.counts', 'y.counts', edits)}"
         " AND key = array_min(array_intersect(x.hot, y.under)) AND NOT arrays_overlap(x.cold, y.under)"
         f" AND {line_distance('x.line', 'y.line', edits)} <= {edits}"
     )
@@ -268,10 +294,10 @@ def crowded_links(lines: DataFrame, crowded: DataFrame, edits: int = EDITS) -> D
     return out
 
 
-def _distinct_ids(distinct: DataFrame) -> Column:
-    """The id of a line, unique among these lines: those whose hashes meet are hashed again with a number."""
+def _distinct_ids(distinct: DataFrame, hashed: Column | None = None) -> Column:
+    """The id of a line, unique among these lines: those whose hashes (column `hashed` if known) meet are hashed again with a number."""
     line, salt = F.col("line"), 0
-    out = F.xxhash64(line)
+    out = F.xxhash64(line) if hashed is None else hashed
     while met := [r["id"] for r in distinct.select(out.alias("id")).groupBy("id").count().where("count > 1").limit(MET + 1).collect()]:
         if len(met) > MET:
             raise RuntimeError("line hashes meet far more often than by chance")
@@ -284,11 +310,11 @@ def _placed_lines(docs: DataFrame, edits: int, min_chars: int, near_chars: int,
     """line_classes, and with each line its text_key."""
     lines = line_rows(docs, id_col, text_col)
     long = F.length("line") >= min_chars
-    distinct = materialize(lines.where(long).select("line").distinct().select("line", letter_counts(F.col("line")).alias("counts")), "lines")
-    line_id = _distinct_ids(distinct)
-    nodes = distinct.select(line_id.alias("id"), "line", "counts")
-    placed = materialize(lines.select("doc_id", "text_key", "line_no", F.when(long, line_id).alias("id"), (F.length("line") < near_chars).alias("short")), "line-places")
-    crowded = crowded_keys(nodes, edits)
+    distinct = materialize(keyed_lines(lines.where(long).select("line").distinct(), edits), "lines")
+    line_id = _distinct_ids(distinct, F.col("hash"))
+    nodes = distinct.select(line_id.alias("id"), "line", "n", "under", "further")
+    placed = materialize(lines.withColumn("hash", F.xxhash64("line")).select("doc_id", "text_key", "line_no", F.when(long, line_id).alias("id"), (F.length("line") < near_chars).alias("short")), "line-places")
+    crowded = crowded_keys(nodes)
     links = similar_lines(nodes, edits, crowded)
     within = crowded_links(nodes, crowded, edits)
     # lines of `edits` characters or fewer are one class: each is tied to the least of them, and counts all others as links

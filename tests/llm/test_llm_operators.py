@@ -270,6 +270,34 @@ def test_line_classes(make, crowd, monkeypatch):
     assert line_dedup.line_classes(make(docs).limit(0)).count() == 0
 
 
+def test_lines_look_under_few_keys_and_meet_where_cuts_change(spark):
+    rng, pairs = random.Random(3), []
+    lengths = [n for at in (16, 32, 64, 128, 256, 512, 576) for n in range(at - 2, at + 4)] + [100, 300, 700]
+    for n in lengths:
+        for kinds in ("s", "ss", "i", "ii", "is", "si"):
+            a = "".join(rng.choice("abcdefgé") for _ in range(n))
+            b = list(a)
+            for kind in kinds:
+                at = rng.randrange(len(b))
+                b[at : at + (kind == "s")] = "x"
+            pairs.append((a, "".join(b)))
+        middle = a[: n // 6] + "x" + a[n // 6 : n - 2] + a[n - 1 :]  # the same length, and only the middle stays
+        pairs.append((a[::-1], middle[::-1]))
+    lines = sorted({line for pair in pairs for line in pair})
+    keys = {r["line"]: r for r in line_dedup.keyed_lines(spark.createDataFrame([(line,) for line in lines], "line string")).collect()}
+    under = {line: set(r["under"]) for line, r in keys.items()}
+    asked = {line: under[line] | {k for k in r["further"] if k is not None} for line, r in keys.items()}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            assert len(x) < len(y) or asked[x] & under[y], (len(x), len(y))
+    # with each length by itself all of them looked under 12
+    assert max(len(k) for line, k in asked.items() if len(line) > 16) <= 9 and all(len(asked[line]) <= 5 for line in lines if len(line) in (100, 300))
+    nodes = line_dedup.keyed_lines(spark.createDataFrame([(line,) for line in lines], "line string")).withColumnRenamed("hash", "id").localCheckpoint()
+    linked = {frozenset((r["a"], r["b"])) for r in line_dedup.similar_lines(nodes).collect()}
+    ids = {r["line"]: r["id"] for r in nodes.select("line", "id").collect()}
+    assert linked >= {frozenset((ids[a], ids[b])) for a, b in pairs}
+
+
 def test_line_ids_that_meet(spark, monkeypatch):
     lines = spark.createDataFrame([(f"line {k}",) for k in range(50)], "line string")
     plain = line_dedup.F.xxhash64
