@@ -46,8 +46,10 @@ NEAR_CHARS = 20
 CROWD, BLOCK = 128, 128
 #: Hashes that meet by chance and are known to the driver at once: 10 ** 12 lines have some 27000 such pairs.
 MET = 100_000
-#: Candidate lines whose ids are sent to the tasks (8 bytes each); beyond, the join is by shuffle.
+#: Candidate lines whose ids are sent to the tasks (8 bytes each); beyond, a bit map of them is, and the join of the lines it marks is by shuffle.
 BROADCAST_IDS = 500_000
+#: Bits of that map (8 MiB, whatever the number of ids).
+BITS = 1 << 26
 
 
 def _least_length(n: Column, edits: int) -> Column:
@@ -172,8 +174,8 @@ def _once(df: DataFrame, *columns: str) -> DataFrame:
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, line_no, line): lines between line feeds, trimmed; text_key tells apart different texts of one id."""
     text = whole = F.coalesce(F.col(text_col), F.lit(""))
-    for blank in "\t\r":  # searches of bytes, where translate() looks up each character
-        text = F.replace(text, F.lit(blank), F.lit(" "))
+    for blank in "\t\r":  # searches of bytes, where translate() looks up each character; most texts have neither
+        text = F.when(F.contains(text, F.lit(blank)), F.replace(text, F.lit(blank), F.lit(" "))).otherwise(text)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
@@ -226,6 +228,23 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _marked(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines whose place in a bit map of all ids is marked: those with one of the ids, and a few others."""
+    slot = F.pmod(F.col("id"), F.lit(BITS))
+    bucket, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot).cast("int")
+    marks = ids.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    byte = "CAST(conv(hex(substring(__bits, __bit DIV 8 + 1, 1)), 16, 10) AS INT)"
+    placed = lines.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(marks), "__bucket")
+    return placed.where(f"(shiftright({byte}, __bit % 8) & 1) = 1").select(lines.columns)
+
+
+def _lines_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines with one of these ids, which are distinct."""
+    if ids.count() <= BROADCAST_IDS:
+        return lines.join(F.broadcast(ids), "id")
+    return _marked(lines, ids).join(ids, "id")
+
+
 def similar_lines(lines: DataFrame, edits: int = EDITS, crowded: DataFrame | None = None) -> DataFrame:
     """(a, b, distance) for each pair of distinct lines (id, and columns of keyed_lines) within `edits` edits; a has no fewer characters.
 
@@ -239,7 +258,7 @@ def similar_lines(lines: DataFrame, edits: int = EDITS, crowded: DataFrame | Non
     met = probes.join(index.hint("shuffle_hash"), "key").where(F.expr(f"x - y BETWEEN 0 AND {edits} AND (x > y OR a < b)"))
     met = materialize(met.select("a", "b").distinct(), "line-pairs")
     ids = materialize(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    texts = materialize(lines.select("id", "line").join(_bounded(ids), "id", "left_semi").withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    texts = materialize(_lines_of(lines.select("id", "line"), ids).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
     counts = texts.select("id", "counts")
     near = met.join(counts.toDF("a", "x"), "a").join(counts.toDF("b", "y"), "b").where(near_counts(F.col("x"), F.col("y"), edits))
     candidates = materialize(near.select("a", "b"), "line-candidates")
@@ -265,7 +284,7 @@ def crowded_links(lines: DataFrame, crowded: DataFrame, edits: int = EDITS) -> D
     asking = materialize(_looking_under(lines, edits).join(keys, "key", "left_semi").select("key", F.col("a").alias("id")).distinct(), "crowded-asking")
     own = asking.groupBy("id").agg(F.collect_set("key").alias("hot"))  # at most one for each probe of a line
     ids = materialize(held.select("id").unionByName(asking.select("id")).distinct(), "crowded-ids")
-    facts = lines.join(_bounded(ids), "id", "left_semi").join(own, "id", "left")
+    facts = _lines_of(lines, ids).join(own, "id", "left")
     probes = F.filter(F.concat("under", "further"), lambda k: k.isNotNull())
     hot = F.coalesce("hot", F.array().cast("array<bigint>"))
     facts = facts.select("id", F.struct("id", "line", "n", letter_counts(F.col("line")).alias("counts"), hot.alias("hot"), F.array_except(probes, hot).alias("cold"), "under").alias("member"))
@@ -318,7 +337,7 @@ def _placed_lines(docs: DataFrame, edits: int, min_chars: int, near_chars: int,
     links = similar_lines(nodes, edits, crowded)
     within = crowded_links(nodes, crowded, edits)
     # lines of `edits` characters or fewer are one class: each is tied to the least of them, and counts all others as links
-    tiny = materialize(nodes.where(F.length("line") <= edits).select("id"), "tiny-lines")
+    tiny = materialize(nodes.where(F.col("n") <= edits).select("id"), "tiny-lines")
     least = tiny.agg(F.min("id").alias("b"), F.count("*").alias("n_tiny"))
     ties = tiny.select(F.col("id").alias("a")).crossJoin(F.broadcast(least))  # with one row
     one = F.lit(1).cast("long").alias("n")
@@ -329,9 +348,12 @@ def _placed_lines(docs: DataFrame, edits: int, min_chars: int, near_chars: int,
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line_no")
     with_id = placed.where("id IS NOT NULL")
     known = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("low")).join(component, "id", "left").join(ends, "id", "left")
-    known = materialize(known.select("id", "n", F.col("low").alias("own"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-nodes")
-    classes = known.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("own").alias("low"))
-    known = materialize(known.select("id", "own", "class_id", "n_links").join(classes, "class_id"), "line-classes")
+    known = materialize(known.select("id", "n", F.col("low").alias("own"), F.col("component").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-nodes")
+    # most lines are alone in their class
+    alone = known.where("class_id IS NULL").select("id", "own", F.col("id").alias("class_id"), "n_links", F.col("n").alias("class_size"), F.col("own").alias("low"))
+    tied = known.where("class_id IS NOT NULL")
+    classes = tied.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("own").alias("low"))
+    known = alone.unionByName(tied.select("id", "own", "class_id", "n_links").join(classes, "class_id"))
     discard(distinct, crowded, links, within, tiny, component)
     with_class = with_id.join(known, "id").select(
         "doc_id", "text_key", "line_no", F.col("id").alias("line_id"), "class_id", "class_size", "n_links",

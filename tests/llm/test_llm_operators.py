@@ -298,6 +298,22 @@ def test_lines_look_under_few_keys_and_meet_where_cuts_change(spark):
     assert linked >= {frozenset((ids[a], ids[b])) for a, b in pairs}
 
 
+def test_only_marked_lines_are_shuffled(make, spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd é𝄞") for _ in range(n)).strip() for n in (3, 5, 17, 19, 40, 64, 129, 600) for _ in range(6)]
+    texts += [mutate(rng, text, 2) for text in texts] + ["tabs\tand\r", "tabs and"]
+    nodes = line_dedup.keyed_lines(spark.createDataFrame([(x,) for x in sorted(set(texts))], "line string")).withColumnRenamed("hash", "id").localCheckpoint()
+    ids = nodes.select("id").where("id % 8 = 0").localCheckpoint()
+    many = nodes.select("id", "line").unionByName(spark.range(20000).select(F.xxhash64("id").alias("id"), F.lit("x").alias("line")))
+    marked = [r["id"] for r in line_dedup._marked(many, ids).collect()]
+    assert {r["id"] for r in ids.collect()} <= set(marked) and len(marked) < ids.count() + 50
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    monkeypatch.setattr(line_dedup, "CROWD", 8)
+    plain = rows(line_dedup.line_classes(make(texts)))
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 0)
+    assert rows(line_dedup.line_classes(make(texts))) == plain
+
+
 def test_line_ids_that_meet(spark, monkeypatch):
     lines = spark.createDataFrame([(f"line {k}",) for k in range(50)], "line string")
     plain = line_dedup.F.xxhash64
