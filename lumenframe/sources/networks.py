@@ -7,10 +7,12 @@ import re
 from pathlib import PurePosixPath
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.network import NODES, Layer, Network, build
+from lumenframe.session import ship
+from lumenframe.storage import materialize
 
 EDGES = "src string, dst string, src_layer string, dst_layer string, layer_id int, edge_order int, weight double"
 READABLE = {"ini": "sections", "txt": "sections", "gml": "graph", "graphml": "graph", "xml": "graph", "dot": "graph", "bundle": "parquet"}
@@ -193,19 +195,92 @@ def read_gml(spark: SparkSession, path: str) -> Network:
     return _assembled(name, named.drop("number"), edges.drop("s", "t"))
 
 
-def read_graphml(spark: SparkSession, path: str) -> Network:
-    """Elements are read in parallel: a record of the text ends at a closing tag, so files are split within and may come in parts."""
+_START = re.compile(r"""<(node|edge)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_END = {tag: re.compile(rf"</{tag}\s*>|<(?:node|edge)\b") for tag in ("node", "edge")}
+_BORDER = re.compile(r"</(?:node|edge)\s*>|<(?:node|edge)\b")
+
+
+def _find_elements(batches):
+    """Nodes and edges of each split of a file, whose rows are what stands between opening brackets; of a split also what precedes its first element and an element that does not end in it."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out: list[tuple] = []
+    split, head, closed, carry, n = None, [], False, "", 0
+
+    def leftover():
+        if split:
+            out.append(("head", "".join(head), *split, 0))
+            if closed:
+                out.append(("tail", carry, *split, n))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, starts = batch.column("file"), batch.column("start").to_numpy()
+        names = files.dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(starts) != 0) | (np.diff(names) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            values = batch.column("value").slice(a, b - a)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), values), "<")[0].as_py()
+            here = (files[a].as_py(), int(starts[a]))
+            if here != split:
+                leftover()
+                split, head, closed, carry, n = here, [], False, "", 0
+                text = "<" + text if here[1] else text  # the rows of a later split follow a bracket
+            else:
+                text = "<" + text
+            if not closed:
+                border = _BORDER.search(text)
+                head.append(text[: border.start()] if border else text)
+                if not border:
+                    continue
+                closed, text = True, text[border.start() :]
+            text, carry, at = carry + text, "", 0
+            while m := _START.search(text, at):
+                at = m.end()
+                if not m[2].endswith("/"):
+                    end = _END[m[1]].search(text, at)
+                    if not end:
+                        carry = text[m.start() :]
+                        break
+                    at = end.start()
+                out.append((m[1], text[m.start() : at], *split, n))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND)] if out else [pa.array([], t) for t in _FOUND], ["kind", "e", "file", "start", "n"])
+        out = []
+    leftover()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND)], ["kind", "e", "file", "start", "n"])
+
+
+_FOUND = ("string", "string", "string", "int64", "int64")
+
+
+def _graphml_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, e, place): the nodes and edges of GraphML files, each from its opening tag to its end or to the next element."""
+    ship(spark)
+    records = spark.read.option("lineSep", "<").text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    found = materialize(records.mapInArrow(_find_elements, "kind string, e string, file string, start long, n long"), "graphml")
+    # an element that goes on in the next split: what begins it there, and what precedes the first element of those that follow
+    ordered = Window.partitionBy("file").orderBy("start", "n", F.col("kind") == "tail")
+    parts = found.where("kind IN ('head', 'tail')").withColumn("group", F.sum((F.col("kind") == "tail").cast("int")).over(ordered))
+    parts = parts.groupBy("file", "group").agg(F.array_sort(F.collect_list(F.struct("start", "n", (F.col("kind") == "tail").alias("tail"), "e"))).alias("parts"))
+    mended = parts.select(F.array_join("parts.e", "").alias("e"), "file", F.col("parts")[0]["start"].alias("start"), F.col("parts")[0]["n"].alias("n"))
+    mended = mended.select(F.regexp_extract("e", r"^<(node|edge)\b", 1).alias("kind"), "e", "file", "start", "n")
+    both = found.where("kind IN ('node', 'edge')").unionByName(mended.where("kind <> ''"))
+    return both.select("kind", "e", F.struct("file", "start", "n").alias("place"))
 
-    def elements(tag: str) -> DataFrame:
-        records = spark.read.option("lineSep", f"</{tag}>").text(path).select("value", _place().alias("place"))
-        one = rf"(?s)(<{tag}\b[^>]*/>|<{tag}\b[^>]*[^/>]>.*$)"  # closed in itself, or the last one of the record
-        return records.select(F.posexplode(F.regexp_extract_all("value", F.lit(one), 1)).alias("n", "e"), "place").select("e", F.struct("place.file", "place.start", "place.row", "n").alias("place"))
 
+def read_graphml(spark: SparkSession, path: str) -> Network:
+    """Elements are read in parallel: files are split within, may come in parts, and a row of the text holds one tag, however nodes and edges follow each other."""
+    found = _graphml_elements(spark, path)
     given = lambda n: _unescaped(F.regexp_extract("e", rf"""^<\w+\b[^>]*?\s{n}=["']([^"']*)""", 1))
     of = lambda n: F.nullif(_unescaped(F.regexp_extract("e", rf"""<data\s+key=["']{n}["'][^>]*>([^<]*)<""", 1)), F.lit(""))
     packed = F.coalesce(of("params"), F.lit(""))
-    nodes = elements("node").select(given("id").alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
-    edges = elements("edge").select(given("source").alias("src"), given("target").alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
+    nodes = found.where("kind = 'node'").select(given("id").alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
+    edges = found.where("kind = 'edge'").select(given("source").alias("src"), given("target").alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
     return _assembled(PurePosixPath(path).stem, nodes, edges)
 
 

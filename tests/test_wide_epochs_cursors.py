@@ -201,3 +201,23 @@ def test_large_networks_are_written_in_parts(spark, tmp_path):
             assert back.nodes.count() == back.edges.count() == 500 and (kind == "graphml" or back.name == "big")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_graphml_rows_stay_small_and_elements_go_on_in_the_next_split(spark, tmp_path):
+    nodes = "".join(f'<node id="n{k}"><data key="layer">x{k}</data></node>' for k in range(3000))
+    edges = "".join(f'<edge source="n{k}" target="n0"><data key="weight">{k}</data></edge>' if k % 2 else f'<edge source="n{k}" target="n>0"/>' for k in range(3000))
+    path = tmp_path / "g.graphml"
+    path.write_text(f'<graphml><graph id="q">{nodes}<node id="big"><data key="layer">{"y" * 9000}</data></node>{edges}</graph></graphml>')
+    seen = []
+    plain = networks.materialize
+    networks.materialize = lambda df, name: seen.append(plain(df, name)) or seen[-1]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4001")
+    try:
+        g = networks.read_network(spark, str(path))
+        assert [(r["id"], r["layer"]) for r in g.nodes.orderBy("node_order").collect()] == [*((f"n{k}", f"x{k}") for k in range(3000)), ("big", "y" * 9000)]
+        assert [(r["src"], r["dst"], r["weight"]) for r in g.edges.orderBy("edge_order").collect()] == [(f"n{k}", "n0", float(k)) if k % 2 else (f"n{k}", "n>0", 0.0) for k in range(3000)]
+    finally:
+        networks.materialize = plain
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # with a closing tag as the end of a row, all nodes were one row where edges were read
+    assert seen and seen[0].agg(F.max(F.length("e"))).first()[0] < 10000
