@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.network import NODES, Layer, Network, build
 from lumenframe.session import ship
-from lumenframe.storage import materialize
+from lumenframe.storage import discard, materialize
 
 EDGES = "src string, dst string, src_layer string, dst_layer string, layer_id int, edge_order int, weight double"
 READABLE = {"ini": "sections", "txt": "sections", "gml": "graph", "graphml": "graph", "xml": "graph", "dot": "graph", "bundle": "parquet"}
@@ -258,8 +258,8 @@ def _find_elements(batches):
 _FOUND = ("string", "string", "string", "int64", "int64")
 
 
-def _graphml_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, e, place): the nodes and edges of GraphML files, each from its opening tag to its end or to the next element."""
+def _graphml_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(kind, e, place), and what it reads from the shared folder: the nodes and edges of GraphML files, each from its opening tag to its end or to the next element."""
     ship(spark)
     records = spark.read.option("lineSep", "<").text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     found = materialize(records.mapInArrow(_find_elements, "kind string, e string, file string, start long, n long"), "graphml")
@@ -270,17 +270,19 @@ def _graphml_elements(spark: SparkSession, path: str) -> DataFrame:
     mended = parts.select(F.array_join("parts.e", "").alias("e"), "file", F.col("parts")[0]["start"].alias("start"), F.col("parts")[0]["n"].alias("n"))
     mended = mended.select(F.regexp_extract("e", r"^<(node|edge)\b", 1).alias("kind"), "e", "file", "start", "n")
     both = found.where("kind IN ('node', 'edge')").unionByName(mended.where("kind <> ''"))
-    return both.select("kind", "e", F.struct("file", "start", "n").alias("place"))
+    return both.select("kind", "e", F.struct("file", "start", "n").alias("place")), found
 
 
 def read_graphml(spark: SparkSession, path: str) -> Network:
     """Elements are read in parallel: files are split within, may come in parts, and a row of the text holds one tag, however nodes and edges follow each other."""
-    found = _graphml_elements(spark, path)
+    found, stored = _graphml_elements(spark, path)
     given = lambda n: _unescaped(F.regexp_extract("e", rf"""^<\w+\b[^>]*?\s{n}=["']([^"']*)""", 1))
     of = lambda n: F.nullif(_unescaped(F.regexp_extract("e", rf"""<data\s+key=["']{n}["'][^>]*>([^<]*)<""", 1)), F.lit(""))
     packed = F.coalesce(of("params"), F.lit(""))
     nodes = found.where("kind = 'node'").select(given("id").alias("id"), _attributes(packed, _NODE_TYPE, of).alias("p"), "place")
     edges = found.where("kind = 'edge'").select(given("source").alias("src"), given("target").alias("dst"), of("weight").try_cast("double").alias("weight"), _attributes(packed, _EDGE_TYPE, of).alias("p"), "place")
+    nodes, edges = materialize(nodes, "graphml-nodes"), materialize(edges, "graphml-edges")  # attributes are searched for once
+    discard(stored)
     return _assembled(PurePosixPath(path).stem, nodes, edges)
 
 
